@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from graphprop.llm import decontaminate, packing, pii, secrets, warc
+from graphprop.llm.katz import katz_scores
 from graphprop.llm.near_dedup import near_duplicates
+from graphprop.llm.neighbours import nearest
 from graphprop.llm.quality import quality
 from graphprop.llm.toxicity import toxicity
 
@@ -13,10 +17,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(_table(spark, sf_dir, "documents"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -25,5 +45,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op6_near_duplicates, op7_toxicity)}
-ORACLES: dict[str, str] = {}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secrets(_table(spark, sf_dir, "documents")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_ALL = (op1_pii, op2_quality, op3_katz, op4_neighbours, op5_decontaminate, op6_near_duplicates, op7_toxicity, op8_secrets, op9_warc, op10_packing)
+QUERIES = {f.__name__: f for f in _ALL}
+
+#: Models, approximate search and packing have no SQL; they are tested against brute force, round trips and held-out rows.
+ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}

@@ -6,6 +6,7 @@ checkpoints do not.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs; it does when the driver has collected their objects."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete the tables kept under ``name``; only for tables that no later plan reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
