@@ -2,11 +2,12 @@
 
 Documents with equal shingle sets form one class, named by its smallest id, so
 copies cost one row each and never meet in pairs. Class representatives are
-banded. In each bucket every member is first compared with the bucket's
-smallest member only; a bucket whose members are then in one component needs no
-more. Buckets that still span components are compared block by block, by
-signature agreement, and what may reach the threshold is verified on whole
-sets. Hence no bucket is capped and no bucket emits all its pairs.
+banded; joining each bucket's members to its smallest one gives clusters, which
+hold every pair that shares a bucket. A cluster's whole sets are then compared
+inside one task, or block against block where it is large: signatures rule out
+pairs far below the threshold, a union-find those already connected, and whole
+sets decide the rest. Only a spanning forest of links leaves the task. Hence no
+bucket is capped, and no bucket emits its pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ class NearDedup:
     bands: int = 25
     rows: int = 5
     slack: float = 6.0
-    block: int = 2048
+    block: int = 4096
 
     @property
     def least_agreement(self) -> int:
@@ -86,62 +86,29 @@ def shingle_sets(col: pa.Array, width: int):
         yield lo, hi, sets, np.concatenate([[0], np.cumsum([len(s) for s in sets])])
 
 
+def _band_keys(sig: np.ndarray, cfg: NearDedup) -> np.ndarray:
+    key = np.zeros((len(sig), cfg.bands), np.uint64)
+    for k in range(cfg.rows):
+        key = tx.mix(key * np.uint64(0x9FB21C651E98DF25) + sig[:, k : cfg.bands * cfg.rows : cfg.rows].astype(np.uint64) + np.arange(cfg.bands, dtype=np.uint64))
+    return key.view(np.int64)
+
+
 def signatures(docs: DataFrame, cfg: NearDedup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, set_hash (null for an empty set), sig, bands."""
-    width, bands, rows = cfg.width, cfg.bands, cfg.rows
+    """Per row: doc_id, n_shingles, set_hash and bands (both null for an empty set)."""
 
     def run(batches):
         for batch in batches:
-            ids, ns, fps, sigs, keys = [], [], [], [], []
-            for lo, hi, sets, of in shingle_sets(batch.column(1), width):
-                sig = super_minhash(np.concatenate(sets) if sets else np.empty(0, np.uint64), of)
-                key = np.zeros((hi - lo, bands), np.uint64)
-                for k in range(rows):
-                    key = tx.mix(key * np.uint64(0x9FB21C651E98DF25) + sig[:, k : bands * rows : rows].astype(np.uint64) + np.arange(bands, dtype=np.uint64))
+            ids, ns, fps, keys = [], [], [], []
+            for lo, hi, sets, of in shingle_sets(batch.column(1), cfg.width):
+                key = _band_keys(super_minhash(np.concatenate(sets), of), cfg)
                 ids.append(batch.column(0).slice(lo, hi - lo))
                 ns += [len(s) for s in sets]
                 fps += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                sigs += [x.tobytes() if len(s) else None for x, s in zip(sig, sets, strict=True)]
-                keys += [x.astype(np.int64) if len(s) else None for x, s in zip(key, sets, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids) if ids else pa.array([], pa.int64()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_hash", "sig", "bands"],
-            )
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary, bands array<long>")
-
-
-def _sets(docs: DataFrame, cfg: NearDedup, id_col: str, text_col: str) -> DataFrame:
-    width = cfg.width
-
-    def run(batches):
-        for batch in batches:
-            for lo, hi, sets, _ in shingle_sets(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, members binary")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, cfg: NearDedup, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    num, den = cfg.numerator, cfg.denominator
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = scratch.keep(_sets(some, cfg, "doc_id", "text").dropDuplicates(["doc_id"]), "sets")
-
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keys += [x if len(s) else None for x, s in zip(key, sets, strict=True)]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands"])
 
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -164,33 +131,89 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
             return label
 
 
-def _cross_pairs(members: DataFrame, label: DataFrame, cfg: NearDedup, scratch: Scratch) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree enough, found block against block."""
-    least, num, den = cfg.least_agreement, cfg.numerator, cfg.denominator
-    placed = members.join(label, F.col("rep") == F.col("node")).drop("node")
-    wide = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("band", F.ceil(F.col("m") / cfg.block).cast("int").alias("k"))
-    inside = placed.join(wide, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "component", "n_shingles", "sig"
-    )
+def _whole_sets(texts: DataFrame, wanted: DataFrame, cfg: NearDedup) -> DataFrame:
+    """The whole sets (cluster, node, members) of the classes in ``wanted``; a repeated row gives its set again, which changes no link."""
+    some = texts.join(wanted.select("_rep", "_hash", "node", "cluster"), F.col("doc_id") == F.col("_rep"))
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, sets, _ in shingle_sets(batch.column(3), cfg.width):
+                want = batch.column(2).slice(lo, hi - lo).to_pylist()
+                keep = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() == h for x, h in zip(sets, want, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([x.tobytes() for x in sets], pa.binary())], ["cluster", "node", "members"]).filter(keep)
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        left = pdf[pdf["own"] == p].sort_values("rep")
-        right = left if p == q else pdf[pdf["own"] == q].sort_values("rep")
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        ls, rs = (np.stack([np.frombuffer(x, np.uint32) for x in side["sig"]]) for side in (left, right))
-        rid, rn, rc = right["rep"].to_numpy(), right["n_shingles"].to_numpy(), right["component"].to_numpy()
-        out = []
-        for i, (rep, n, comp) in enumerate(zip(left["rep"], left["n_shingles"], left["component"], strict=True)):
-            at = np.flatnonzero((rc != comp) & (np.minimum(rn, n) * den >= np.maximum(rn, n) * num) & ((rid > rep) if p == q else True))
-            if len(at):
-                at = at[(rs[at] == ls[i]).sum(1) >= least]
-                out += [(min(rep, x), max(rep, x)) for x in rid[at]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return scratch.keep(dealt.groupBy("band", "p", "q").applyInPandas(pairs, "a long, b long").distinct(), "cross")
+    return some.select("cluster", "node", "_hash", "text").mapInArrow(run, "cluster long, node long, members binary")
+
+
+def links_between(label: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], cfg: NearDedup) -> tuple[list[tuple[int, int]], int]:
+    """A spanning forest of the links between rows of ``left`` and of ``right`` (masks), and the most typical row.
+
+    ``label`` holds the components known so far; only pairs of different ones
+    are looked at. Rows are taken in the order of their agreement with the
+    majority signature, so that in a group around one text that text comes
+    first and joins the others.
+    """
+    size = np.array([len(s) for s in sets])
+    sig = super_minhash(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+    ordered = np.sort(sig, axis=0)
+    run = np.ones(SIGNATURE, np.int64)
+    most, typical_value = run.copy(), ordered[0].copy()
+    for k in range(1, len(ordered)):
+        run = np.where(ordered[k] == ordered[k - 1], run + 1, 1)
+        longer = run > most
+        most[longer], typical_value[longer] = run[longer], ordered[k][longer]
+    typical = (sig == typical_value).sum(1)
+    label = np.unique(label, return_inverse=True)[1]
+    own = np.flatnonzero(left)
+    out = []
+    for x in own[np.argsort(-typical[own], kind="stable")]:
+        near = np.flatnonzero(right & (label != label[x]) & (np.minimum(size, size[x]) * cfg.denominator >= np.maximum(size, size[x]) * cfg.numerator))
+        if not len(near):
+            continue
+        near = near[(sig[near] == sig[x]).sum(1) >= cfg.least_agreement]
+        if not len(near):
+            continue
+        flat = np.concatenate([sets[y] for y in near])
+        at = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
+        both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.cumsum(size[near]) - size[near])
+        for y in near[cfg.denominator * both >= cfg.numerator * (size[near] + size[x] - both)]:
+            if label[y] != label[x]:
+                out.append((int(x), int(y)))
+                label[label == label[y]] = label[x]
+    return out, int(np.argmax(typical))
+
+
+_FOUND = "a long, b long"
+
+
+def _linked(rows: DataFrame, cfg: NearDedup, keys: list[str]) -> DataFrame:
+    """Links of each group of (node, label, side, members): side 0 meets side 1, side 2 meets all. A row (a, a) names a group's most typical node."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("members")]
+        found, typical = links_between(t.column("label").to_numpy(), side != 1, side != 0, sets, cfg)
+        a, b = [node[x] for x, _ in found] + [node[typical]], [node[y] for _, y in found] + [node[typical]]
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.groupBy(*keys).applyInArrow(run, _FOUND)
+
+
+def _large_clusters(sets: DataFrame, blocks: DataFrame, links: DataFrame, label: DataFrame, cfg: NearDedup, scratch: Scratch) -> DataFrame:
+    """All links, after blocks of one cluster met: first each block with the typical nodes of all, then block with block where components remain."""
+    placed = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    placed = scratch.keep(placed.join(label.select("node", F.col("component").alias("label")), "node"), "large")
+    typical = placed.join(links.where("a = b").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    spread = typical.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("side", F.lit(0))
+    to_typical = _linked(placed.withColumn("side", F.lit(1)).unionByName(spread), cfg, ["cluster", "block"])
+    links = scratch.keep(links.union(to_typical).where("a <> b"), "verified")
+    nodes = placed.select("node").distinct()
+    label = components(nodes, links.join(nodes, F.col("a") == F.col("node"), "left_semi"), scratch)
+    again = placed.drop("label").join(label.select("node", F.col("component").alias("label")), "node")
+    split = again.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
+    rest = again.join(split, "cluster", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("other <> block")
+    pairs = rest.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "label", (F.col("block") > F.col("other")).cast("int").alias("side"), "members")
+    return scratch.keep(links.union(_linked(pairs, cfg, ["cluster", "p", "q"]).where("a <> b")), "verified")
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,40 +223,44 @@ def near_duplicates(docs: DataFrame, cfg: NearDedup = NearDedup(), id_col: str =
     distinct runs of ``width`` words, or the whole sequence of a shorter text.
     Null and empty texts, and texts of blanks, have empty sets and are linked
     with nothing. A row without an id cannot be named: it is linked with
-    nothing, its component is null and it is kept. Rows that repeat an id get
-    the same component, so all are kept or none. ``set_class`` is the smallest
-    id with the same set. Other columns of ``docs`` are not read.
+    nothing, its component is null and it is kept. Rows that repeat an id and
+    text get the same component, so all are kept or none; of different texts
+    under one id, each is in its own text's component. ``set_class`` is the
+    smallest id with the same set. Other columns of ``docs`` are not read.
     """
     scratch = Scratch(docs.sparkSession)
     table = scratch.keep(signatures(docs, cfg, id_col, text_col), "signatures")
     named = table.where("doc_id is not null and set_hash is not null")
-    classes = named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    in_class = scratch.keep(
-        named.select("doc_id", "set_hash", "n_shingles", "sig", "bands").join(classes.select("set_hash", "rep"), "set_hash").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "sig", "bands"), "classes"
-    )
-    member = in_class.select("rep", "n_shingles", F.explode("bands").alias("band"))
-    pivot = member.groupBy("band").agg(F.min(F.struct(F.col("rep").alias("pivot"), F.col("n_shingles").alias("pn"))).alias("s"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "s.pivot", "s.pn")
-    star = (
-        member.join(pivot, "band")
-        .where(F.col("rep") != F.col("pivot"))
-        .where(F.least("n_shingles", "pn") * cfg.denominator >= F.greatest("n_shingles", "pn") * cfg.numerator)
-        .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        .distinct()
-    )
-    star = scratch.keep(star, "star")
-    links = scratch.keep(_verified(star, docs, cfg, scratch, id_col, text_col), "verified")
-    nodes = scratch.keep(pivot.select(F.col("pivot").alias("node")).union(member.join(pivot, "band", "left_semi").select("rep")).distinct(), "nodes")
-    label = components(nodes, links, scratch)
-    shared = member.join(pivot.select("band"), "band", "left_semi").join(in_class.select("rep", "sig"), "rep")
-    cross = _cross_pairs(shared, label, cfg, scratch)
-    if cross.limit(1).count():
-        more = scratch.keep(_verified(cross, docs, cfg, scratch, id_col, text_col), "verified")
-        label = components(nodes, links.union(more), scratch)
-    named_class = classes.join(label, F.col("rep") == F.col("node"), "left").select("set_hash", "rep", F.coalesce("component", "rep").alias("component"))
+    classes = scratch.keep(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
+    # a class is named by a number of its own: one id may have stood before several texts
+    numbered = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "numbered")
+    whole = named.select("doc_id", "set_hash", "bands").join(numbered, "set_hash").where("doc_id = rep").dropDuplicates(["node"])
+    member = scratch.keep(whole.select("node", F.explode("bands").alias("band")), "bands")
+    pivot = member.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "pivot")
+    star = scratch.keep(member.join(pivot, "band").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    scratch.drop("bands")
+    scratch.release()
+    nodes = scratch.keep(star.select(F.col("a").alias("node")).union(star.select("b")).distinct(), "nodes")
+    cluster = components(nodes, star, scratch).withColumnRenamed("component", "cluster")
+    wanted = numbered.join(cluster, "node").select(F.col("rep").alias("_rep"), F.col("set_hash").alias("_hash"), "node", "cluster")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sets = scratch.keep(_whole_sets(texts, wanted, cfg), "sets")
+    scratch.release()
+    sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).select("cluster", F.ceil(F.col("m") / cfg.block).cast("int").alias("k"))
+    first = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).select("cluster", "block", "node", F.col("node").alias("label"), F.lit(2).alias("side"), "members")
+    links = scratch.keep(_linked(first, cfg, ["cluster", "block"]), "verified")
+    label = components(nodes, links.where("a <> b"), scratch)
+    large = scratch.keep(sizes.where("k > 1"), "blocks")
+    if large.limit(1).count():
+        links = _large_clusters(sets, large, links, label, cfg, scratch)
+        label = components(nodes, links, scratch)
+    group = numbered.join(label, "node", "left").select("node", "set_hash", "rep", F.coalesce("component", "node").alias("component"))
+    smallest = group.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named_class = group.join(smallest, "component").select("set_hash", "rep", "component_id")
     return table.join(named_class, "set_hash", "left").select(
         "doc_id",
         "n_shingles",
-        F.coalesce("rep", "doc_id").alias("set_class"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("set_class"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
     )
