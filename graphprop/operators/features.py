@@ -56,9 +56,9 @@ def copy_rows(source: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def contrastive_set(current: DataFrame, kept: DataFrame, changed: DataFrame) -> DataFrame:
-    """Label 1 for current and kept rows, 0 for changed ones."""
-    one, zero = F.lit(1).alias("label"), F.lit(0).alias("label")
-    return current.select("node", "dim", "x", one).unionByName(kept.select("node", "dim", "x", one)).unionByName(changed.select("node", "dim", "x", zero))
+    """Label 1 for current and kept rows, 0 for changed ones; ``part`` tells a node's current row from its kept one."""
+    row = lambda df, label, part: df.select("node", "dim", "x", F.lit(label).alias("label"), F.lit(part).alias("part"))
+    return row(current, 1, "current").unionByName(row(kept, 1, "kept")).unionByName(row(changed, 0, "changed"))
 
 
 def packed(features: DataFrame) -> DataFrame:

@@ -24,15 +24,15 @@ def vectors(rows: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def discriminator(contrastive: DataFrame, ridge: float = 1e-4, rounds: int = 100) -> LogisticRegressionModel:
-    """Tell label 1 from label 0 in rows (node, label, dim, x); stops early at a small change of the loss."""
-    keyed = contrastive.groupBy("node", "label").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).withColumn("vec", F.transform("v", lambda s: s["x"]))
+    """Tell label 1 from label 0 in rows (node, dim, x, label, part); stops early at a small change of the loss."""
+    keyed = contrastive.groupBy("node", "label", "part").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).withColumn("vec", F.transform("v", lambda s: s["x"]))
     return LogisticRegression(labelCol="label", regParam=ridge, maxIter=rounds, tol=1e-7).fit(vectors(keyed))
 
 
 def permuted_discriminator(features: DataFrame, propagated: DataFrame, seed: int = 7, **kw) -> LogisticRegressionModel:
     """The group discriminator: propagated rows against propagated permuted rows given as ``propagated``."""
-    real = features.withColumn("label", F.lit(1))
-    false = permute_rows(propagated, seed).withColumn("label", F.lit(0))
+    real = features.withColumn("label", F.lit(1)).withColumn("part", F.lit("real"))
+    false = permute_rows(propagated, seed).withColumn("label", F.lit(0)).withColumn("part", F.lit("permuted"))
     return discriminator(real.unionByName(false), **kw)
 
 

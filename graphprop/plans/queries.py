@@ -110,8 +110,8 @@ def snapshot_union(f: Fixture) -> DataFrame:
 
 
 @query(
-    """, both AS (SELECT 0 AS b, src, dst FROM ip UNION ALL SELECT batch, src, dst FROM later), dir AS (SELECT b, src, dst FROM both UNION ALL SELECT b, dst, src FROM both)
-SELECT CAST(t AS INTEGER) AS t, src AS node, count(*) AS deg FROM dir, range(4) r(t) WHERE b <= t GROUP BY t, src"""
+    """, ever AS (SELECT 0 AS b, src, dst FROM ip UNION ALL SELECT batch, src, dst FROM later), way AS (SELECT b, src, dst FROM ever UNION ALL SELECT b, dst, src FROM ever)
+SELECT CAST(t AS INTEGER) AS t, src AS node, count(*) AS deg FROM way, range(4) r(t) WHERE b <= t GROUP BY t, src"""
 )
 def snapshot_degrees(f: Fixture) -> DataFrame:
     p = f.pairs()
