@@ -69,7 +69,7 @@ def postings_of(texts: DataFrame, terms: DataFrame, scratch: Scratch) -> DataFra
 def candidates_of(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """Starts on which all chosen terms of a window agree: (window, doc_id, start)."""
     placed = postings.join(terms, "term").select("window", "doc_id", (F.col("pos") - F.col("offset")).alias("start"), "rank", "needed").where("start >= 0")
-    agreed = placed.groupBy("window", "doc_id", "start").agg(F.max("needed").alias("needed"), F.bit_or(F.shiftleft(F.lit(1), F.col("rank"))).alias("ranks"))
+    agreed = placed.groupBy("window", "doc_id", "start").agg(F.max("needed").alias("needed"), F.expr("bit_or(shiftleft(1, rank))").alias("ranks"))
     return agreed.where(F.bit_count("ranks") == F.col("needed")).select("window", "doc_id", "start")
 
 
@@ -115,7 +115,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, cfg:
     first = placed.where("rank = 0").select("window", "doc_id", "start", "needed", cell.alias("cell"))
     other = placed.where("rank > 0").select("window", "doc_id", F.col("start").alias("near"), "rank", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     met = first.join(other, ["window", "doc_id", "cell"], "left").where(F.col("near").isNull() | (F.abs(F.col("near") - F.col("start")) <= slop))
-    ranks = met.groupBy("window", "doc_id", "start").agg(F.max("needed").alias("needed"), F.bit_or(F.shiftleft(F.lit(1), F.coalesce("rank", F.lit(0)))).alias("ranks"))
+    ranks = met.groupBy("window", "doc_id", "start").agg(F.max("needed").alias("needed"), F.expr("bit_or(shiftleft(1, coalesce(rank, 0)))").alias("ranks"))
     whole = ranks.where(F.bit_count(F.col("ranks").bitwiseOR(F.lit(1))) == F.col("needed"))
     return whole.join(windows, "window").select("doc_id", "item_id", "window", "start")
 

@@ -34,7 +34,7 @@ BASE = {
 }
 
 #: Tokens that look like identifiers: runs of digit groups, or anything with a digit or an at sign.
-CANDIDATE = r"(?<!\S)(?:\(?[0-9][0-9().\x20-]*+(?![^\s,;:!?])|\S*[0-9@]\S*)"
+CANDIDATE = r"(?<!\S)(?:\(?[0-9](?:[().\x20-]{0,3}[0-9])*+(?![^\s,;:!?.])|\S*[0-9@]\S*)"
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -104,6 +104,18 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _passes(kind: str):
+    return lambda x: _valid(kind, x["m"])
+
+
+def _masked(kind: str):
+    return lambda m: F.when(_valid(kind, m), F.lit(f"<{kind}>")).otherwise(m)
+
+
+def _is(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def find(docs: DataFrame, cfg: Bootstrap, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, the valid base spans of each kind, the candidate tokens; each with its context."""
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -111,7 +123,7 @@ def find(docs: DataFrame, cfg: Bootstrap, id_col: str = "doc_id", text_col: str
     matched = text.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in patterns.items()])
     split = matched.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).otherwise(F.array().cast("array<string>")).alias(f"p_{k}") for k, p in patterns.items()])
     placed = split.select("doc_id", F.xxhash64("text").alias("text_hash"), *[_spans(F.col(f"p_{k}"), F.col(f"m_{k}"), cfg.context_chars).alias(k) for k in patterns])
-    return placed.select("doc_id", "text_hash", *[F.filter(k, lambda x, k=k: _valid(k, x["m"])).alias(k) for k in KINDS], "candidate")
+    return placed.select("doc_id", "text_hash", *[F.filter(k, _passes(k)).alias(k) for k in KINDS], "candidate")
 
 
 def _loose(found: DataFrame) -> DataFrame:
@@ -199,7 +211,7 @@ def redact(docs: DataFrame, cfg: Bootstrap = Bootstrap(), id_col: str = "doc_id"
     out = out.withColumn(text_col, F.when(spans.isNull(), t).otherwise(cut)).select(*columns)
     for k in ("email", "phone", "ip", "card"):
         matches, parts = F.regexp_extract_all(t, F.lit(BASE[k]), F.lit(0)), F.split(t, BASE[k], -1)
-        tail = F.concat(F.transform(matches, lambda m, k=k: F.when(_valid(k, m), F.lit(f"<{k}>")).otherwise(m)), F.array(F.lit("")))
+        tail = F.concat(F.transform(matches, _masked(k)), F.array(F.lit("")))
         rebuilt = F.array_join(F.zip_with(parts, tail, lambda p, m: F.concat(p, m)), "")
         out = out.withColumn(text_col, F.when(F.regexp_like(t, F.lit(BASE[k])), rebuilt).otherwise(t))
     return out
@@ -213,7 +225,7 @@ def digest(spans: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, spans (all, joined as kind:start:end), n_added."""
     return spans.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),

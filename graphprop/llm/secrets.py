@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphprop.llm import text as tx
-from graphprop.llm.pii import _joined, _spans
+from graphprop.llm.pii import _is, _joined, _spans
 
 KINDS = ("assign", "access", "hex")
 
@@ -64,7 +64,7 @@ class SecretScan:
     windows: int = 8_000
     steps: int = 80
     rate: float = 0.25
-    ridge: float = 1e-4
+    ridge: float = 2e-3
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -352,7 +352,7 @@ def digest(spans: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, spans (all, joined as kind:start:end), n_added."""
     return spans.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
