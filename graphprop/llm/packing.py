@@ -9,6 +9,7 @@ buckets of a length, so no length is gathered in one task.
 
 from __future__ import annotations
 
+import os
 import zlib
 from dataclasses import dataclass
 
@@ -36,68 +37,138 @@ class Packing:
 
 # ---- tokens ------------------------------------------------------------------
 
+# classes of bytes
+_BLANK, _LETTER, _DIGIT, _SYMBOL, _MIXED = range(5)
+
 _PLAIN = np.zeros(256, bool)
 _PLAIN[32:127] = True
 _PLAIN[[9, 10, 13]] = True
 _PLAIN[128:192] = True  # continuation bytes; what they continue is judged by the leading byte
 _PLAIN[0xC3:0xC6] = True  # Latin letters up to U+017F
 
+_CLASS = np.full(256, _SYMBOL, np.uint8)
+_CLASS[[9, 10, 13, 32]] = _BLANK
+_CLASS[48:58] = _DIGIT
+_CLASS[97:123] = _LETTER
+_CLASS[65:91] = _LETTER
+_CLASS[128:] = _LETTER
+
+
+def _odd_bytes(data: np.ndarray) -> np.ndarray:
+    """Marks of what makes a row one to encode whole: other scripts and controls, signs among the Latin letters, the dotted capital I, and the start of a special token."""
+    odd = ~_PLAIN[data]
+    if len(data) > 1:
+        first, second = data[:-1], data[1:]
+        odd[:-1] |= (first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC4) & (second == 0xB0) | (first == 60) & (second == 124)
+    return odd
+
+
+def _pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and classes of runs of letters, single digits and runs of signs, and each row's range.
+
+    A blank-separated word with an apostrophe, in which contractions count, is
+    one run of class ``_MIXED``.
+    """
+    kind = _CLASS[data]
+    quotes = np.flatnonzero(data == 39)
+    if len(quotes):
+        ws, we, _ = tx.words(data, offsets, _CLASS == _BLANK)
+        hit = np.unique(np.searchsorted(ws, quotes, "right") - 1)
+        cover = np.zeros(len(data) + 1, np.int8)
+        cover[ws[hit]] += 1
+        np.subtract.at(cover, we[hit], 1)
+        kind[np.cumsum(cover[:-1], dtype=np.int8) > 0] = _MIXED
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int64), kind, np.zeros(len(offsets), np.int64)
+    start = np.ones(len(data), bool)
+    start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    start[offsets[(offsets > 0) & (offsets < len(data))]] = True
+    at = np.flatnonzero(start)
+    end = np.append(at[1:], len(data))
+    full = kind[at] != _BLANK
+    at, end = at[full], end[full]
+    return at, end, kind[at], np.searchsorted(at, offsets)
+
 
 class WordCache:
     """Token ids of words, kept by hash; encodes the words of a block that are new.
 
-    A tokenizer that removes blanks before it splits gives a text the ids of its
-    blank-separated words in turn. That holds for texts of ASCII and Latin
-    letters only; other texts are encoded whole.
+    The tokenizer drops blanks and splits the rest into runs of letters, single
+    digits and runs of signs before it merges, so a text's ids are those of its
+    runs in turn. That is relied on for texts of ASCII and Latin letters;
+    others are encoded whole. The last id of a run ends in the vocabulary's
+    end-of-word mark, which tells the ids of joined words apart.
     """
 
     def __init__(self, tokenizer_path: str, most: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = tokenizers.Tokenizer.from_file(tokenizer_path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.most = most
-        self.known, self.first, self.length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self._clear()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _clear(self) -> None:
+        self.known, self.first, self.length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids = np.empty(0, np.uint16 if len(self.last) <= 1 << 16 else np.uint32)
 
-    def learn(self, h: np.ndarray, words: list[str]) -> None:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text, a few texts at a time."""
+        return [e.ids for lo in range(0, len(texts), 256) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 256], add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words that are one run each, and how many each has."""
+        joined = [" ".join(words[lo : lo + 1000]) for lo in range(0, len(words), 1000)]
+        flat = np.concatenate([np.array(x, np.uint32) for x in self.encode(joined)] or [np.empty(0, np.uint32)])
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) == len(words) and (not len(ends) or ends[-1] == len(flat)):
+            return flat, np.diff(ends, prepend=0)
         ids = self.encode(words)
-        length = np.array([len(x) for x in ids], np.int64)
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def learn(self, h: np.ndarray, words: list[str], mixed: np.ndarray) -> None:
         if len(self.known) + len(h) > self.most:
-            self.known, self.first, self.length, self.ids = self.known[:0], self.first[:0], self.length[:0], self.ids[:0]
-        first = len(self.ids) + np.cumsum(length) - length
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-        known = np.concatenate([self.known, h])
+            self._clear()
+        plain, alone = np.flatnonzero(~mixed), np.flatnonzero(mixed)
+        flat, length = self.encode_words([words[k] for k in plain])
+        own = self.encode([words[k] for k in alone])
+        flat = np.concatenate([flat, np.array([i for x in own for i in x], np.uint32)])
+        length = np.concatenate([length, np.array([len(x) for x in own], np.int64)])
+        known = np.concatenate([self.known, h[plain], h[alone]])
         order = np.argsort(known, kind="stable")
-        self.known, self.first, self.length = known[order], np.concatenate([self.first, first])[order], np.concatenate([self.length, length])[order]
-        self.ids = np.concatenate([self.ids, flat])
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])[order]
+        self.known, self.length = known[order], np.concatenate([self.length, length.astype(np.int32)])[order]
+        self.ids = np.concatenate([self.ids, flat.astype(self.ids.dtype)])
 
-    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def block(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and each row's range."""
-        starts, ends, of = tx.words(data, offsets)
-        odd_bytes = np.concatenate([[0], np.cumsum(~_PLAIN[data])])
-        odd = odd_bytes[offsets[1:]] > odd_bytes[offsets[:-1]]
-        h = tx.hashes(data, starts, ends)
-        row = np.repeat(np.arange(len(of) - 1), np.diff(of))
-        plain = ~odd[row]
-        h, starts, ends, row = h[plain], starts[plain], ends[plain], row[plain]
-        u, at, back = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
+        n = len(offsets) - 1
+        odd = np.zeros(n, bool)
+        marks = np.flatnonzero(_odd_bytes(raw))
+        odd[np.searchsorted(offsets, marks, "right") - 1] = True
+        data = tx.folded(raw)
+        starts, ends, kinds, of = _pretokens(data, offsets)
+        row = np.repeat(np.arange(n), np.diff(of))
+        if odd.any():
+            plain = ~odd[row]
+            starts, ends, kinds, row = starts[plain], ends[plain], kinds[plain], row[plain]
+        u, at, back = np.unique(tx.hashes(data, starts, ends), return_index=True, return_inverse=True)
         for _ in range(2):  # anew if the cache was emptied for this block
             pos = np.minimum(np.searchsorted(self.known, u), max(len(self.known) - 1, 0))
             new = self.known[pos] != u if len(self.known) else np.ones(len(u), bool)
             if not new.any():
                 break
-            self.learn(u[new], [raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in at[new]])
-        pos = np.searchsorted(self.known, u)[back] if len(u) else np.empty(0, np.int64)
-        n = self.length[pos] if len(u) else np.empty(0, np.int64)
-        per_row = np.bincount(row, n, len(of) - 1).astype(np.int64) if len(of) > 1 else np.empty(0, np.int64)
-        out = self.ids[np.repeat(self.first[pos] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(u) else np.empty(0, np.uint32)
-        ranges = np.concatenate([[0], np.cumsum(per_row)])
+            text = data.tobytes()
+            self.learn(u[new], [text[starts[k] : ends[k]].decode("utf-8", "replace") for k in at[new]], kinds[at[new]] == _MIXED)
+        pos = np.searchsorted(self.known, u)[back]
+        count = self.length[pos].astype(np.int64)
+        out = self.ids[np.repeat(self.first[pos] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        ranges = np.concatenate([[0], np.cumsum(np.bincount(row, count, n).astype(np.int64))])
         if not odd.any():
             return out, ranges
-        whole = dict(zip(np.flatnonzero(odd), self.encode([raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace") for k in np.flatnonzero(odd)]), strict=True))
-        parts = [np.array(whole[k], np.uint32) if k in whole else out[ranges[k] : ranges[k + 1]] for k in range(len(odd))]
+        whole = dict(zip(np.flatnonzero(odd), self.encode([raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace") for k in np.flatnonzero(odd)]), strict=True))
+        parts = [np.array(whole[k], np.uint32) if k in whole else out[ranges[k] : ranges[k + 1]] for k in range(n)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
@@ -116,7 +187,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, cfg: Packing = Packing(), with_
                 ids, of = cache.block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 row, piece, start, length, crc, own = [], [], [], [], [], []
                 for k in range(hi - lo):
-                    doc = np.append(ids[of[k] : of[k + 1]], np.uint32(end)).astype("<u4")
+                    doc = np.append(ids[of[k] : of[k + 1]].astype("<u4"), np.array([end], "<u4"))
                     for p, a in enumerate(range(0, len(doc), capacity)):
                         part = doc[a : a + capacity]
                         row.append(lo + k)
