@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-Voters are words of a fixed lexicon, words that labelled training rows single
-out, and patterns. Each voter fires on a document or not. The label model has a
+Voters are words of a fixed lexicon, words and word beginnings that labelled
+training rows single out, and patterns. Each voter fires on a document or not. The label model has a
 firing rate per voter and class (hence its accuracy), fitted by EM over counts
 of vote patterns of all documents; labelled training rows are clamped. Residual
 correlations of the voters given the class then shrink the weight of voters
@@ -38,17 +38,26 @@ _LETTERS[128:] = False
 
 @dataclass(frozen=True)
 class Toxicity:
-    """``labelled_rows`` bounds the labelled rows searched for words, ``fit_rows`` those the classifier is fitted on (the smallest hashes of ids)."""
+    """``labelled_rows`` bounds the labelled rows searched for words, ``fit_rows`` those the classifier is fitted on (the smallest hashes of ids).
+
+    A word or beginning becomes a voter if ``min_precision`` of its documents
+    are toxic, and if its log-likelihood ratio is so large that fewer than
+    ``chance`` of all words would get there at random.
+    """
 
     labelled_rows: int = 20_000
     fit_rows: int = 50_000
-    mined: int = 24
-    min_support: int = 5
-    min_precision: float = 0.9
+    mined: int = 27
+    min_precision: float = 0.7
+    chance: float = 0.05
     rounds: int = 12
     threshold: float = 0.7
 
 
+#: Lengths in bytes of the beginnings that may become voters; 0 is the whole word.
+_LENGTHS = (0, 3, 4, 5, 6, 7, 8)
+
+
 def _hash_of(word: str) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
     return int(tx.hashes(tx.folded(data), np.array([0]), np.array([len(data)]))[0])
@@ -69,55 +78,90 @@ def _row_sums(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return total[of[1:]] - total[of[:-1]]
 
 
+def _beginnings(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words longer than ``length`` bytes their places and the hashes of their beginnings; of 0 the words themselves."""
+    if not length:
+        return np.arange(len(starts)), tx.hashes(low, starts, ends)
+    at = np.flatnonzero(ends - starts > length)
+    return at, tx.hashes(low, starts[at], starts[at] + length)
+
+
 def _word_support(labelled: DataFrame) -> DataFrame:
-    """Documents of each class that hold a word: (word, toxic, clean)."""
+    """Documents of each class that hold a word or a word's beginning: (length, word, text, toxic, clean)."""
 
     def run(batches):
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, _, _, _, _, _, of, h in _letters(batch.column(0)):
-                per = [np.unique(h[of[k] : of[k + 1]]) for k in range(len(of) - 1)]
-                word = np.concatenate(per) if per else np.empty(0, np.uint64)
-                row = np.repeat(np.arange(len(per)), [len(p) for p in per])
-                bad = y[lo + row] == 1
-                u, at = np.unique(word, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u.astype(np.int64)), pa.array(np.bincount(at, bad, len(u)).astype(np.int64)), pa.array(np.bincount(at, ~bad, len(u)).astype(np.int64))], ["word", "toxic", "clean"]
-                )
-
-    parts = labelled.select("text", "toxic").mapInArrow(run, "word long, toxic long, clean long")
-    return parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-
-def _mined(labelled: DataFrame, cfg: Toxicity) -> list[int]:
-    """The hashes of at most ``cfg.mined`` words that training labels single out."""
-    known = [x - (1 << 64) if x >= 1 << 63 else x for x in map(_hash_of, LEXICON)]
-    top = (
-        _word_support(labelled)
-        .where((F.col("toxic") >= cfg.min_support) & (F.col("toxic") >= cfg.min_precision * (F.col("toxic") + F.col("clean"))) & ~F.col("word").isin(known))
-        .orderBy(F.desc("toxic"), "clean", "word")
-        .limit(cfg.mined)
-        .collect()
-    )
-    return [r.word & (2**64 - 1) for r in top]
-
-
-def votes(docs: DataFrame, lexicon: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, the voters that fire as bits of ``fires``, and real-valued features ``x``."""
-    order = np.argsort(np.array(lexicon, np.uint64))
-    known = np.array(lexicon, np.uint64)[order]
+            for lo, _, raw, _, starts, ends, of, _ in _letters(batch.column(0)):
+                low, row = tx.folded(raw), np.repeat(np.arange(len(of) - 1), np.diff(of))
+                for length in _LENGTHS:
+                    at, h = _beginnings(low, starts, ends, length)
+                    order = np.lexsort((h, row[at]))
+                    new = np.ones(len(order), bool)
+                    new[1:] = (h[order][1:] != h[order][:-1]) | (row[at][order][1:] != row[at][order][:-1])
+                    at, h = at[order][new], h[order][new]
+                    bad = y[lo + row[at]] == 1
+                    u, first, back = np.unique(h, return_index=True, return_inverse=True)
+                    text = [low[starts[k] : starts[k] + length if length else ends[k]].tobytes() for k in at[first]]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(u), length, np.int32)), pa.array(u.view(np.int64)), pa.array(text, pa.binary()),
+                            pa.array(np.bincount(back, bad, len(u)).astype(np.int64)), pa.array(np.bincount(back, ~bad, len(u)).astype(np.int64)),
+                        ],
+                        ["length", "word", "text", "toxic", "clean"],
+                    )
+
+    parts = labelled.select("text", "toxic").mapInArrow(run, "length int, word long, text binary, toxic long, clean long")
+    return parts.groupBy("length", "word").agg(F.min("text").alias("text"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _mined(labelled: DataFrame, cfg: Toxicity, scratch: Scratch) -> list[tuple[int, int]]:
+    """At most ``cfg.mined`` (length, hash) that training labels single out; of nested beginnings the best supported one."""
+    support = scratch.keep(_word_support(labelled), "support")
+    size = support.agg(F.count(F.lit(1)).alias("keys")).crossJoin(labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))).first()  # one row each
+    if not size["bad"] or size["bad"] == size["n"]:
+        return []
+    least, rate = float(np.log(max(size["keys"], 1) / cfg.chance)), size["bad"] / size["n"]
+    t, c = F.col("toxic"), F.col("clean")
+    ratio = t * F.log(t / (t + c) / rate) + F.when(c > 0, c * F.log(c / (t + c) / (1 - rate))).otherwise(0.0)
+    good = support.where((t > 0) & (t >= cfg.min_precision * (t + c))).withColumn("ratio", ratio).where(F.col("ratio") >= least)
+    known, taken, out = [w.encode() for w in LEXICON], [], []
+    for r in good.orderBy(F.desc("ratio"), F.length("text"), "text", "length").limit(cfg.mined * 100).collect():
+        text = bytes(r["text"])
+        if len(out) < cfg.mined and not any(text.startswith(x) or x.startswith(text) for x in known + taken):
+            taken.append(text)
+            out.append((r["length"], r["word"] & (2**64 - 1)))
+    return out
+
+
+def votes(docs: DataFrame, lexicon: list[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, the voters that fire as bits of ``fires``, and real-valued features ``x``.
+
+    ``lexicon`` holds (length, hash) of words (0) and beginnings.
+    """
     n_lex = len(lexicon)
+    by_length = []
+    for length in sorted({n for n, _ in lexicon}):
+        voter = np.array([k for k, (n, _) in enumerate(lexicon) if n == length])
+        key = np.array([lexicon[k][1] for k in voter], np.uint64)
+        by_length.append((length, np.sort(key), voter[np.argsort(key)]))
 
     def run(batches):
         for batch in batches:
             ids, fires, xs = [], [], []
-            for lo, hi, raw, off, starts, _, of, h in _letters(batch.column(1)):
-                n = hi - lo
-                at = np.minimum(np.searchsorted(known, h), n_lex - 1)
-                hit = np.flatnonzero(known[at] == h)
+            for lo, hi, raw, off, starts, ends, of, whole in _letters(batch.column(1)):
+                n, low = hi - lo, tx.folded(raw)
+                hits, voters = [], []
+                for length, known, voter in by_length:
+                    place, h = _beginnings(low, starts, ends, length) if length else (np.arange(len(whole)), whole)
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    found = np.flatnonzero(known[at] == h)
+                    hits.append(place[found])
+                    voters.append(voter[at[found]])
+                hit = np.concatenate(hits)
                 row = np.searchsorted(of, hit, "right") - 1
                 counts = np.zeros((n, n_lex))
-                np.add.at(counts, (row, order[at[hit]]), 1)
+                np.add.at(counts, (row, np.concatenate(voters)), 1)
                 caps = (raw >= 65) & (raw <= 90)
                 small = (raw >= 97) & (raw <= 122)
                 n_words = np.diff(of)
@@ -222,7 +266,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cfg: Toxicity = Toxicity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score, predicted, posterior.
+    """Per row of ``docs``: doc_id, held_out, score, predicted.
 
     ``labels`` (doc_id, toxic) is learnt from only where crc32(doc_id) mod 3 is
     not 1; rows with a null id or label teach nothing and of labels that
@@ -237,8 +281,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, cfg: Toxicity = Toxicity(), id_
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != 1)
     some = F.broadcast(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.labelled_rows))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    mined = _mined(base.join(some, "doc_id"), cfg)
-    lexicon = [_hash_of(w) for w in LEXICON] + mined
+    mined = _mined(scratch.keep(base.join(some, "doc_id").select("text", "toxic"), "labelled"), cfg, scratch)
+    lexicon = [(0, _hash_of(w)) for w in LEXICON] + mined
     n_voters = len(lexicon) + len(PATTERNS)
     table = scratch.keep(votes(base, lexicon), "votes")
     labelled = table.select("doc_id", "fires").join(y, "doc_id", "left")
