@@ -122,37 +122,39 @@ def _best(score: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.repeat(np.arange(n), k), at.ravel()
 
 
-_FILED = "leaf int, salt int, c long, first long, vec binary"
+_FILED = "leaf int, salt int, c long, first long, least double, vec binary"
 
 
 def _file(table: DataFrame, place) -> DataFrame:
-    """Rows (leaf, salt, c, first, vec) for each leaf and salt that ``place(vector matrix, ids)`` names."""
+    """Rows (leaf, salt, c, first, least, vec) for each row, leaf and salt that ``place(vector matrix, ids)`` names."""
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            row, leaf, salt = place(x, batch.column(0).to_numpy())
+            row, leaf, salt, least = place(x, batch.column(0).to_numpy())
             at = pa.array(row)
             vec = pa.array([v.tobytes() for v in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(salt, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), vec.take(at)], ["leaf", "salt", "c", "first", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(salt, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(least[row]), vec.take(at)], ["leaf", "salt", "c", "first", "least", "vec"])
 
     return table.select("c", "first", "vec").mapInArrow(run, _FILED)
 
 
 def _met(queries: DataFrame, filed: DataFrame, k: int) -> DataFrame:
-    """Per query and vector met in some leaf, among the query's best ``k`` there: (q, c, first, score)."""
+    """Per query and vector met in some leaf, among the query's best ``k`` there and not below its ``least``: (q, c, first, score)."""
 
     def run(qs: pa.Table, xs: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if len(qs) and len(xs):
             a, x = (_matrix(t.column("vec").combine_chunks()) for t in (qs, xs))
-            q, c, first = qs.column("c").to_numpy(), xs.column("c").to_numpy(), xs.column("first").to_numpy()
+            q, least, c, first = qs.column("c").to_numpy(), qs.column("least").to_numpy(), xs.column("c").to_numpy(), xs.column("first").to_numpy()
             step = max(1, 4_000_000 // len(x))
             for lo in range(0, len(a), step):
                 score = a[lo : lo + step] @ x.T
                 i, j = _best(score, first, k)
+                enough = score[i, j] >= least[lo + i]
+                i, j = i[enough], j[enough]
                 for column, values in zip(out, (q[lo + i], c[j], first[j], score[i, j]), strict=True):
                     column.append(values)
         kinds = (np.int64, np.int64, np.int64, np.float64)
@@ -189,20 +191,30 @@ def nearest(embeddings: DataFrame, cfg: Forest = Forest(), id_col: str = "vec_id
     table = scratch.keep(distinct.select(F.monotonically_increasing_id().alias("c"), "k1", "k2", "first", "asks", "vec"), "distinct")
     n = table.count()
     sample = table.select("vec").orderBy("k1", "k2").limit(cfg.sample_rows).toPandas()
-    trees = grow(np.stack(sample["vec"].to_list()).astype(np.float64), cfg, n)
+    points = np.stack(sample["vec"].to_list()).astype(np.float64)
+    trees = grow(points, cfg, n)
     scale = n / len(sample)
     salts = np.maximum(1, np.ceil(trees.size * scale / cfg.group_rows)).astype(int)
     wanted = cfg.share * len(sample) * cfg.trees
 
+    k = cfg.top + 1  # a query's own vector may be among them
+
     def by_tree(x: np.ndarray, ids: np.ndarray):
         leaf = np.concatenate([trees.leaves(x, t) for t in range(cfg.trees)])
-        return np.tile(np.arange(len(x)), cfg.trees), leaf, np.tile(ids, cfg.trees) % salts[leaf]
+        return np.tile(np.arange(len(x)), cfg.trees), leaf, np.tile(ids, cfg.trees) % salts[leaf], np.zeros(len(x))
 
     def by_queue(x: np.ndarray, ids: np.ndarray):
         found = [(i, leaf, salt) for i in range(len(x)) for leaf in trees.search(x[i], wanted) for salt in range(salts[leaf])]
-        return tuple(np.array(v, np.int64) for v in zip(*found, strict=True))
+        row, leaf, salt = (np.array(v, np.int64) for v in zip(*found, strict=True))
+        # what is not among the best of the sample is not among the best of all
+        least = np.full(len(x), -np.inf)
+        if len(points) > k:
+            for lo in range(0, len(x), 64):
+                score = x[lo : lo + 64] @ points.T
+                kth = np.partition(score, len(points) - k, axis=1)[:, len(points) - k]
+                least[lo : lo + 64] = kth - 1e-9 * np.maximum(1, np.abs(kth))
+        return row, leaf, salt, least
 
-    k = cfg.top + 1  # a query's own vector may be among them
     met = _met(_file(table.where("asks = 1"), by_queue), _file(table, by_tree), k)
     merged = met.groupBy("q", "c", "first").agg(F.max("score").alias("score"))
     best = merged.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first", "c"))).where(F.col("r") <= k).select("q", "c", "score")
