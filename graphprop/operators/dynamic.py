@@ -110,18 +110,28 @@ class Graph:
         return Graph(edges, self.features, push(after.state, edges, thresholds(self.features, params.rmax), params))
 
 
+def _single_toggles(updates: DataFrame, first: int, last: int):
+    """For each line ``first < seq <= last``: seq and the undirected toggle (src, dst); a line that reverses the one before belongs to it."""
+    before = None
+    for seq in range(first + 1, last + 1):
+        for r in updates.where(F.col("seq") == seq).select("src", "dst").limit(1).collect():
+            if r.src == r.dst:
+                raise ValueError("self loops cannot be toggled one at a time")
+            if before == (r.dst, r.src):
+                before = None
+                continue
+            before = (r.src, r.dst)
+            yield seq, updates.sparkSession.createDataFrame([(r.src, r.dst), (r.dst, r.src)], "src long, dst long")
+
+
 def update_one_by_one(graph: Graph, updates: DataFrame, first: int, last: int, params: Params = Params()) -> Graph:
-    """The lines ``first < seq <= last`` one at a time, in their order: a batch each.
+    """The edges of lines ``first < seq <= last`` one at a time, in their order: a batch each.
 
-    Sequential by nature: for streams of single edges and for tests. A line is
-    one directed toggle, so both directions should follow each other; toggles
-    of self loops are rejected.
+    Sequential by nature: for streams of single edges and for tests. Toggles of
+    self loops are rejected.
     """
-    rows = updates.where((F.col("seq") > first) & (F.col("seq") <= last))
-    if rows.where("src = dst").limit(1).count():
-        raise ValueError("self loops cannot be toggled one at a time")
-    for seq in range(first + 1, last + 1):
-        graph = graph.update(rows.where(F.col("seq") == seq), params)
+    for _, pair in _single_toggles(updates, first, last):
+        graph = graph.update(pair, params)
     return graph
 
 
@@ -147,10 +157,12 @@ def drift(versions: DataFrame) -> DataFrame:
 def update_until_drift(graph: Graph, updates: DataFrame, first: int, last: int, threshold: float, params: Params = Params()) -> tuple[Graph, int]:
     """Lines one at a time until a step's drift exceeds ``threshold``; the graph and the last line applied."""
     start = graph.state
-    for seq in range(first + 1, last + 1):
-        after = graph.update(updates.where(F.col("seq") == seq), params)
+    begun = False
+    for seq, pair in _single_toggles(updates, first, last):
+        after = graph.update(pair, params)
         step, whole = distance(after.state, graph.state).first()["d"], distance(after.state, start).first()["d"]
         graph = after
-        if whole and step / whole > threshold and seq > first + 1:
+        if begun and whole and step / whole > threshold:
             return graph, seq
+        begun = True
     return graph, last

@@ -93,7 +93,7 @@ def test_stream_equals_batches_and_replays_once(spark, tmp_path):
     n = 10
     e = spark.createDataFrame([(a, b) for a in range(n) for b in range(n) if a == b or abs(a - b) == 1], "src long, dst long")
     x = spark.createDataFrame([(k, 0, float(k % 3)) for k in range(n)], "node long, dim int, x double")
-    p = Params(rmax=1e-5, alpha=0.3)
+    p = Params(rmax=1e-3, alpha=0.7, check_every=4)
     store = StateStore(spark, f"{tmp_path}/store", x)
     assert store.version() == -1
     store.save(0, e, propagate.initial_operation(x, e, p))
@@ -103,6 +103,6 @@ def test_stream_equals_batches_and_replays_once(spark, tmp_path):
     q.awaitTermination(300)
     assert store.version() == 2
     g = store.load()
-    assert propagate.invariant_error(g.state, x, g.edges, 0.3).first().error < 1e-10
+    assert propagate.invariant_error(g.state, x, g.edges, 0.7).first().error < 1e-10
     assert etl.degree(g.edges).where("node = 0").first().deg == 3
     assert not apply_batch(store, e, 0, p)
