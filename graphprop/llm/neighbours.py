@@ -203,17 +203,25 @@ def nearest(embeddings: DataFrame, cfg: Forest = Forest(), id_col: str = "vec_id
         leaf = np.concatenate([trees.leaves(x, t) for t in range(cfg.trees)])
         return np.tile(np.arange(len(x)), cfg.trees), leaf, np.tile(ids, cfg.trees) % salts[leaf], np.zeros(len(x))
 
+    filed_points = np.stack([trees.leaves(points, t) for t in range(cfg.trees)], 1)
+
     def by_queue(x: np.ndarray, ids: np.ndarray):
-        found = [(i, leaf, salt) for i in range(len(x)) for leaf in trees.search(x[i], wanted) for salt in range(salts[leaf])]
-        row, leaf, salt = (np.array(v, np.int64) for v in zip(*found, strict=True))
-        # what is not among the best of the sample is not among the best of all
-        least = np.full(len(x), -np.inf)
-        if len(points) > k:
-            for lo in range(0, len(x), 64):
-                score = x[lo : lo + 64] @ points.T
-                kth = np.partition(score, len(points) - k, axis=1)[:, len(points) - k]
-                least[lo : lo + 64] = kth - 1e-9 * np.maximum(1, np.abs(kth))
-        return row, leaf, salt, least
+        row, leaf, least = [], [], np.full(len(x), -np.inf)
+        for i in range(len(x)):
+            taken = np.array(trees.search(x[i], wanted))
+            row.append(np.full(len(taken), i))
+            leaf.append(taken)
+            # what is not among the best of the sample's points in these leaves is not among the best of all in them
+            visited = np.zeros(len(salts), bool)
+            visited[taken] = True
+            score = points[visited[filed_points].any(1)] @ x[i]
+            if len(score) >= k:
+                kth = np.partition(score, len(score) - k)[len(score) - k]
+                least[i] = kth - 1e-9 * max(1.0, abs(kth))
+        row, leaf = np.concatenate(row), np.concatenate(leaf)
+        times = salts[leaf]
+        salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return np.repeat(row, times), np.repeat(leaf, times), salt, least
 
     met = _met(_file(table.where("asks = 1"), by_queue), _file(table, by_tree), k)
     merged = met.groupBy("q", "c", "first").agg(F.max("score").alias("score"))

@@ -44,13 +44,13 @@ def test_odd_rows_take_no_part(spark):
     assert nearest(table(spark, [(20, [1.0])])).collect() == []
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 50])
-def test_recall(spark, group_rows):
+@pytest.mark.parametrize(("group_rows", "sample_rows"), [(20_000, 4000), (50, 1000)])
+def test_recall(spark, group_rows, sample_rows):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
-    cfg = Forest(leaf_rows=128, sample_rows=2000, group_rows=group_rows)
+    cfg = Forest(leaf_rows=128, sample_rows=sample_rows, group_rows=group_rows)
     out, want = got(nearest(table(spark, rows), cfg)), brute(rows)
     assert out.keys() == want.keys()
     found = sum(len({i for _, i, _ in out[q]} & {i for _, i, _ in want[q]}) for q in want)
