@@ -51,12 +51,14 @@ def pack(values: np.ndarray) -> bytes:
     """Non-negative integers in as few bytes each as the largest needs, byte plane after byte plane."""
     most = int(values.max()) if len(values) else 0
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
-    raw = values.astype(kind).view(np.uint8).reshape(len(values), -1)
+    raw = values.astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize)
     return bytes([np.dtype(kind).itemsize]) + raw.T.tobytes()
 
 
 def unpack(data) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
+    if len(raw) == 1:
+        return np.empty(0, np.int64)
     return np.ascontiguousarray(raw[1:].reshape(raw[0], -1).T).view(f"<u{raw[0]}").ravel().astype(np.int64)
 
 

@@ -60,7 +60,7 @@ class Brute:
 
 def corpus(seed=1, n=60):
     rng = random.Random(seed)
-    return [(k, " ".join(rng.choice("abcdefghij") * rng.choice([1, 1, 2]) for _ in range(rng.randint(0, 60)))) for k in range(n)] + [(1000, "b a " * 300)]
+    return [(100 + k, " ".join(rng.choice("abcdefghij") * rng.choice([1, 1, 2]) for _ in range(rng.randint(0, 60)))) for k in range(n)] + [(1000, "b a " * 300)]
 
 
 @pytest.mark.parametrize("cfg", [Katz(), Katz(chunk_tokens=100, words_per_bucket=20, tokens_per_bucket=300, hot_history=40)])
