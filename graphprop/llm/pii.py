@@ -202,6 +202,8 @@ def redact(docs: DataFrame, cfg: Bootstrap = Bootstrap(), id_col: str = "doc_id"
     """
     columns = docs.columns
     added = personal_data(docs, cfg, id_col, text_col).where(F.size("added") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("added").alias("_added")).dropDuplicates(["_doc", "_hash"])
+    # written first, so that the planner knows their size and shuffles the texts only if they are many
+    added = Scratch(docs.sparkSession).keep(added, "added")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"))
     out = docs.join(added, same, "left")
     t, spans = F.col(text_col), F.col("_added")
