@@ -20,13 +20,15 @@ from graphprop.llm.toxicity import toxicity
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without ``ids``, which are written first: the planner then knows their size and shuffles texts only if they are many."""
+    ids = Scratch(docs.sparkSession).keep(ids.distinct(), "dropped")
     return docs.join(ids.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     scores = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.where("predicted = 1").select("doc_id").distinct())
+    return _without(docs, scores.where("predicted = 1").select("doc_id"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which at least a twentieth occurs in the benchmark go."""
     judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, judged.where("contaminated").select("doc_id").distinct())
+    return _without(docs, judged.where("contaminated").select("doc_id"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
