@@ -9,8 +9,11 @@ buckets of a length, so no length is gathered in one task.
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import os
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +28,7 @@ from graphprop.llm.store import Scratch
 
 @dataclass(frozen=True)
 class Packing:
-    """``nodes`` bounds the search, not the rows: where it ends early the best plan so far is used."""
+    """``nodes`` bounds each of the two searches, not the rows: where both end early the best plan so far is used."""
 
     capacity: int = 2048
     end_id: int = 0
@@ -245,12 +248,12 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     return [(held, many) for _, many, held in bins]
 
 
-def _fillings(counts: np.ndarray, room: int, most: int) -> list[Pattern]:
-    """Fillings of ``room``, the least waste first, of equal waste the fewest pieces.
+def _likely(counts: np.ndarray, room: int, most: int) -> list[Pattern]:
+    """A few fillings of ``room`` to try first, the least waste first, of equal waste the fewest pieces.
 
     A piece that fills the room alone dominates every other filling. Otherwise
     a greedy start of the longest pieces is completed by one piece or by the
-    best pair; a filling that another one contains with room to spare is left out.
+    best pair. ``_undominated`` has the others.
     """
     if counts[room] > 0:
         return [((room, 1),)]
@@ -292,45 +295,119 @@ def _fillings(counts: np.ndarray, room: int, most: int) -> list[Pattern]:
     return sorted(found, key=lambda p: (found[p], sum(n for _, n in p)))[:most]
 
 
+def _dominated(filling: Pattern, waste: int, others: int) -> bool:
+    """Whether a piece of ``others`` (a bit for each length) may take the place of some of the filling's, which then fit where that piece was."""
+    one, more = 0, 0  # sums of one piece, of two or more
+    for length, n in filling:
+        for _ in range(n):
+            more |= (one | more) << length
+            one |= 1 << length
+    near, width = one | more | 1, 1  # a sum and up to width - 1 beyond it
+    while width < waste:
+        step = min(width, waste - width)
+        near |= near << step
+        width += step
+    return bool(more & others or waste and near << 1 & others)
+
+
+def _undominated(counts: np.ndarray, room: int, spare: int) -> Iterator[Pattern | None]:
+    """All fillings of ``room`` that waste at most ``spare`` and that no other dominates, depth first; None for each that does not count, so that the caller may stop."""
+    have = np.flatnonzero(counts[: room + 1] > 0)
+    reach = np.cumsum(have * counts[have]).tolist()
+    sizes, stock = have.tolist(), counts[have].tolist()
+    held = int.from_bytes(np.packbits(counts[: room + 1] > 0, bitorder="little").tobytes(), "little")
+
+    def deeper(k: int, left: int, taken: Pattern, others: int) -> Iterator[Pattern | None]:
+        for i in range(min(k, bisect.bisect_right(sizes, left)) - 1, -1, -1):
+            if left - reach[i] > spare:
+                break
+            for n in range(min(stock[i], left // sizes[i]), 0, -1):
+                yield from deeper(i, left - n * sizes[i], (*taken, (sizes[i], n)), others ^ (1 << sizes[i]) if n == stock[i] else others)
+        yield None if left > spare or _dominated(taken, left, others) else taken
+
+    yield from deeper(len(sizes), room, (), held)
+
+
+def _steps(left: np.ndarray, capacity: int, spare: int, branches: int, every: bool) -> Iterator[tuple[Pattern, int] | None]:
+    """What may be done about the longest piece: likely patterns as often as the counts allow; with ``every`` also all others, and each less often, by halves down to once."""
+    x = int(np.flatnonzero(left)[-1])
+    rest = left.copy()
+    rest[x] -= 1
+
+    def often(filling: Pattern) -> tuple[Pattern, int]:
+        parts = dict(filling)
+        parts[x] = parts.get(x, 0) + 1
+        pattern = tuple(sorted(parts.items(), reverse=True))
+        return pattern, min(int(left[k]) // n for k, n in pattern)
+
+    likely = [often(f) for f in _likely(rest, capacity - x, branches)]
+    yield from likely
+    if not every:
+        return
+    for pattern, times in likely:
+        while times := times // 2:
+            yield pattern, times
+    tried = {pattern for pattern, _ in likely}
+    for filling in _undominated(rest, capacity - x, spare):
+        pattern, times = often(filling) if filling is not None else ((), 0)
+        if not times:
+            yield None
+        elif pattern not in tried:
+            while times:
+                yield pattern, times
+                times //= 2
+
+
 def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 6000, branches: int = 4) -> list[tuple[Pattern, int]]:
-    """As few sequences as the search finds for ``counts[length]`` pieces of each length.
+    """As few sequences as the search finds for ``counts[length]`` pieces of each length; the fewest, if ``nodes`` suffice.
 
-    Depth first: complete the longest piece left with its least wasteful
-    fillings, as often as the counts allow. The incumbent is best-fit
+    Depth first: complete the longest piece left. The incumbent is best-fit
     decreasing; a branch whose waste already excludes fewer sequences is cut,
-    and reaching the lower bound ends the search.
+    as is a rest that was met with no more sequences before, and reaching the
+    lower bound ends the search. A first search takes likely fillings only, a
+    second one every filling that no other dominates. ``nodes`` bounds each;
+    steps and fillings that are tried in vain count.
     """
     best = best_fit(counts, capacity)
     most = sum(n for _, n in best)
     size = np.arange(len(counts))
-    least = max(-(-int((counts * size).sum()) // capacity), int(counts[capacity // 2 + 1 :].sum()))
-    stack: list[tuple[np.ndarray, int, int, tuple | None]] = [(counts.copy(), int((counts * size).sum()), 0, None)]
-    while stack and most > least and nodes:
-        left, total, used, path = stack.pop()
-        nodes -= 1
-        if not total:
-            if used < most:
-                most, best = used, []
-                while path:
-                    best.append(path[0])
-                    path = path[1]
-            continue
-        if used + max(-(-total // capacity), int(left[capacity // 2 + 1 :].sum())) >= most:
-            continue
-        x = int(np.flatnonzero(left)[-1])
-        rest = left.copy()
-        rest[x] -= 1
-        children = []
-        for filling in _fillings(rest, capacity - x, branches):
-            parts = dict(filling)
-            parts[x] = parts.get(x, 0) + 1
-            pattern = tuple(sorted(parts.items(), reverse=True))
-            times = min(int(left[k]) // n for k, n in pattern)
+    total = int((counts * size).sum())
+    long = slice(capacity // 2 + 1, None)
+    least = max(-(-total // capacity), int(counts[long].sum()))
+    if most <= least:
+        return best
+    for every in (False, True):
+        met: dict[bytes, int] = {}
+        path: list[tuple[Pattern, int]] = []
+        stack = [(counts, total, 0, _steps(counts, capacity, (most - 1) * capacity - total, branches, every))]
+        tries = nodes
+        while stack and most > least and tries:
+            left, sum_left, used, steps = stack[-1]
+            step = next(steps, ())
+            if step == ():
+                stack.pop()
+                del path[-1:]
+                continue
+            tries -= 1
+            if step is None:
+                continue
+            pattern, times = step
             after = left.copy()
             for k, n in pattern:
                 after[k] -= n * times
-            children.append((after, total - times * sum(k * n for k, n in pattern), used + times, ((pattern, times), path)))
-        stack += children[::-1]
+            rest, now = sum_left - times * sum(k * n for k, n in pattern), used + times
+            if not rest:
+                if now < most:
+                    most, best = now, [*path, step]
+                continue
+            if now + max(-(-rest // capacity), int(after[long].sum())) >= most:
+                continue
+            key = hashlib.blake2b(after.tobytes(), digest_size=16).digest()
+            if met.get(key, most) <= now:
+                continue
+            met[key] = now
+            path.append(step)
+            stack.append((after, rest, now, _steps(after, capacity, (most - 1 - now) * capacity - rest, branches, every)))
     return best
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -95,6 +96,45 @@ def test_completion_beats_best_fit():
     assert own <= sum(n for _, n in packing.best_fit(counts, 100))
 
 
+def fewest(counts, capacity):
+    """The optimum, by trying every filling of each sequence in turn."""
+
+    @functools.cache
+    def best(left):
+        top = max((k for k, n in enumerate(left) if n), default=0)
+        if not top:
+            return 0
+        return 1 + min(best(rest) for rest in fillings(left, top, capacity, True))
+
+    def fillings(left, k, room, first=False):
+        if not k:
+            yield left
+            return
+        for n in range(int(first), min(left[k], room // k) + 1):
+            yield from fillings((*left[:k], left[k] - n, *left[k + 1 :]), k - 1, room - n * k)
+
+    return best(tuple(int(n) for n in counts))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 16), st.integers(1, 4), max_size=4))
+def test_the_whole_search_finds_the_optimum(some):
+    counts = np.zeros(17, np.int64)
+    for k, n in some.items():
+        counts[k] = n
+    own = packing.bin_completion(counts, 16, nodes=10**6)
+    assert whole(own, counts)
+    assert sum(n for _, n in own) == fewest(counts, 16)
+
+
+def test_long_fillings_less_often_than_the_counts_allow():
+    counts = np.zeros(2049, np.int64)
+    counts[1100], counts[700], counts[316] = 8, 8, 24
+    own = packing.bin_completion(counts, 2048)
+    assert whole(own, counts)
+    assert sum(n for _, n in own) == 11  # 6 of 1100+3*316, 2 of 1100+700, 3 of 2*700+2*316
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_the_bound_on_many_pieces(seed):
     rng = np.random.default_rng(seed)
