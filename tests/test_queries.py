@@ -43,3 +43,8 @@ def test_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_push_and_walk_takes_every_dimension(spark):
+    out = QUERIES["push_and_walk"](spark, SF)
+    assert {r.dim for r in out.select("dim").distinct().collect()} == {0, 1, 2, 3}
