@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 from graphprop.llm import pii
 from graphprop.llm.decontaminate import decontaminate
-from graphprop.llm.near_dedup import near_duplicates
+from graphprop.llm.near_dedup import NearDedup, near_duplicates
 from graphprop.llm.packing import packed
 from graphprop.llm.store import Scratch
 from graphprop.llm.toxicity import toxicity
 
 
+#: The stage links from 0.8; a pair at 0.8 shares none of the 31 bands of 4 once in 12 million.
+NEAR = NearDedup(numerator=80, bands=31, rows=4)
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without ``ids``, which are written first: the planner then knows their size and shuffles texts only if they are many."""
     ids = Scratch(docs.sparkSession).keep(ids.distinct(), "dropped")
@@ -33,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    found = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    found = near_duplicates(docs, NEAR).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     return _without(docs, found.where("not kept").select("doc_id"))
 
 

@@ -38,6 +38,14 @@ def test_each_stage_drops_what_it_should(spark):
     assert ids(cp.drop_toxic(spark, docs, SF)) == {1, 2, 3, 4, 5, None}
 
 
+def test_near_duplicates_go_from_four_fifths(spark):
+    word = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, word("a", 60)), (2, word("a", 60) + " " + word("x", 12)), (3, word("b", 60)), (4, word("b", 60) + " " + word("y", 14)), (5, word("c", 60)), (6, word("c", 60) + " " + word("z", 15))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    # 56 of 68, of 70 and of 71 shingles
+    assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, SF).collect()} == {1, 3, 5, 6}
+
+
 def test_registry():
     names = __spark_entry__.queries()
     for n in range(1, 11):
