@@ -33,8 +33,8 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: Tokens that look like identifiers: runs of digit groups, or anything with a digit or an at sign.
-CANDIDATE = r"(?<!\S)(?:\(?[0-9](?:[().\x20-]{0,3}[0-9])*+(?![^\s,;:!?.])|\S*[0-9@]\S*)"
+#: Tokens that look like identifiers: runs of digit groups, or anything with a digit or an at sign, also as [at].
+CANDIDATE = r"(?<!\S)(?:\(?[0-9](?:[().\x20-]{0,3}[0-9])*+(?![^\s,;:!?.])|\S*(?:[0-9@]|\[at\])\S*)"
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 

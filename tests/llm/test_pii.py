@@ -64,6 +64,15 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert cut[3].text == "some text here Telefon: <phone> und mehr words follow"
 
 
+def test_addresses_without_digits_or_at_sign(spark):
+    rows = [(k, f"some text here Mail: user{k}@example.com und mehr words follow") for k in range(8)]
+    rows += [(50, "noch ein Text Mail: john[at]example.com und Ende"), (51, "item john[at] example.com elsewhere")]
+    out = rows_of(pii.digest(pii.personal_data(documents(spark, rows))))
+    at = rows[8][1].index("john")
+    assert out[50].spans == f"email:{at}:{at + len('john[at]example.com')}"
+    assert out[51].spans == ""
+
+
 def test_redaction_leaves_the_rest(spark):
     docs = documents(spark, TEXTS)
     out = {r.doc_id: r for r in pii.redact(docs).collect()}
