@@ -5,7 +5,8 @@ patterns: the word before, the word after, and both. Other tokens that look
 like identifiers are candidates. A graph of patterns and instances is scored in
 rounds: a pattern is as sure as the share of its instances that are (believed
 to be) of one kind, an instance as sure as its patterns together make it.
-Candidates that end above the threshold become spans of that kind.
+Candidates that end above the threshold become spans of that kind, and count as
+seeds of further patterns, until no more are found.
 
 One pass over the texts keeps spans, candidates and their contexts; all later
 steps work on that small table.
@@ -49,7 +50,7 @@ SHAPES = {
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """``min_support`` distinct seeds make a context a pattern of a kind; below ``min_pattern`` it proposes nothing."""
+    """``min_support`` distinct seeds, base or accepted, make a context a pattern of a kind; below ``min_pattern`` it proposes nothing. ``rounds`` score each set of patterns."""
 
     rounds: int = 3
     min_support: int = 3
@@ -155,20 +156,31 @@ def discover(found: DataFrame, cfg: Bootstrap, scratch: Scratch) -> DataFrame:
     seeds = reduce(DataFrame.unionByName, [found.select(F.explode(k).alias("x")).select(F.lit(k).alias("kind"), F.lower("x.m").alias("instance"), F.col("x.l").alias("l"), F.col("x.r").alias("r")) for k in KINDS])
     seed_edge = _contexts(seeds).groupBy("pattern", "kind", "instance").agg(F.lit(1.0).alias("score"))
     all_edge = scratch.keep(_contexts(loose).groupBy("pattern", "instance").agg(F.first("kinds").alias("kinds")), "edges")
-    seen = seed_edge.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
-    other = all_edge.groupBy("pattern").agg(F.count(F.lit(1)).alias("loose"))
-    total = seen.groupBy("pattern").agg(F.sum("seeds").alias("seed_total")).join(other, "pattern", "left")
-    pattern = scratch.keep(
-        seen.where(F.col("seeds") >= cfg.min_support).join(total, "pattern").select("pattern", "kind", "seeds", (F.col("seed_total") + F.coalesce("loose", F.lit(0)) + 1).alias("size")), "patterns"
-    )
-    offered = scratch.keep(all_edge.select("pattern", "instance", F.explode("kinds").alias("kind")).join(pattern.select("pattern", "kind"), ["pattern", "kind"], "left_semi"), "offered")
-    score = offered.select("kind", "instance").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(cfg.rounds):
-        believed = offered.join(score, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-        sure = pattern.join(believed, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("size")).alias("sure")).where(F.col("sure") >= cfg.min_pattern)
-        score = offered.join(sure, ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("sure", F.lit(0.999)))))).alias("score"))
-        score = scratch.keep(score, "scores")
-    best = score.where(F.col("score") >= cfg.min_instance).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("confidence"))
+    accepted = None
+    while True:
+        edge, rest = seed_edge.select("pattern", "kind", "instance"), all_edge
+        if accepted is not None:
+            edge = edge.unionByName(all_edge.join(accepted, "instance").select("pattern", "kind", "instance")).distinct()
+            rest = all_edge.join(accepted, "instance", "left_anti")
+        seen = edge.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
+        other = rest.groupBy("pattern").agg(F.count(F.lit(1)).alias("loose"))
+        total = seen.groupBy("pattern").agg(F.sum("seeds").alias("seed_total")).join(other, "pattern", "left")
+        pattern = scratch.keep(
+            seen.where(F.col("seeds") >= cfg.min_support).join(total, "pattern").select("pattern", "kind", "seeds", (F.col("seed_total") + F.coalesce("loose", F.lit(0)) + 1).alias("size")), "patterns"
+        )
+        offered = scratch.keep(rest.select("pattern", "instance", F.explode("kinds").alias("kind")).join(pattern.select("pattern", "kind"), ["pattern", "kind"], "left_semi"), "offered")
+        score = offered.select("kind", "instance").distinct().withColumn("score", F.lit(0.0))
+        for _ in range(cfg.rounds):
+            believed = offered.join(score, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
+            sure = pattern.join(believed, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("size")).alias("sure")).where(F.col("sure") >= cfg.min_pattern)
+            score = offered.join(sure, ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("sure", F.lit(0.999)))))).alias("score"))
+            score = scratch.keep(score, "scores")
+        best = score.where(F.col("score") >= cfg.min_instance).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("confidence"))
+        new = scratch.keep(best, "accepted")
+        if not new.limit(1).count():
+            break
+        accepted = new if accepted is None else scratch.keep(accepted.unionByName(new), "accepted")
+    best = new if accepted is None else accepted
     return loose.join(best, "instance").where(F.array_contains("kinds", F.col("kind"))).select("row", "kind", "s", "e", "confidence")
 
 

@@ -64,6 +64,18 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert cut[3].text == "some text here Telefon: <phone> und mehr words follow"
 
 
+def test_discovered_identifiers_make_further_patterns(spark):
+    rows = [(k, f"some text here Telefon: +49 30 555{k:04d} und mehr words follow") for k in range(12)]
+    rows += [(20 + k, f"noch ein Text Telefon: 030 1234 56{k} und Ende") for k in range(5)]
+    rows += [(30 + k, f"ganz anders Ruf: 030 1234 56{k} oder nie") for k in range(5)]
+    rows += [(50, "ganz anders Ruf: 040 9876 543 oder nie"), (51, "item 030 9999 568 elsewhere")]
+    out = rows_of(pii.digest(pii.personal_data(documents(spark, rows))))
+    at = rows[-2][1].index("040")
+    assert all(out[20 + k].n_added == 1 and out[30 + k].n_added == 1 for k in range(5))
+    assert out[50].spans == f"phone:{at}:{at + len('040 9876 543')}"
+    assert out[51].spans == ""
+
+
 def test_addresses_without_digits_or_at_sign(spark):
     rows = [(k, f"some text here Mail: user{k}@example.com und mehr words follow") for k in range(8)]
     rows += [(50, "noch ein Text Mail: john[at]example.com und Ende"), (51, "item john[at] example.com elsewhere")]
