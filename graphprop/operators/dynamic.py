@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from graphprop.operators.etl import degree
 from graphprop.operators.propagate import over, push, thresholds
 from graphprop.session import Params
+from graphprop.tables import Scratch
 
 
 def toggles(edges: DataFrame, updates: DataFrame) -> DataFrame:
@@ -94,34 +95,33 @@ class Graph:
 
     def repaired(self, updates: DataFrame, params: Params) -> tuple[Graph, DataFrame]:
         """The graph after the batch with the invariant restored, and the affected nodes; nothing is pushed yet."""
-        toggle, nodes = toggles(self.edges, updates), affected(updates)
-        after = apply(self.edges, toggle)
-        deg = degrees(self.edges, toggle, nodes)
+        scratch = Scratch(self.edges.sparkSession)
+        toggle, nodes = scratch.keep(toggles(self.edges, updates), "toggles"), scratch.keep(affected(updates), "affected")
+        after = scratch.keep(apply(self.edges, toggle), "edges")
+        deg = scratch.keep(degrees(self.edges, toggle, nodes), "degrees")
         scaled = rescale(self.state, deg, params.alpha)
         return Graph(after, self.features, repair(scaled, self.features, deg, toggle, degree(after), params.alpha)), nodes
 
     def update(self, updates: DataFrame, params: Params = Params()) -> Graph:
         """The batch update: repair, then push to the tolerance."""
-        from graphprop.tables import Scratch
-
-        scratch = Scratch(self.edges.sparkSession)
         after, _ = self.repaired(updates, params)
-        edges = scratch.keep(after.edges, "edges")
-        return Graph(edges, self.features, push(after.state, edges, thresholds(self.features, params.rmax), params))
+        return Graph(after.edges, self.features, push(after.state, after.edges, thresholds(self.features, params.rmax), params))
 
 
 def _single_toggles(updates: DataFrame, first: int, last: int):
-    """For each line ``first < seq <= last``: seq and the undirected toggle (src, dst); a line that reverses the one before belongs to it."""
+    """For each line ``first < seq <= last``: seq and the undirected toggle (src, dst); a line that reverses the one before belongs to it.
+
+    The lines are sorted once and fetched partition after partition.
+    """
     before = None
-    for seq in range(first + 1, last + 1):
-        for r in updates.where(F.col("seq") == seq).select("src", "dst").limit(1).collect():
-            if r.src == r.dst:
-                raise ValueError("self loops cannot be toggled one at a time")
-            if before == (r.dst, r.src):
-                before = None
-                continue
-            before = (r.src, r.dst)
-            yield seq, updates.sparkSession.createDataFrame([(r.src, r.dst), (r.dst, r.src)], "src long, dst long")
+    for r in updates.where((F.col("seq") > first) & (F.col("seq") <= last)).select("seq", "src", "dst").orderBy("seq").toLocalIterator():
+        if r.src == r.dst:
+            raise ValueError("self loops cannot be toggled one at a time")
+        if before == (r.dst, r.src):
+            before = None
+            continue
+        before = (r.src, r.dst)
+        yield r.seq, updates.sparkSession.createDataFrame([(r.src, r.dst), (r.dst, r.src)], "src long, dst long")
 
 
 def update_one_by_one(graph: Graph, updates: DataFrame, first: int, last: int, params: Params = Params()) -> Graph:

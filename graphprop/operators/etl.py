@@ -56,7 +56,7 @@ def drop_self_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst")
 
 
-def _numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """Global 0-based numbers in the order of ``keys``, without one task holding all rows.
 
     Rows are ranged into partitions, counted, and numbered within; the counts
@@ -77,7 +77,7 @@ def hash_order(src: Column, dst: Column, seed: int) -> Column:
 def batches(edges: DataFrame, n_batches: int, seed: int = 7) -> DataFrame:
     """``edges`` permuted and cut into ``n_batches`` disjoint batches of equal size; the remainder is dropped."""
     keys = [hash_order(F.col("src"), F.col("dst"), seed), F.col("src"), F.col("dst")]
-    numbered = _numbered(edges.select("src", "dst"), keys, "seq")
+    numbered = numbered(edges.select("src", "dst"), keys, "seq")
     size = F.floor(F.lit(1.0) * edges.count() / n_batches).cast("long")
     return numbered.withColumn("batch", F.floor(F.col("seq") / F.greatest(size, F.lit(1))).cast("int")).where((F.col("batch") < n_batches) & (size > 0))
 
@@ -107,7 +107,7 @@ def snapshots(init: DataFrame, batched: DataFrame, n_batches: int) -> DataFrame:
 def bucket_times(edges: DataFrame, step: int, time: str = "t") -> DataFrame:
     """Number the distinct times in order and merge every ``step`` of them."""
     times = edges.select(time).distinct()
-    number = _numbered(times, [F.col(time)], "_k").select(time, F.floor(F.col("_k") / step).cast("int").alias("bucket"))
+    number = numbered(times, [F.col(time)], "_k").select(time, F.floor(F.col("_k") / step).cast("int").alias("bucket"))
     return edges.join(number, time)
 
 
@@ -120,7 +120,7 @@ def reindex_labelled_first(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
     """(node, new_id): labelled nodes first, then the others, each in the order of ids."""
     flag = labelled.select("node").distinct().withColumn("_y", F.lit(0))
     marked = nodes.select("node").distinct().join(flag, "node", "left").withColumn("_y", F.coalesce("_y", F.lit(1)))
-    return _numbered(marked, [F.col("_y"), F.col("node")], "new_id").drop("_y")
+    return numbered(marked, [F.col("_y"), F.col("node")], "new_id").drop("_y")
 
 
 def year_of(date: Column) -> Column:
@@ -130,7 +130,7 @@ def year_of(date: Column) -> Column:
 
 def label_encode(rows: DataFrame, column: str, name: str = "y") -> DataFrame:
     """Distinct values in order become 0, 1, ...; the codes are joined back."""
-    codes = _numbered(rows.select(column).distinct(), [F.col(column)], name).withColumn(name, F.col(name).cast("int"))
+    codes = numbered(rows.select(column).distinct(), [F.col(column)], name).withColumn(name, F.col(name).cast("int"))
     return rows.join(codes, column)
 
 
@@ -154,11 +154,11 @@ def stratified_split(labels: DataFrame, train: float = 0.4, val: float = 0.2, se
 
 def temporal_split(edges: DataFrame, train_stamps: float = 0.7, val: float = 0.1, test: float = 0.2, seed: int = 7) -> DataFrame:
     """(t, src, dst, split): the first ``ceil(train_stamps * stamps)`` stamps train; of the later edges, permuted, shares of all edges are val and test."""
-    times = _numbered(edges.select("t").distinct(), [F.col("t")], "_k")
+    times = numbered(edges.select("t").distinct(), [F.col("t")], "_k")
     n = times.agg(F.count(F.lit(1)).alias("stamps"))
     staged = edges.join(times.crossJoin(F.broadcast(n)), "t").withColumn("_train", F.col("_k") < F.ceil(F.col("stamps") * train_stamps))
     total = edges.count()
-    late = _numbered(staged.where("not _train").select("t", "src", "dst"), [hash_order(F.col("src"), F.col("dst"), seed), F.col("src"), F.col("dst"), F.col("t")], "_r")
+    late = numbered(staged.where("not _train").select("t", "src", "dst"), [hash_order(F.col("src"), F.col("dst"), seed), F.col("src"), F.col("dst"), F.col("t")], "_r")
     n_val, n_test = int(total * val), int(total * test)
     split = F.when(F.col("_r") < n_val, "val").when(F.col("_r") < n_val + n_test, "test")
     return staged.where("_train").select("t", "src", "dst", F.lit("train").alias("split")).union(late.select("t", "src", "dst", split.alias("split")).where(F.col("split").isNotNull()))

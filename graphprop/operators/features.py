@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphprop.operators.etl import _numbered, hash_order
+from graphprop.operators.etl import numbered, hash_order
 
 
 def _scaled(x: Column, mean: Column, sd: Column) -> Column:
@@ -36,8 +36,8 @@ def column_sums(features: DataFrame) -> DataFrame:
 def permute_rows(features: DataFrame, seed: int = 7) -> DataFrame:
     """Give each node the row of another: nodes in the order of ids get the rows in the order of a hash."""
     nodes = features.select("node").distinct()
-    by_id = _numbered(nodes, [F.col("node")], "_k")
-    by_hash = _numbered(nodes, [hash_order(F.col("node"), F.lit(1).cast("long"), seed), F.col("node")], "_k").withColumnRenamed("node", "_from")
+    by_id = numbered(nodes, [F.col("node")], "_k")
+    by_hash = numbered(nodes, [hash_order(F.col("node"), F.lit(1).cast("long"), seed), F.col("node")], "_k").withColumnRenamed("node", "_from")
     moved = by_id.join(by_hash, "_k").drop("_k")
     rest = features.withColumnRenamed("node", "_from")
     return rest.join(moved, "_from").select(*features.columns)

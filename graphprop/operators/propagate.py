@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphprop.operators.etl import degree
@@ -26,6 +26,11 @@ def weights(edges: DataFrame) -> DataFrame:
     return edges.join(s, "src").join(d, "dst").select("src", "dst", (1.0 / F.sqrt(F.col("_s").cast("double") * F.col("_d"))).alias("w"))
 
 
+def kept_weights(edges: DataFrame) -> DataFrame:
+    """``weights``, written once: for plans that read them at every step."""
+    return Scratch(edges.sparkSession).keep(weights(edges), "weights")
+
+
 def reverse_weights(edges: DataFrame) -> DataFrame:
     """(src, dst, w) with w = 1/deg_dst: the weights of the reverse push."""
     d = degree(edges).select(F.col("node").alias("dst"), F.col("deg").alias("_d"))
@@ -54,7 +59,7 @@ def push_all(state: DataFrame, w: DataFrame, alpha: float, rounds: int) -> DataF
 
 def propagate(features: DataFrame, edges: DataFrame, depth: int, alpha: float) -> DataFrame:
     """(node, dim, x): the fixed-depth recurrence h = alpha x + (1-alpha) P h, started from alpha x."""
-    w = weights(edges)
+    w = kept_weights(edges)
     h = features.withColumn("x", alpha * F.col("x"))
     base = h
     for _ in range(depth):
@@ -72,39 +77,78 @@ def convolve(features: DataFrame, edges: DataFrame, matrix: list[list[float]]) -
 
 
 def thresholds(features: DataFrame, rmax: float) -> DataFrame:
-    """(dim, hi, lo): rmax times the signed column sums; a row is pushed above ``hi`` or below ``lo``."""
-    return column_sums(features).select("dim", (rmax * F.col("pos")).alias("hi"), (rmax * F.col("neg")).alias("lo"))
+    """(dim, hi, lo): rmax times the signed column sums; a row is pushed above ``hi`` or below ``lo``.
+
+    A column of one sign has the threshold of that sign on both sides: with 0
+    for the other, the least residual of that sign would be pushed for ever.
+    """
+    pos, neg = F.col("pos"), F.col("neg")
+    return column_sums(features).select("dim", (rmax * F.when(pos > 0, pos).otherwise(-neg)).alias("hi"), (rmax * F.when(neg < 0, neg).otherwise(-pos)).alias("lo"))
+
+
+def _outside() -> Column:
+    return (F.col("r") > F.col("hi")) | (F.col("r") < F.col("lo"))
 
 
 def over(state: DataFrame, limit: DataFrame) -> DataFrame:
     """The rows outside the thresholds: the frontier."""
-    return state.join(limit, "dim").where((F.col("r") > F.col("hi")) | (F.col("r") < F.col("lo"))).select(*state.columns)
+    return state.join(limit, "dim").where(_outside()).select(*state.columns)
+
+
+def _give(marked: DataFrame, w: DataFrame, alpha: float) -> DataFrame:
+    """The state after the rows marked ``_go`` have given their residual away: what stays and what arrives, in one sum."""
+    go, r = F.col("_go"), F.col("r")
+    stays = marked.select("node", "dim", F.when(go, F.col("pi") + alpha * r).otherwise(F.col("pi")).alias("pi"), F.when(go, 0.0).otherwise(r).alias("r"))
+    given = marked.where(go).select("node", "dim", ((1 - alpha) * r).alias("m"))
+    moved = given.join(w, given["node"] == w["src"]).select(F.col("dst").alias("node"), "dim", F.lit(0.0).alias("pi"), (F.col("m") * F.col("w")).alias("r"))
+    return stays.unionAll(moved).groupBy("node", "dim").agg(F.sum("pi").alias("pi"), F.sum("r").alias("r"))
 
 
 def push_round(state: DataFrame, w: DataFrame, limit: DataFrame, alpha: float) -> DataFrame:
     """One synchronous round: rows over the threshold give their residual away."""
-    marked = state.join(limit, "dim").withColumn("_go", (F.col("r") > F.col("hi")) | (F.col("r") < F.col("lo"))).select("node", "dim", "pi", "r", "_go")
-    moved = step(marked.where("_go").select("node", "dim", ((1 - alpha) * F.col("r")).alias("m")), w, "m")
-    go, m = F.coalesce("_go", F.lit(False)), F.coalesce("m", F.lit(0.0))
-    pi, r = F.coalesce("pi", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
-    return marked.join(moved, ["node", "dim"], "full").select("node", "dim", F.when(go, pi + alpha * r).otherwise(pi).alias("pi"), F.when(go, m).otherwise(r + m).alias("r"))
+    return _give(state.join(limit, "dim").withColumn("_go", _outside()), w, alpha)
 
 
-def push(state: DataFrame, edges: DataFrame, limit: DataFrame, params: Params = Params(), w: DataFrame | None = None) -> DataFrame:
-    """Push until no residual is outside the thresholds.
+class _Loop:
+    """A state pushed round by round, each one job: the rows that are still to go are counted while the state is written.
 
-    The driver holds a round counter and one boolean. Each table of the loop is
-    written in the shared folder, so a lost executor costs its tasks only.
+    The driver holds a round counter and that number. Each state is written in
+    the shared folder and the one before deleted, so a lost executor costs its
+    tasks only. Weights stay partitioned by source; lost blocks of them are read
+    again from their table.
     """
-    scratch = Scratch(state.sparkSession)
-    w = scratch.keep(weights(edges) if w is None else w, "weights")
-    limit = scratch.keep(limit, "limits")
-    state = scratch.keep(state, "state")
-    for k in range(params.max_rounds):
-        if k % params.check_every == 0 and not over(state, limit).limit(1).count():
-            break
-        state = scratch.keep(push_round(state, w, limit, params.alpha), "state")
-    return state
+
+    def __init__(self, state: DataFrame, w: DataFrame, side: DataFrame, key: str, alpha: float, most: int):
+        self.scratch = Scratch(state.sparkSession)
+        n = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.w = self.scratch.keep(w, "weights").repartition(n, "src").persist()
+        self.side, self.key, self.alpha, self.most = side, key, alpha, most
+        self.state, self.rounds = self.scratch.keep(state, "state"), 0
+
+    def run(self, go: Column) -> None:
+        """Push until no row of the state, joined to its thresholds, is one to ``go``."""
+        left = self.state.join(self.side, self.key).where(go).limit(1).count()
+        while left:
+            if self.rounds == self.most:
+                raise RuntimeError(f"{left} residuals are still outside the thresholds after {self.most} rounds")
+            seen = Observation()
+            after = _give(self.state.join(self.side, self.key).withColumn("_go", go), self.w, self.alpha)
+            marked = after.join(self.side, self.key, "left").observe(seen, F.count_if(go).alias("left")).select("node", "dim", "pi", "r")
+            self.state = self.scratch.replace(marked, "state")
+            self.rounds += 1
+            left = seen.get["left"]
+
+    def done(self) -> DataFrame:
+        self.w.unpersist()
+        return self.state
+
+
+def push(state: DataFrame, edges: DataFrame, limit: DataFrame, params: Params = Params(), w: DataFrame | None = None) -> DataFrame:
+    """Push until no residual is outside the thresholds; raises if ``params.max_rounds`` do not suffice."""
+    limit = Scratch(state.sparkSession).keep(limit, "limits")
+    loop = _Loop(state, weights(edges) if w is None else w, limit, "dim", params.alpha, params.max_rounds)
+    loop.run(_outside())
+    return loop.done()
 
 
 def initial_operation(features: DataFrame, edges: DataFrame, params: Params = Params()) -> DataFrame:
@@ -123,7 +167,7 @@ def reverse_push(edges: DataFrame, seeds: DataFrame, rho: float | DataFrame, alp
 
     With ``rounds`` it is that many rounds that push everything, as one plan.
     """
-    w = reverse_weights(edges)
+    w = Scratch(edges.sparkSession).keep(reverse_weights(edges), "weights")
     state = seeds.select("node").distinct().select("node", F.lit(0).alias("dim"), F.lit(0.0).alias("pi"), F.lit(1.0).alias("r"))
     if rounds is not None:
         state = push_all(state, w, alpha, rounds)
@@ -151,18 +195,12 @@ def scale_schedule(n: int, avg_degree: float, epsilon: float, lower: float, gamm
 
 def push_by_degree(state: DataFrame, edges: DataFrame, walks: int, scales: list[float], params: Params) -> DataFrame:
     """The push that leaves work for walks: in units of walks, rows with |(1-alpha) r| >= deg * scale give way, scale after scale."""
-    scratch = Scratch(state.sparkSession)
-    w, deg = scratch.keep(weights(edges), "weights"), scratch.keep(degree(edges), "degrees")
-    state = scratch.keep(state.withColumn("r", F.col("r") * walks).withColumn("pi", F.col("pi") * walks), "state")
+    deg = Scratch(state.sparkSession).keep(degree(edges), "degrees")
+    scaled = state.select("node", "dim", (F.col("pi") * walks).alias("pi"), (F.col("r") * walks).alias("r"))
+    loop = _Loop(scaled, weights(edges), deg, "node", params.alpha, params.max_rounds)
     for scale in scales:
-        for _ in range(params.max_rounds):
-            marked = state.join(deg, "node").withColumn("_go", F.abs((1 - params.alpha) * F.col("r")) >= F.col("deg") * scale)
-            if not marked.where("_go").limit(1).count():
-                break
-            moved = step(marked.where("_go").select("node", "dim", ((1 - params.alpha) * F.col("r")).alias("m")), w, "m")
-            m, go, pi, r = F.coalesce("m", F.lit(0.0)), F.coalesce("_go", F.lit(False)), F.coalesce("pi", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
-            state = scratch.keep(marked.join(moved, ["node", "dim"], "full").select("node", "dim", F.when(go, pi + params.alpha * r).otherwise(pi).alias("pi"), F.when(go, m).otherwise(r + m).alias("r")), "state")
-    return state.withColumn("r", F.col("r") / walks).withColumn("pi", F.col("pi") / walks)
+        loop.run(F.abs((1 - params.alpha) * F.col("r")) >= F.col("deg") * scale)
+    return loop.done().select("node", "dim", (F.col("pi") / walks).alias("pi"), (F.col("r") / walks).alias("r"))
 
 
 def invariant_error(state: DataFrame, features: DataFrame, edges: DataFrame, alpha: float) -> DataFrame:

@@ -79,13 +79,13 @@ class Fixture:
 
 
 HEAD = f"""
-WITH ol AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
-pair AS (SELECT a.p AS src, b.p AS dst, CAST(min(year(o_orderdate)) AS BIGINT) AS y FROM ol a JOIN ol b ON a.o = b.o AND a.p < b.p JOIN orders ON o_orderkey = a.o GROUP BY a.p, b.p),
+WITH RECURSIVE ol AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+pair AS MATERIALIZED (SELECT a.p AS src, b.p AS dst, CAST(min(year(o_orderdate)) AS BIGINT) AS y FROM ol a JOIN ol b ON a.o = b.o AND a.p < b.p JOIN orders ON o_orderkey = a.o GROUP BY a.p, b.p),
 node AS (SELECT p_partkey AS node FROM part),
 und AS (SELECT src, dst FROM pair UNION ALL SELECT dst, src FROM pair),
 e AS (SELECT src, dst FROM und UNION ALL SELECT node, node FROM node),
 ip AS (SELECT src, dst FROM pair WHERE y < {FIRST_UPDATE}),
-ie AS (SELECT src, dst FROM ip UNION ALL SELECT dst, src FROM ip UNION ALL SELECT node, node FROM node),
+ie AS MATERIALIZED (SELECT src, dst FROM ip UNION ALL SELECT dst, src FROM ip UNION ALL SELECT node, node FROM node),
 later AS (SELECT CAST(y - {FIRST_UPDATE} + 1 AS INTEGER) AS batch, src, dst FROM pair WHERE y >= {FIRST_UPDATE}),
 one AS (SELECT src, dst FROM pair WHERE y = {FIRST_UPDATE}
   UNION ALL SELECT src, dst FROM ip WHERE (src * 31 + dst * 17) % 97 = 0
@@ -93,16 +93,16 @@ one AS (SELECT src, dst FROM pair WHERE y = {FIRST_UPDATE}
 upd AS (SELECT src, dst FROM one UNION ALL SELECT dst, src FROM one),
 raw AS (SELECT p_partkey AS node, 0 AS dim, CAST(p_size AS DOUBLE) AS x FROM part UNION ALL SELECT p_partkey, 1, p_retailprice FROM part
   UNION ALL SELECT l_partkey, 2, avg(l_quantity) FROM lineitem GROUP BY l_partkey UNION ALL SELECT l_partkey, 3, avg(l_discount) FROM lineitem GROUP BY l_partkey),
-feat AS (SELECT raw.node, raw.dim, (x - m) / coalesce(nullif(s, 0), 1) AS x FROM raw JOIN (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM raw GROUP BY dim) t ON raw.dim = t.dim),
+feat AS MATERIALIZED (SELECT raw.node, raw.dim, (x - m) / coalesce(nullif(s, 0), 1) AS x FROM raw JOIN (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM raw GROUP BY dim) t ON raw.dim = t.dim),
 deg AS (SELECT src AS node, count(*) AS deg FROM e GROUP BY src),
-ideg AS (SELECT src AS node, count(*) AS deg FROM ie GROUP BY src),
+ideg AS MATERIALIZED (SELECT src AS node, count(*) AS deg FROM ie GROUP BY src),
 w AS (SELECT e.src, e.dst, 1.0 / sqrt(CAST(a.deg AS DOUBLE) * b.deg) AS w FROM e JOIN deg a ON a.node = e.src JOIN deg b ON b.node = e.dst),
-iw AS (SELECT ie.src, ie.dst, 1.0 / sqrt(CAST(a.deg AS DOUBLE) * b.deg) AS w FROM ie JOIN ideg a ON a.node = ie.src JOIN ideg b ON b.node = ie.dst),
+iw AS MATERIALIZED (SELECT ie.src, ie.dst, 1.0 / sqrt(CAST(a.deg AS DOUBLE) * b.deg) AS w FROM ie JOIN ideg a ON a.node = ie.src JOIN ideg b ON b.node = ie.dst),
 cls AS (SELECT p_partkey AS node, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS y FROM part),
-tog AS (SELECT o.src, o.dst, CASE WHEN x.src IS NULL THEN 1 ELSE -1 END AS op FROM (SELECT src, dst FROM upd GROUP BY src, dst HAVING count(*) % 2 = 1) o LEFT JOIN ie x ON x.src = o.src AND x.dst = o.dst),
+tog AS MATERIALIZED (SELECT o.src, o.dst, CASE WHEN x.src IS NULL THEN 1 ELSE -1 END AS op FROM (SELECT src, dst FROM upd GROUP BY src, dst HAVING count(*) % 2 = 1) o LEFT JOIN ie x ON x.src = o.src AND x.dst = o.dst),
 aff AS (SELECT DISTINCT src AS node FROM upd),
-ne AS (SELECT src, dst FROM ie WHERE NOT EXISTS (SELECT 1 FROM tog t WHERE t.op = -1 AND t.src = ie.src AND t.dst = ie.dst) UNION ALL SELECT src, dst FROM tog WHERE op = 1),
-ndeg AS (SELECT src AS node, count(*) AS deg FROM ne GROUP BY src),
+ne AS MATERIALIZED (SELECT src, dst FROM ie WHERE NOT EXISTS (SELECT 1 FROM tog t WHERE t.op = -1 AND t.src = ie.src AND t.dst = ie.dst) UNION ALL SELECT src, dst FROM tog WHERE op = 1),
+ndeg AS MATERIALIZED (SELECT src AS node, count(*) AS deg FROM ne GROUP BY src),
 adeg AS (SELECT aff.node, CAST(coalesce(a.deg, 0) AS BIGINT) AS deg, CAST(coalesce(b.deg, 0) AS BIGINT) AS new_deg FROM aff LEFT JOIN ideg a ON a.node = aff.node LEFT JOIN ndeg b ON b.node = aff.node)
 """
 
@@ -121,3 +121,25 @@ def push_steps(k: int, w: str = "iw", start: str = "SELECT node, dim, 0.0::DOUBL
             f"FROM s{i - 1} s FULL JOIN m{i} m ON m.node = s.node AND m.dim = s.dim)"
         )
     return ", ".join(out)
+
+
+def threshold_steps(k: int, name: str, start: str, w: str = "iw", limit: str = "lim", alpha: float = ALPHA) -> str:
+    """CTEs name0 .. namek of the push to ``limit`` (dim, hi, lo); rounds after the last one that moves anything change nothing."""
+    out = [f"{name}0 AS MATERIALIZED ({start})"]
+    for i in range(1, k + 1):
+        out.append(
+            f"g{name}{i} AS MATERIALIZED (SELECT s.node, s.dim, pi, r, r > hi OR r < lo AS go FROM {name}{i - 1} s JOIN {limit} ON {limit}.dim = s.dim), "
+            f"{name}{i} AS MATERIALIZED (SELECT node, dim, sum(pi) AS pi, sum(r) AS r FROM (SELECT node, dim, CASE WHEN go THEN pi + {alpha} * r ELSE pi END AS pi, CASE WHEN go THEN 0 ELSE r END AS r FROM g{name}{i} "
+            f"UNION ALL SELECT {w}.dst, dim, 0, (1 - {alpha}) * r * {w}.w FROM g{name}{i} g JOIN {w} ON {w}.src = g.node WHERE go) GROUP BY node, dim)"
+        )
+    return ", ".join(out)
+
+
+def stopping_walks(start: str, alpha: float, seed: int, first_hop: bool = False) -> str:
+    """CTEs ending in ``wk`` (start, walk, node, k, done): the walks of ``start`` (start, walk) until each has stopped, on ``nb`` (src, pos, dst, deg)."""
+    draw = lambda walk, step: f"((start * 2654435761 + {walk} * 7919 + {step} * 104729 + {seed}) % 1000003)"
+    go = f"({draw('(walk + 31)', '(k + 500)')} + 0.5) / 1000003 >= {alpha}" + (" OR k = 0" if first_hop else "")
+    return f"""nb AS MATERIALIZED (SELECT ie.src, row_number() OVER (PARTITION BY ie.src ORDER BY dst) - 1 AS pos, dst, deg FROM ie JOIN ideg ON ideg.node = ie.src),
+wk AS (SELECT start, walk, start AS node, CAST(0 AS BIGINT) AS k, false AS done FROM ({start})
+  UNION ALL SELECT a.start, a.walk, CASE WHEN a.go THEN coalesce(nb.dst, a.start) ELSE a.node END, a.k + 1, NOT a.go
+  FROM (SELECT wk.*, {go} AS go, {draw('walk', 'k')} AS d, ideg.deg FROM wk LEFT JOIN ideg ON ideg.node = wk.node WHERE NOT done) a LEFT JOIN nb ON nb.src = a.node AND nb.pos = a.d % a.deg)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphprop.functions import fixed
 from graphprop.operators import dynamic, etl, features, metrics, monitor, propagate, walks
-from graphprop.plans.fixtures import ALPHA, HEAD, Fixture, push_steps
+from graphprop.plans.fixtures import ALPHA, HEAD, Fixture, push_steps, stopping_walks, threshold_steps
 from graphprop.plans.fixtures import fixed as fx
 from graphprop.session import Params
 from graphprop.tables import Scratch
@@ -358,13 +358,13 @@ def top_propagated(f: Fixture) -> DataFrame:
 @query(_steps(3, f" SELECT node, dim, {fx('pi')} AS pi, {fx('r')} AS r FROM s3"))
 def push_fixed_k(f: Fixture) -> DataFrame:
     p = f.kept_pairs()
-    return propagate.push_all(propagate.initial_state(f.features()), propagate.weights(f.initial(p)), ALPHA, 3).select("node", "dim", fixed(F.col("pi")).alias("pi"), fixed(F.col("r")).alias("r"))
+    return propagate.push_all(propagate.initial_state(f.features()), propagate.kept_weights(f.initial(p)), ALPHA, 3).select("node", "dim", fixed(F.col("pi")).alias("pi"), fixed(F.col("r")).alias("r"))
 
 
 @query(_steps(3, f" SELECT dim, {fx('sum(abs(r))', 3)} AS l1, {fx('max(abs(r))')} AS linf FROM s3 GROUP BY dim"))
 def residual_norms(f: Fixture) -> DataFrame:
     p = f.kept_pairs()
-    s = propagate.push_all(propagate.initial_state(f.features()), propagate.weights(f.initial(p)), ALPHA, 3)
+    s = propagate.push_all(propagate.initial_state(f.features()), propagate.kept_weights(f.initial(p)), ALPHA, 3)
     return s.groupBy("dim").agg(fixed(F.sum(F.abs("r")), 3).alias("l1"), fixed(F.max(F.abs("r"))).alias("linf"))
 
 
@@ -392,7 +392,7 @@ SELECT s.node, s.dim, {fx('CASE WHEN go THEN 0.1 * x ELSE 0 END')} AS pi, {fx('C
 )
 def push_round(f: Fixture) -> DataFrame:
     p, x = f.kept_pairs(), f.features()
-    s = propagate.push_round(propagate.initial_state(x), propagate.weights(f.initial(p)), propagate.thresholds(x, RMAX), ALPHA)
+    s = propagate.push_round(propagate.initial_state(x), propagate.kept_weights(f.initial(p)), propagate.thresholds(x, RMAX), ALPHA)
     return s.select("node", "dim", fixed(F.col("pi")).alias("pi"), fixed(F.col("r")).alias("r"))
 
 
@@ -410,10 +410,14 @@ def size_estimate(f: Fixture) -> DataFrame:
     return propagate.size_estimate(f.initial(), f.nodes(), 4).select(fixed(F.col("gb"), 9).alias("gb"))
 
 
-@query()
+_START = "SELECT node, dim, 0.0::DOUBLE AS pi, x AS r FROM feat"
+
+
+@query(_LIMIT.replace(str(RMAX), "1e-4") + ", " + threshold_steps(120, "t", _START) + f" SELECT node, dim, {fx('pi')} AS pi, {fx('r')} AS r FROM t120")
 def push_to_tolerance(f: Fixture) -> DataFrame:
     p = f.kept_pairs()
-    return propagate.initial_operation(f.features(), f.initial(p), Params(rmax=1e-4))
+    s = propagate.initial_operation(f.features(), f.initial(p), Params(rmax=1e-4))
+    return s.select("node", "dim", fixed(F.col("pi")).alias("pi"), fixed(F.col("r")).alias("r"))
 
 
 @query()
@@ -463,7 +467,7 @@ def _fixture_update(f: Fixture):
     x = scratch.keep(f.features(), "features")
     toggle, hit = scratch.keep(dynamic.toggles(e, u), "toggles"), dynamic.affected(u)
     deg = dynamic.degrees(e, toggle, hit)
-    s = scratch.keep(propagate.push_all(propagate.initial_state(x), propagate.weights(e), ALPHA, 3), "state")
+    s = scratch.keep(propagate.push_all(propagate.initial_state(x), propagate.kept_weights(e), ALPHA, 3), "state")
     return x, e, toggle, hit, deg, s, dynamic.rescale(s, deg, ALPHA)
 
 
@@ -504,7 +508,7 @@ SELECT t, {fx('x / nullif(y, 0)')} AS drift FROM d""",
 )
 def drift_rate(f: Fixture) -> DataFrame:
     p = f.kept_pairs()
-    w, s = propagate.weights(f.initial(p)), propagate.initial_state(f.features())
+    w, s = propagate.kept_weights(f.initial(p)), propagate.initial_state(f.features())
     versions = None
     for t in (1, 2, 3):
         s = Scratch(f.spark).keep(propagate.push_all(s, w, ALPHA, 1), "state")
@@ -513,19 +517,47 @@ def drift_rate(f: Fixture) -> DataFrame:
     return dynamic.drift(versions).select("t", fixed(F.col("drift")).alias("drift"))
 
 
-@query()
+_NEW = ", nw AS MATERIALIZED (SELECT ne.src, ne.dst, 1.0 / sqrt(CAST(a.deg AS DOUBLE) * b.deg) AS w FROM ne JOIN ndeg a ON a.node = ne.src JOIN ndeg b ON b.node = ne.dst)"
+_PUSHED = _LIMIT + ", " + threshold_steps(8, "t", _START)
+
+
+@query(_PUSHED + _REPAIRED.replace("s3 s", "t8 s") + _NEW + ", " + threshold_steps(8, "v", "SELECT node, dim, pi, r FROM r2", w="nw") + f" SELECT node, dim, {fx('pi')} AS pi, {fx('r')} AS r FROM v8")
 def batch_update(f: Fixture) -> DataFrame:
     p = f.kept_pairs()
-    params, x = Params(rmax=1e-3), Scratch(f.spark).keep(f.features(), "features")
+    params, x = Params(rmax=RMAX), Scratch(f.spark).keep(f.features(), "features")
     g = dynamic.Graph(f.initial(p), x, propagate.initial_operation(x, f.initial(p), params))
-    return g.update(f.updates(p), params).state
+    return g.update(f.updates(p), params).state.select("node", "dim", fixed(F.col("pi")).alias("pi"), fixed(F.col("r")).alias("r"))
 
 
-@query()
+def _chosen(mass: str, delta: float) -> str:
+    """CTEs ending in ``ch`` (node): the selection from ``ms`` (node, dim, r, e) by the budget."""
+    return (
+        mass
+        + f""", sg AS (SELECT node, dim, abs(e) AS e, e > 0 AS pos, r FROM ms), tt AS (SELECT dim, e > 0 AS pos, sum(abs(e)) AS total FROM ms GROUP BY dim, e > 0),
+sr AS (SELECT dim, sum(CASE WHEN r > 0 THEN r ELSE 0 END) AS sp, -sum(CASE WHEN r <= 0 THEN r ELSE 0 END) AS sn, (SELECT count(*) FROM node) AS n FROM ms GROUP BY dim),
+rn AS (SELECT sg.node, sg.dim, sg.pos, e, sum(e) OVER (PARTITION BY sg.dim, sg.pos ORDER BY e DESC, sg.node ROWS UNBOUNDED PRECEDING) - e AS prev FROM sg),
+ch AS (SELECT DISTINCT rn.node FROM rn JOIN tt ON tt.dim = rn.dim AND tt.pos = rn.pos JOIN sr ON sr.dim = rn.dim WHERE e > 0 AND total - prev > floor(CASE WHEN rn.pos THEN sp ELSE sn END * {delta} / n * 1e12 + 0.5))"""
+    )
+
+
+_RHO_N = "(SELECT 1.0 / ln(count(*)) FROM node)"
+_LAZY = (
+    _PUSHED
+    + _SCALED.replace("s3 s", "t8 s")
+    + ", rl AS (SELECT 0 AS dim, "
+    + _RHO_N
+    + " AS hi, -1e300 AS lo), rw AS MATERIALIZED (SELECT ne.src, ne.dst, 1.0 / deg AS w FROM ne JOIN ndeg ON ndeg.node = ne.dst), "
+    + threshold_steps(40, "u", "SELECT node, 0 AS dim, 0.0::DOUBLE AS pi, 1.0::DOUBLE AS r FROM aff", w="rw", limit="rl")
+    + f""", bd AS (SELECT node.node, CASE WHEN coalesce(pi, 0) > 0 THEN least((coalesce(pi, 0) + {_RHO_N}) * 0.9 / 0.1, 1) ELSE greatest((coalesce(pi, 0) - {_RHO_N}) * 0.9 / 0.1, -1) END AS p FROM node LEFT JOIN u40 ON u40.node = node.node),
+ms AS MATERIALIZED (SELECT r1.node, r1.dim, r, CAST(floor(r * p / CAST(ndeg.deg AS DOUBLE) * 1e12 + 0.5) AS BIGINT) AS e FROM r1 JOIN bd ON bd.node = r1.node JOIN ndeg ON ndeg.node = r1.node)"""
+)
+
+
+@query(_chosen(_LAZY, 1.0) + " SELECT node FROM ch")
 def lazy_update(f: Fixture) -> DataFrame:
     """The nodes that carry the error budget after batch 1."""
     p = f.kept_pairs()
-    params, x = Params(rmax=1e-3, delta=1.0), Scratch(f.spark).keep(f.features(), "features")
+    params, x = Params(rmax=RMAX, delta=1.0), Scratch(f.spark).keep(f.features(), "features")
     g = dynamic.Graph(f.initial(p), x, propagate.initial_operation(x, f.initial(p), params))
     return monitor.lazy_update(g, f.updates(p), f.nodes(), params)[1]
 
@@ -533,13 +565,13 @@ def lazy_update(f: Fixture) -> DataFrame:
 # ---- monitoring --------------------------------------------------------------
 
 _RHO = 0.2
-_BACK = ", rw AS (SELECT ie.src, ie.dst, 1.0 / deg AS w FROM ie JOIN ideg ON ideg.node = ie.dst)" + _steps(2, "", w="rw", start="SELECT node, 0 AS dim, 0.0::DOUBLE AS pi, 1.0::DOUBLE AS r FROM (SELECT node FROM aff WHERE node % 3 = 0)")
+_BACK = ", rw AS (SELECT ie.src, ie.dst, 1.0 / deg AS w FROM ie JOIN ideg ON ideg.node = ie.dst)" + _steps(2, "", w="rw", start="SELECT node, 0 AS dim, 0.0::DOUBLE AS pi, 1.0::DOUBLE AS r FROM aff")
 _BOUND = _BACK + f", bd AS (SELECT node.node, CASE WHEN coalesce(pi, 0) > 0 THEN least((coalesce(pi, 0) + {_RHO}) * 0.9 / 0.1, 1) ELSE greatest((coalesce(pi, 0) - {_RHO}) * 0.9 / 0.1, -1) END AS p FROM node LEFT JOIN s2 ON s2.node = node.node)"
 _MASS = _BOUND + ", ms AS (SELECT feat.node, feat.dim, x AS r, CAST(floor(x * p / CAST(deg AS DOUBLE) * 1e12 + 0.5) AS BIGINT) AS e FROM feat JOIN bd ON bd.node = feat.node JOIN ideg ON ideg.node = feat.node)"
 
 
 def _bound(f: Fixture, p: DataFrame) -> DataFrame:
-    back = propagate.reverse_push(f.initial(p), dynamic.affected(f.updates(p)).where("node % 3 = 0"), 0.0, ALPHA, rounds=2)
+    back = propagate.reverse_push(f.initial(p), dynamic.affected(f.updates(p)), 0.0, ALPHA, rounds=2)
     return monitor.node_bound(back, f.nodes(), _RHO, ALPHA)
 
 
@@ -567,13 +599,7 @@ def signed_totals(f: Fixture) -> DataFrame:
 
 
 _DELTA = 2.0
-_CHOSEN = (
-    _MASS
-    + f""", sg AS (SELECT node, dim, abs(e) AS e, e > 0 AS pos, r FROM ms), tt AS (SELECT dim, e > 0 AS pos, sum(abs(e)) AS total FROM ms GROUP BY dim, e > 0),
-sr AS (SELECT dim, sum(CASE WHEN r > 0 THEN r ELSE 0 END) AS sp, -sum(CASE WHEN r <= 0 THEN r ELSE 0 END) AS sn, (SELECT count(*) FROM node) AS n FROM ms GROUP BY dim),
-rn AS (SELECT sg.node, sg.dim, sg.pos, e, sum(e) OVER (PARTITION BY sg.dim, sg.pos ORDER BY e DESC, sg.node ROWS UNBOUNDED PRECEDING) - e AS prev FROM sg),
-ch AS (SELECT DISTINCT rn.node FROM rn JOIN tt ON tt.dim = rn.dim AND tt.pos = rn.pos JOIN sr ON sr.dim = rn.dim WHERE e > 0 AND total - prev > floor(CASE WHEN rn.pos THEN sp ELSE sn END * {_DELTA} / n * 1e12 + 0.5))"""
-)
+_CHOSEN = _chosen(_MASS, _DELTA)
 
 
 @query(_CHOSEN + " SELECT node FROM ch")
@@ -600,13 +626,13 @@ def memory_sample(f: Fixture) -> DataFrame:
 
 # ---- walks -------------------------------------------------------------------
 
-_NEAR = ", nb AS (SELECT ie.src, row_number() OVER (PARTITION BY ie.src ORDER BY dst) - 1 AS pos, dst, deg FROM ie JOIN ideg ON ideg.node = ie.src)"
+_NEAR = ", nb AS MATERIALIZED (SELECT ie.src, row_number() OVER (PARTITION BY ie.src ORDER BY dst) - 1 AS pos, dst, deg FROM ie JOIN ideg ON ideg.node = ie.src)"
 
 
 @query(
     _NEAR
-    + ", k0 AS (SELECT node AS start, CAST(w AS BIGINT) AS walk, node FROM node, range(2) r(w))"
-    + "".join(f", k{i + 1} AS (SELECT start, walk, dst AS node FROM k{i} JOIN nb ON nb.src = k{i}.node AND nb.pos = ((start * 2654435761 + walk * 7919 + {i} * 104729 + 1) % 1000003) % nb.deg)" for i in range(3))
+    + ", k0 AS MATERIALIZED (SELECT node AS start, CAST(w AS BIGINT) AS walk, node FROM node, range(2) r(w))"
+    + "".join(f", k{i + 1} AS MATERIALIZED (SELECT start, walk, dst AS node FROM k{i} JOIN nb ON nb.src = k{i}.node AND nb.pos = ((start * 2654435761 + walk * 7919 + {i} * 104729 + 1) % 1000003) % nb.deg)" for i in range(3))
     + " SELECT start, walk, node FROM k3"
 )
 def walk_hash_k(f: Fixture) -> DataFrame:
@@ -625,17 +651,46 @@ def sample_sources(f: Fixture) -> DataFrame:
     return walks.sample_sources(etl.degree(f.initial(f.kept_pairs())), "deg", 5000, ["node"]).select("node", "times")
 
 
-@query()
+WALK_ALPHA = 0.5
+
+
+@query(", " + stopping_walks("SELECT node AS start, CAST(w AS BIGINT) AS walk FROM ideg, range(200000) r(w) WHERE w < deg", WALK_ALPHA, 1, first_hop=True) + " SELECT start AS node, walk, node AS stop FROM wk WHERE done")
 def walk_cache(f: Fixture) -> DataFrame:
     e = f.initial(f.kept_pairs())
-    return walks.walk_cache(f.nodes(), e, 0.5)
+    return walks.walk_cache(f.nodes(), e, WALK_ALPHA)
 
 
-@query()
+_TAIL = (
+    ", "
+    + push_steps(2, alpha=WALK_ALPHA)
+    + """, mass AS MATERIALIZED (SELECT * FROM (SELECT s2.node, dim, sign(r) AS sg, CAST(floor(abs(r) * sqrt(CAST(deg AS DOUBLE)) * 1e9 + 0.5) AS BIGINT) AS m FROM s2 JOIN ideg ON ideg.node = s2.node WHERE r <> 0) WHERE m > 0),
+pl AS (SELECT node, dim, sg, m, sum(m) OVER (PARTITION BY dim ORDER BY node) - m AS lo, sum(m) OVER (PARTITION BY dim) AS total FROM mass),
+dr AS MATERIALIZED (SELECT node AS start, dim, sg, CAST(total AS DOUBLE) AS total, CAST(floor(CAST((lo + m) * 20000 AS DOUBLE) / CAST(total AS DOUBLE) + 0.5) - floor(CAST(lo * 20000 AS DOUBLE) / CAST(total AS DOUBLE) + 0.5) AS BIGINT) AS times FROM pl), """
+    + stopping_walks("SELECT start, CAST(w AS BIGINT) AS walk FROM (SELECT start, max(times) AS most FROM dr GROUP BY start), range(20001) r(w) WHERE w < most", WALK_ALPHA, 1)
+    + ", ld AS (SELECT wk.node, dim, sum(sg) AS s, max(total) AS total FROM wk JOIN dr ON dr.start = wk.start AND wk.walk < dr.times WHERE done GROUP BY wk.node, dim)"
+)
+
+
+@query(_TAIL + f" SELECT s2.node, s2.dim, {fx('pi + coalesce(s * (ld.total / (1e9 * 20000)) / sqrt(CAST(deg AS DOUBLE)), 0)')} AS pi FROM s2 LEFT JOIN ld ON ld.node = s2.node AND ld.dim = s2.dim LEFT JOIN ideg ON ideg.node = s2.node")
 def push_and_walk(f: Fixture) -> DataFrame:
     p, x = f.kept_pairs(), f.features()
-    s = propagate.push_all(propagate.initial_state(x), propagate.weights(f.initial(p)), ALPHA, 2)
-    return walks.walk_tail(Scratch(f.spark).keep(s, "state"), f.initial(p), 0.5, 20_000)
+    s = propagate.push_all(propagate.initial_state(x), propagate.kept_weights(f.initial(p)), WALK_ALPHA, 2)
+    return walks.walk_tail(Scratch(f.spark).keep(s, "state"), f.initial(p), WALK_ALPHA, 20_000).select("node", "dim", fixed(F.col("pi")).alias("pi"))
+
+
+_CACHED = ", " + push_steps(2, alpha=WALK_ALPHA) + ", " + stopping_walks("SELECT node AS start, CAST(w AS BIGINT) AS walk FROM ideg, range(200000) r(w) WHERE w < deg", WALK_ALPHA, 1, first_hop=True)
+
+
+@query(
+    _CACHED
+    + f""", mv AS (SELECT wk.node, s2.dim, sum({1 - WALK_ALPHA} * r * sqrt(CAST(deg AS DOUBLE)) / deg) AS m FROM wk JOIN s2 ON s2.node = wk.start JOIN ideg ON ideg.node = wk.start WHERE done GROUP BY wk.node, s2.dim)
+SELECT s2.node, s2.dim, {fx(f'pi + {WALK_ALPHA} * r + coalesce(m / sqrt(CAST(deg AS DOUBLE)), 0)')} AS pi FROM s2 JOIN ideg ON ideg.node = s2.node LEFT JOIN mv ON mv.node = s2.node AND mv.dim = s2.dim"""
+)
+def push_and_cached_walks(f: Fixture) -> DataFrame:
+    p, x = f.kept_pairs(), f.features()
+    e = f.initial(p)
+    s = Scratch(f.spark).keep(propagate.push_all(propagate.initial_state(x), propagate.kept_weights(e), WALK_ALPHA, 2), "state")
+    return walks.cached_tail(s, e, walks.walk_cache(f.nodes(), e, WALK_ALPHA), WALK_ALPHA).select("node", "dim", fixed(F.col("pi")).alias("pi"))
 
 
 # ---- metrics -----------------------------------------------------------------
@@ -724,3 +779,122 @@ def classifier(f: Fixture) -> DataFrame:
     x = learn.vectors(features.packed(f.features())).join(f.classes(), "node")
     x = Scratch(f.spark).keep(x.select("node", "y", "vec"), "rows")
     return learn.predicted(learn.mlp(learn.vectors(x), [4, 16, 8], rounds=20), learn.vectors(x))
+
+
+# ---- sources and sinks: what is written is read back -------------------------
+
+
+def _lines(f: Fixture, line: DataFrame) -> str:
+    at = Scratch(f.spark).path("lines")
+    line.toDF("value").write.text(at)
+    return at
+
+
+@query("SELECT src, dst FROM und")
+def text_edge_files(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    at = Scratch(f.spark).path("edges")
+    files.write_text_edges(f.pairs(), at)
+    return files.text_edges(f.spark, at)
+
+
+@query("SELECT src, dst FROM pair")
+def commented_edge_files(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    head = f.spark.createDataFrame([("# nodes and edges",), ("",), ("x 1",)], "value string")
+    return files.commented_edges(f.spark, _lines(f, f.pairs().select(F.concat_ws("\t", "src", "dst")).union(head)))
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS lo, count(*) - 1 AS hi, count(*) AS kinds, CAST(sum(src) AS BIGINT) AS src, CAST(sum(dst) AS BIGINT) AS dst FROM upd")
+def update_files(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    u = files.update_file(f.spark, _lines(f, f.updates().select(F.concat_ws(" ", "src", "dst"))))
+    return u.agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count_distinct("seq").alias("kinds"), F.sum("src").alias("src"), F.sum("dst").alias("dst"))
+
+
+@query("SELECT src, dst, CAST(y AS VARCHAR) AS t FROM pair")
+def temporal_edge_files(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    return files.temporal_edges(f.spark, _lines(f, f.pairs().select(F.concat_ws(" ", "src", "dst", "y"))))
+
+
+@query("SELECT src, dst, CAST(y AS INTEGER) AS t FROM pair UNION ALL SELECT dst, src, CAST(y AS INTEGER) FROM pair")
+def dated_edge_files(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    line = F.format_string("[%d, %d, %d, 'x']", "src", "dst", F.col("y") * 10000 + 101)
+    return files.dated_edges(f.spark, _lines(f, f.pairs().select(line)))
+
+
+@query("SELECT node, y FROM cls")
+def dated_label_files(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    return files.dated_labels(f.spark, _lines(f, f.classes().select(F.format_string("(%d, 'x', 19990101, %d)", "node", F.col("y") + 1))))
+
+
+@query("SELECT user_id AS src, event_id AS dst, CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INTEGER) AS label FROM events")
+def interaction_files(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    at = Scratch(f.spark).path("csv")
+    f.table("events").select(F.col("user_id").alias("u"), F.col("event_id").alias("i"), (F.col("event_type") == "error").cast("int").alias("label")).write.option("header", "true").csv(at)
+    return files.interaction_csv(f.spark, at)
+
+
+@query("SELECT node FROM node WHERE node % 4 = 1")
+def query_node_files(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    return files.query_nodes(f.spark, _lines(f, f.nodes().where("node % 4 = 1").select(F.col("node").cast("string"))))
+
+
+@query("SELECT batch, src, dst FROM later UNION ALL SELECT batch, dst, src FROM later")
+def update_batch_files(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    at = Scratch(f.spark).path("batches")
+    files.write_updates(f.later(), at)
+    return f.spark.read.parquet(at).select(F.col("batch").cast("int").alias("batch"), "src", "dst")
+
+
+@query("SELECT node, deg FROM deg UNION ALL SELECT node, deg FROM deg")
+def appended_vectors(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    at = Scratch(f.spark).path("vectors")
+    for _ in range(2):
+        files.write_vector(etl.degree(f.graph()), at)
+    return f.spark.read.schema("node long, deg long").option("sep", "\t").csv(at)
+
+
+@query("SELECT 'a' AS run, 'rows' AS name, CAST((SELECT count(*) FROM pair) AS DOUBLE) AS value UNION ALL SELECT 'b', 'nodes', CAST((SELECT count(*) FROM node) AS DOUBLE)")
+def appended_metrics(f: Fixture) -> DataFrame:
+    from graphprop.sources import files
+
+    at = Scratch(f.spark).path("metrics")
+    files.append_metrics(f.spark, at, [("a", "rows", float(f.pairs().count()))])
+    files.append_metrics(f.spark, at, [("b", "nodes", float(f.nodes().count()))])
+    return f.spark.read.parquet(at)
+
+
+@query("SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY deg, dst) - 1 AS BIGINT) AS pos, dst, CAST(deg2 AS BIGINT) AS deg FROM (SELECT e.src, dst, deg.deg, o.deg AS deg2 FROM e JOIN deg ON deg.node = e.dst JOIN deg o ON o.node = e.src)")
+def csr_tables(f: Fixture) -> DataFrame:
+    """The written adjacency: neighbours by position, and the degree that the row pointers give."""
+    from graphprop.sources import files
+
+    at = Scratch(f.spark).path("csr")
+    files.write_csr(f.graph(loops=False), f.nodes(), at, self_loops=True)
+    ptr = f.spark.read.parquet(f"{at}/indptr").select(F.col("node").alias("src"), "deg")
+    return f.spark.read.parquet(f"{at}/indices").join(ptr, "src").select("src", "pos", "dst", "deg")
+
+
+@query("SELECT src, dst FROM ip UNION ALL SELECT src, dst FROM later WHERE batch <= 2")
+def snapshot_access(f: Fixture) -> DataFrame:
+    """One snapshot of the series, each edge once."""
+    p = f.pairs()
+    return etl.upper_triangle(etl.snapshots(p.where("y < 1999").select("src", "dst"), f.later(p), 4).where("t = 2")).select("src", "dst")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphprop.operators.etl import add_self_loops, csr, positions
+from graphprop.operators.etl import add_self_loops, csr, numbered, positions
 
 
 def text_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -31,9 +31,11 @@ def commented_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def update_file(spark: SparkSession, path: str, batch: int = 0) -> DataFrame:
-    """(batch, seq, src, dst) of an update file; ``seq`` orders lines by file position."""
-    rows = text_edges(spark, path)
-    return rows.select(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("seq"), "src", "dst")
+    """(batch, seq, src, dst) of an update file or folder; ``seq`` numbers the lines from 0 without gaps, by file name and place in the file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = lines.where(F.trim("value") != "").select("_file", "_block", "_line", F.get(parts, F.lit(0)).cast("long").alias("src"), F.get(parts, F.lit(1)).cast("long").alias("dst"))
+    return numbered(rows, [F.col("_file"), F.col("_block"), F.col("_line")], "seq").select(F.lit(batch).alias("batch"), "seq", "src", "dst")
 
 
 def temporal_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -86,19 +88,29 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 def csr_files(spark: SparkSession, indices: str, indptr: str) -> DataFrame:
     """Edges (src, dst) from little-endian uint32 ``indices`` and ``indptr`` files.
 
-    Numbers of pointers and indices that do not fit each other raise.
+    Either may be a glob of parts, taken one after the other by name: a file is
+    one task and at most 2 GB, so larger arrays come in parts. Numbers of
+    pointers and indices that do not fit each other raise.
     """
 
-    def numbers(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                a = np.frombuffer(content, "<u4").astype(np.int64)
-                for lo in range(0, len(a), 1 << 20):
-                    part = a[lo : lo + (1 << 20)]
-                    yield pd.DataFrame({"k": np.arange(lo, lo + len(part)), "v": part})
-
-    flat = _whole(spark, indices).select("content").mapInPandas(numbers, "k long, v long")
-    ptr = _whole(spark, indptr).select("content").mapInPandas(numbers, "k long, v long")
+    def flat_of(path: str) -> DataFrame:
+        files = spark.read.format("binaryFile").load(path)
+        before, total = {}, 0
+        for r in files.select("path", "length").orderBy("path").collect():  # one row for each file
+            before[r.path] = total
+            total += r.length // 4
+
+        def numbers(batches):
+            for pdf in batches:
+                for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                    a = np.frombuffer(content, "<u4").astype(np.int64)
+                    for lo in range(0, len(a), 1 << 20):
+                        part = a[lo : lo + (1 << 20)]
+                        yield pd.DataFrame({"k": before[name] + lo + np.arange(len(part)), "v": part})
+
+        return files.select("path", "content").mapInPandas(numbers, "k long, v long")
+
+    flat, ptr = flat_of(indices), flat_of(indptr)
     ranges = ptr.join(ptr.select((F.col("k") - 1).alias("k"), F.col("v").alias("e")), "k")
     slots = ranges.where("e > v").select(F.col("k").alias("src"), F.explode(F.sequence(F.col("v"), F.col("e") - 1)).alias("k"))
     joined = slots.join(flat, "k", "left")

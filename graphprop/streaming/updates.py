@@ -52,8 +52,10 @@ def apply_batch(store: StateStore, updates: DataFrame, batch_id: int, params: Pa
     """Batch ``batch_id`` makes version ``batch_id + 1`` out of the one before; false if it was there already."""
     if store.version() > batch_id:
         return False
-    after = store.load(batch_id).update(updates.select("src", "dst"), params)
+    batch = updates.select("src", "dst").persist()  # a micro-batch is read several times
+    after = store.load(batch_id).update(batch, params)
     store.save(batch_id + 1, after.edges, after.state)
+    batch.unpersist()
     return True
 
 

@@ -17,10 +17,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder of its own."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, as in tests, a local session has a temporary folder of its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="graphprop-")
@@ -50,15 +52,23 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def replace(self, df: DataFrame, name: str) -> DataFrame:
+        """``keep``, and then delete what was kept under ``name`` before: for loops, whose plans read the last table only."""
+        before = self.n
+        out = self.keep(df, name)
+        self.drop(name, before)
+        return out
+
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished jobs; it does when the driver has collected their objects."""
         gc.collect()
         self.spark._jvm.System.gc()
 
-    def drop(self, name: str) -> None:
-        """Delete the tables kept under ``name``; only for tables that no later plan reads."""
+    def drop(self, name: str, last: int | None = None) -> None:
+        """Delete the tables kept under ``name``, or the first ``last`` of all; only for tables that no later plan reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         for status in fs.listStatus(path):
-            if status.getPath().getName().endswith(f"-{name}"):
+            number, _, own = status.getPath().getName().partition("-")
+            if own == name and (last is None or int(number) <= last):
                 fs.delete(status.getPath(), True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphprop.operators import dynamic, etl, features, learn, metrics, monitor, propagate, walks
 from graphprop.session import Params
 
-P = Params(rmax=1e-5, alpha=0.5, check_every=4)
+P = Params(rmax=1e-9, alpha=0.2)
 
 
 def edges_df(spark, pairs):
@@ -52,8 +52,8 @@ def test_push_reaches_the_exact_answer_and_keeps_the_invariant(spark):
     n, e = graph()
     x = x_df(spark, n)
     state = propagate.initial_operation(x, edges_df(spark, e), P)
-    assert np.abs(dense(state, n) - exact(e, n, dense(x, n, value="x"), 0.5)).max() < 1e-3
-    assert propagate.invariant_error(state, x, edges_df(spark, e), 0.5).first().error < 1e-12
+    assert np.abs(dense(state, n) - exact(e, n, dense(x, n, value="x"), 0.2)).max() < 1e-6
+    assert propagate.invariant_error(state, x, edges_df(spark, e), 0.2).first().error < 1e-12
     assert propagate.over(state, propagate.thresholds(x, P.rmax)).count() == 0
 
 
@@ -68,9 +68,9 @@ def test_update_equals_starting_anew(spark, toggled):
         after ^= {(a, b), (b, a)}
     mid, _ = g.repaired(lines, P)
     assert {tuple(r) for r in mid.edges.collect()} == after
-    assert propagate.invariant_error(mid.state, x, edges_df(spark, after), 0.5).first().error < 1e-10
+    assert propagate.invariant_error(mid.state, x, edges_df(spark, after), 0.2).first().error < 1e-10
     out = g.update(lines, P)
-    assert np.abs(dense(out.state, n) - exact(after, n, dense(x, n, value="x"), 0.5)).max() < 1e-3
+    assert np.abs(dense(out.state, n) - exact(after, n, dense(x, n, value="x"), 0.2)).max() < 1e-6
 
 
 def test_a_batch_twice_is_the_identity(spark):
@@ -88,16 +88,16 @@ def test_isolated_nodes_and_deletion_to_the_loop(spark):
     lines = edges_df(spark, both({(0, 1), (3, 2)}))
     out = g.update(lines, P)
     after = e ^ both({(0, 1), (3, 2)})
-    assert propagate.invariant_error(out.state, x, edges_df(spark, after), 0.5).first().error < 1e-10
+    assert propagate.invariant_error(out.state, x, edges_df(spark, after), 0.2).first().error < 1e-10
 
 
 def test_one_by_one_equals_the_batch(spark):
     n, e = graph(4, 8)
     x = x_df(spark, n, dims=1)
-    g = dynamic.Graph(edges_df(spark, e), x, propagate.initial_operation(x, edges_df(spark, e), Params(rmax=1e-4, alpha=0.5, check_every=4)))
+    g = dynamic.Graph(edges_df(spark, e), x, propagate.initial_operation(x, edges_df(spark, e), Params(rmax=1e-6, alpha=0.2)))
     lines = spark.createDataFrame([(1, 0, 5), (2, 5, 0)], "seq long, src long, dst long")
-    out = dynamic.update_one_by_one(g, lines, 0, 2, Params(rmax=1e-4, alpha=0.5, check_every=4))
-    want = exact(e ^ both({(0, 5)}), n, dense(x, n, 1, "x"), 0.5)
+    out = dynamic.update_one_by_one(g, lines, 0, 2, Params(rmax=1e-6, alpha=0.2))
+    want = exact(e ^ both({(0, 5)}), n, dense(x, n, 1, "x"), 0.2)
     assert np.abs(dense(out.state, n, 1) - want).max() < 1e-3
     with pytest.raises(ValueError, match="self loops"):
         dynamic.update_one_by_one(g, spark.createDataFrame([(1, 0, 0)], "seq long, src long, dst long"), 0, 1)
@@ -127,12 +127,12 @@ def test_selection_is_minimal(spark):
 def test_lazy_update_selects_nodes_near_the_change(spark):
     n, e = graph(6, 20, 0.15)
     x = x_df(spark, n)
-    params = Params(rmax=1e-4, alpha=0.5, rbmax=1e-2, delta=1e-3, check_every=4)
+    params = Params(rmax=1e-6, alpha=0.2, rbmax=1e-3, delta=1e-3)
     g = dynamic.Graph(edges_df(spark, e), x, propagate.initial_operation(x, edges_df(spark, e), params))
     nodes = spark.range(n).select(F.col("id").alias("node"))
     out, changed = monitor.lazy_update(g, edges_df(spark, both({(0, 9)})), nodes, params)
     assert changed.count() > 0
-    assert propagate.invariant_error(out.state, x, out.edges, 0.5).first().error < 1e-10
+    assert propagate.invariant_error(out.state, x, out.edges, 0.2).first().error < 1e-10
 
 
 def test_numbers_are_dense_and_splits_whole(spark):
@@ -171,9 +171,9 @@ def test_push_by_degree_leaves_small_residuals(spark):
     walks_n, scales = propagate.scale_schedule(n, 4.0, 0.5, 1e-2)
     assert scales[-1] == 1.0 and sorted(scales, reverse=True) == scales
     s = propagate.push_by_degree(propagate.initial_state(x), edges_df(spark, e), walks_n, scales, P)
-    assert propagate.invariant_error(s, x, edges_df(spark, e), 0.5).first().error < 1e-10
+    assert propagate.invariant_error(s, x, edges_df(spark, e), 0.2).first().error < 1e-10
     deg = {r.node: r.deg for r in etl.degree(edges_df(spark, e)).collect()}
-    assert all(abs(0.5 * r.r * walks_n) < deg[r.node] * (1 + 1e-9) for r in s.collect())
+    assert all(abs(0.8 * r.r * walks_n) < deg[r.node] * (1 + 1e-9) for r in s.collect())
 
 
 def test_constant_and_zero_features(spark):
@@ -199,3 +199,23 @@ def test_learning(spark):
     assert learn.early_stop(lambda k: abs(k - 3), 50, 4) == (3, 0)
     unit = learn.normalized(learn.embed(df, np.eye(4))).first().vec
     assert sum(v * v for v in unit) == pytest.approx(1)
+
+
+def test_a_push_that_does_not_end_raises(spark):
+    n, e = graph()
+    x = x_df(spark, n)
+    with pytest.raises(RuntimeError, match="outside the thresholds after 3 rounds"):
+        propagate.initial_operation(x, edges_df(spark, e), Params(rmax=1e-9, alpha=0.2, max_rounds=3))
+    empty = propagate.initial_operation(x.where("false"), edges_df(spark, e), P)
+    assert empty.count() == 0
+
+
+@pytest.mark.parametrize("sign", [1.0, -1.0])
+def test_columns_of_one_sign_end_after_an_update_of_both(spark, sign):
+    n, e = graph(5, 10)
+    x = spark.createDataFrame([(k, 0, sign * (k % 3)) for k in range(n)], "node long, dim int, x double")
+    p = Params(rmax=1e-4, alpha=0.5, max_rounds=40)
+    g = dynamic.Graph(edges_df(spark, e), x, propagate.initial_operation(x, edges_df(spark, e), p))
+    out = g.update(edges_df(spark, both({(0, 5), (1, 2)})), p)
+    after = e ^ both({(0, 5), (1, 2)})
+    assert np.abs(dense(out.state, n, 1) - exact(after, n, dense(x, n, 1, "x"), 0.5)).max() < 1e-2

@@ -20,6 +20,12 @@ def test_text_formats(spark, tmp_path):
     assert rows(files.commented_edges(spark, f"{tmp_path}/e.txt")) == [(1, 2), (1, 2), (3, 1)]
     (tmp_path / "u.txt").write_text("1 2\n 2\t1 \n1 2\n")
     assert [(r.src, r.dst) for r in files.update_file(spark, f"{tmp_path}/u.txt", 4).orderBy("seq").collect()] == [(1, 2), (2, 1), (1, 2)]
+    many = tmp_path / "many"
+    many.mkdir()
+    for k in range(3):
+        (many / f"{k}.txt").write_text("".join(f"{k} {j}\n" for j in range(5)))
+    got = files.update_file(spark, str(many)).orderBy("seq").collect()
+    assert [(r.seq, r.src, r.dst) for r in got] == [(5 * k + j, k, j) for k in range(3) for j in range(5)]
     (tmp_path / "t.txt").write_text("1 5 2001\n2 3 2002\n")
     t = files.temporal_edges(spark, f"{tmp_path}/t.txt")
     assert rows(t) == [(1, 5, "2001"), (2, 3, "2002")] and files.node_count(t).first().n == 6
@@ -37,6 +43,9 @@ def test_binary_formats(spark, tmp_path):
     np.array([1, 2, 0, 0], "<u4").tofile(tmp_path / "el.txt")
     np.array([0, 2, 3, 3, 4], "<u4").tofile(tmp_path / "pl.txt")
     assert rows(files.csr_files(spark, f"{tmp_path}/el.txt", f"{tmp_path}/pl.txt")) == [(0, 1), (0, 2), (1, 0), (3, 0)]
+    np.array([1, 2], "<u4").tofile(tmp_path / "el_0.txt")
+    np.array([0, 0], "<u4").tofile(tmp_path / "el_1.txt")
+    assert rows(files.csr_files(spark, f"{tmp_path}/el_*.txt", f"{tmp_path}/pl.txt")) == [(0, 1), (0, 2), (1, 0), (3, 0)]
     np.array([0, 2, 3, 3, 9], "<u4").tofile(tmp_path / "bad.txt")
     with pytest.raises(Exception, match="shorter than its pointers"):
         files.csr_files(spark, f"{tmp_path}/el.txt", f"{tmp_path}/bad.txt").collect()
@@ -93,14 +102,14 @@ def test_stream_equals_batches_and_replays_once(spark, tmp_path):
     n = 10
     e = spark.createDataFrame([(a, b) for a in range(n) for b in range(n) if a == b or abs(a - b) == 1], "src long, dst long")
     x = spark.createDataFrame([(k, 0, float(k % 3)) for k in range(n)], "node long, dim int, x double")
-    p = Params(rmax=1e-3, alpha=0.7, check_every=4)
+    p = Params(rmax=1e-3, alpha=0.7)
     store = StateStore(spark, f"{tmp_path}/store", x)
     assert store.version() == -1
     store.save(0, e, propagate.initial_operation(x, e, p))
     for k, (a, b) in enumerate([(0, 5), (2, 8)]):
         spark.createDataFrame([(1, a, b), (2, b, a)], "seq long, src long, dst long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     q = follow(spark, f"{tmp_path}/in", store, f"{tmp_path}/check", p)
-    q.awaitTermination(300)
+    assert q.awaitTermination(300)
     assert store.version() == 2
     g = store.load()
     assert propagate.invariant_error(g.state, x, g.edges, 0.7).first().error < 1e-10
