@@ -2,12 +2,16 @@
 
 Documents with equal shingle sets form one class, named by its smallest id, so
 copies cost one row each and never meet in pairs. Class representatives are
-banded; joining each bucket's members to its smallest one gives clusters, which
-hold every pair that shares a bucket. A cluster's whole sets are then compared
-inside one task, or block against block where it is large: signatures rule out
-pairs far below the threshold, a union-find those already connected, and whole
-sets decide the rest. Only a spanning forest of links leaves the task. Hence no
-bucket is capped, and no bucket emits its pairs.
+banded; the members of a bucket are compared with its smallest one by a byte of
+each signature position, which never rules out a pair that the signatures would
+not. Where all agree, that one stands for the bucket; where some do not, all
+members of the bucket meet by their bytes. The links that are left give
+clusters, which hold every pair that shares a bucket and may be similar enough,
+but not what merely shares a bucket with it. A cluster's whole sets are then
+compared inside one task, or block against block where it is large: signatures
+rule out pairs far below the threshold, a union-find those already connected,
+and whole sets decide the rest. Only a spanning forest of links leaves the task.
+Hence no bucket is capped, and no bucket emits its pairs.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ class NearDedup:
 
     With 25 bands of 5 rows a pair of similarity 0.85 shares no bucket once in
     2 million; ``slack`` standard deviations below the threshold the signatures'
-    agreement rules a pair out.
+    agreement rules a pair out. A cluster is compared in blocks of ``block``
+    sets; a mixed bucket of more than ``bucket`` members is a cluster as it is.
     """
 
     width: int = 5
@@ -44,7 +49,8 @@ class NearDedup:
     bands: int = 25
     rows: int = 5
     slack: float = 6.0
-    block: int = 4096
+    block: int = 1024
+    bucket: int = 4096
 
     @property
     def least_agreement(self) -> int:
@@ -94,21 +100,24 @@ def _band_keys(sig: np.ndarray, cfg: NearDedup) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, cfg: NearDedup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, set_hash and bands (both null for an empty set)."""
+    """Per row: doc_id, n_shingles, set_hash, bands and sketch, a byte of each signature position (all three null for an empty set)."""
 
     def run(batches):
         for batch in batches:
-            ids, ns, fps, keys = [], [], [], []
+            ids, ns, fps, keys, sketch = [], [], [], [], []
             for lo, hi, sets, of in shingle_sets(batch.column(1), cfg.width):
-                key = _band_keys(super_minhash(np.concatenate(sets), of), cfg)
+                sig = super_minhash(np.concatenate(sets), of)
+                key = _band_keys(sig, cfg)
+                sketch += [x.tobytes() if len(s) else None for x, s in zip(sig.astype(np.uint8), sets, strict=True)]
                 ids.append(batch.column(0).slice(lo, hi - lo))
                 ns += [len(s) for s in sets]
                 fps += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 keys += [x if len(s) else None for x, s in zip(key, sets, strict=True)]
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands"])
+                columns = [pa.concat_arrays(ids), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_hash", "bands", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary")
 
 
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -131,6 +140,81 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
             return label
 
 
+def _bytes(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), SIGNATURE)
+
+
+def _agreeing(pairs: DataFrame, sketches: DataFrame, cfg: NearDedup) -> DataFrame:
+    """``pairs`` (a, b) with ``near``: whether their sketches agree often enough for a link."""
+    left, right = (sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"_{k}")) for k in ("a", "b"))
+    least = cfg.least_agreement
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                near = (_bytes(batch.column(2)) == _bytes(batch.column(3))).sum(1) >= least
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["a", "b", "near"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long, near boolean")
+
+
+def forest_of(sketch: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows that agree in at least ``least`` places: each row meets those not reached yet."""
+    out, rest = [], np.arange(len(sketch))
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            near = (sketch[rest] == sketch[x]).sum(1) >= least
+            out += [(int(x), int(y)) for y in rest[near]]
+            queue += rest[near].tolist()
+            rest = rest[~near]
+    return out
+
+
+def _bucket_links(members: DataFrame, cfg: NearDedup) -> DataFrame:
+    """Links (a, b) of buckets (band, node, sketch) of at most ``cfg.bucket`` members: a spanning forest of each."""
+    least = cfg.least_agreement
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def links(rows: pa.Table) -> pa.RecordBatch:
+            band, node = rows.column("band").to_numpy(), rows.column("node").to_numpy()
+            sketch = _bytes(rows.column("sketch").combine_chunks())
+            edge = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]])
+            found = [(node[lo + x], node[lo + y]) for lo, hi in zip(edge[:-1], edge[1:], strict=True) if hi - lo > 1 for x, y in forest_of(sketch[lo:hi], least)]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            band = batch.column("band").to_numpy()
+            cut = int(np.searchsorted(band, band[-1]))  # the last bucket may go on
+            if cut or (held and held[-1].column("band")[0].as_py() != band[0]):
+                yield links(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    # the smallest node comes first, as in the comparison with it, whose links are then found again and not others
+    return members.repartition("band").sortWithinPartitions("band", "node").mapInArrow(run, "a long, b long")
+
+
+def _plausible(member: DataFrame, sketches: DataFrame, cfg: NearDedup, scratch: Scratch) -> DataFrame:
+    """Links (a, b) whose components hold each pair that shares a bucket and agrees often enough for a link."""
+    pivot = scratch.keep(member.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1"), "pivots")
+    star = scratch.keep(member.join(pivot, "band").where("node <> pivot").select("band", "m", F.col("pivot").alias("a"), F.col("node").alias("b")), "star")
+    tested = scratch.keep(_agreeing(star.select("a", "b").distinct(), sketches, cfg), "tested")
+    mixed = scratch.keep(star.join(tested.where("not near"), ["a", "b"]).select("band", "m").distinct(), "mixed")
+    near = tested.where("near").select("a", "b")
+    # what is too large to meet at once stays one cluster, and meets in blocks
+    whole = star.join(mixed.where(F.col("m") > cfg.bucket).select("band"), "band", "left_semi").select("a", "b")
+    small = member.join(mixed.where(F.col("m") <= cfg.bucket).select("band"), "band", "left_semi").join(sketches, "node").select("band", "node", "sketch")
+    return scratch.keep(near.union(whole).union(_bucket_links(small, cfg)).distinct(), "plausible")
+
+
 def _whole_sets(texts: DataFrame, wanted: DataFrame, cfg: NearDedup) -> DataFrame:
     """The whole sets (cluster, node, members) of the classes in ``wanted``; a repeated row gives its set again, which changes no link."""
     some = texts.join(wanted.select("_rep", "_hash", "node", "cluster"), F.col("doc_id") == F.col("_rep"))
@@ -234,10 +318,10 @@ def near_duplicates(docs: DataFrame, cfg: NearDedup = NearDedup(), id_col: str =
     classes = scratch.keep(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
     # a class is named by a number of its own: one id may have stood before several texts
     numbered = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "numbered")
-    whole = named.select("doc_id", "set_hash", "bands").join(numbered, "set_hash").where("doc_id = rep").dropDuplicates(["node"])
-    member = scratch.keep(whole.select("node", F.explode("bands").alias("band")), "bands")
-    pivot = member.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "pivot")
-    star = scratch.keep(member.join(pivot, "band").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    whole = named.select("doc_id", "set_hash", "bands", "sketch").join(numbered, "set_hash").where("doc_id = rep").dropDuplicates(["node"])
+    whole = scratch.keep(whole.select("node", "bands", "sketch"), "bands")
+    member = whole.select("node", F.explode("bands").alias("band"))
+    star = _plausible(member, whole.select("node", "sketch"), cfg, scratch)
     scratch.drop("bands")
     scratch.release()
     nodes = scratch.keep(star.select(F.col("a").alias("node")).union(star.select("b")).distinct(), "nodes")

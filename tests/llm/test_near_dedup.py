@@ -101,3 +101,43 @@ def test_signatures_estimate_similarity():
     assert (sig < 0xFFFFFFFF).all()
     few = nd.super_minhash(x[:3], np.array([0, 3]))
     assert (few < 0xFFFFFFFF).all()
+
+
+def test_buckets_fall_apart_where_members_disagree(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (3, nd.SIGNATURE), dtype=np.uint8)
+    rows, kind = [], {}
+    for k in range(90):
+        own = base[k % 3].copy()
+        own[rng.integers(0, nd.SIGNATURE, 10)] ^= 1
+        rows.append((k // 45 if k < 80 else 5 + k, k, own.tobytes()))
+        kind[k] = k % 3
+    table = spark.createDataFrame(rows, "band long, node long, sketch binary").repartition(6)
+    label = {k: k for k in kind}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for r in nd._bucket_links(table, NearDedup()).collect():
+        assert kind[r.a] == kind[r.b]
+        label[top(r.a)] = top(r.b)
+    for lo, hi in ((0, 45), (45, 80)):
+        assert all((top(a) == top(b)) == (kind[a] == kind[b]) for a in range(lo, hi) for b in range(lo, hi))
+    assert all(top(k) == k for k in range(80, 90))
+
+
+@pytest.mark.parametrize("bucket", [4096, 2])
+def test_mixed_buckets_lose_no_link(spark, bucket):
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(30)}" for _ in range(60)]
+        for c in range(6):
+            other = list(base)
+            for _ in range(c):
+                other[rng.randrange(60)] = f"x{rng.randrange(9)}"
+            rows.append((g * 10 + c, " ".join(other)))
+    cfg = NearDedup(bands=60, rows=2, bucket=bucket)
+    assert got(near_duplicates(documents(spark, rows), cfg)) == brute(rows)
