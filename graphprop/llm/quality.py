@@ -107,7 +107,10 @@ class FourierMap:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.sd, -8, 8)
-        return np.concatenate([np.ones((len(x), 1)), np.sqrt(2 / self.d) * np.cos(z @ self.w + self.b)], 1)
+        angle = np.tile(self.b, (len(x), 1))
+        for k, row in enumerate(self.w):  # in a fixed order: a matrix product's last bits depend on the batch
+            angle += z[:, k, None] * row
+        return np.concatenate([np.ones((len(x), 1)), np.sqrt(2 / self.d) * np.cos(angle)], 1)
 
 
 def _rows(batch: pa.RecordBatch, k: int) -> np.ndarray:
@@ -154,8 +157,8 @@ def quality(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(), id_col
     calibration. Rows with a null id or label teach nothing; of labels that
     disagree on one id the larger counts. Null and empty texts have all-zero
     statistics and a score like any text. A null id counts as not held out.
-    Repeated rows are scored each. Without labels every score is 0.5; an empty
-    table gives an empty result. Other columns are not read.
+    Repeated rows are scored each, equal texts equally. Without labels every
+    score is 0.5; an empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -174,7 +177,7 @@ def quality(docs: DataFrame, labels: DataFrame, cfg: Quality = Quality(), id_col
     def raw(frame: DataFrame, *keep: str) -> DataFrame:
         def run(batches):
             for batch in batches:
-                z = phi(_rows(batch, len(keep))) @ w if len(batch) else np.empty(0)
+                z = np.add.reduce(phi(_rows(batch, len(keep))) * w, 1) if len(batch) else np.empty(0)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(z, pa.float64())], [*keep, "z"])
 
         kinds = dict(frame.dtypes)

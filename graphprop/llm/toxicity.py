@@ -6,7 +6,8 @@ firing rate per voter and class (hence its accuracy), fitted by EM over counts
 of vote patterns of all documents; labelled training rows are clamped. Residual
 correlations of the voters given the class then shrink the weight of voters
 that repeat each other, and EM runs again. A logistic classifier is trained on
-the posterior labels and scores every document.
+the posterior labels of all documents, by Newton steps whose sums are taken
+within partitions over the counted patterns, and scores every document.
 """
 
 from __future__ import annotations
@@ -38,16 +39,17 @@ _LETTERS[128:] = False
 
 @dataclass(frozen=True)
 class Toxicity:
-    """``labelled_rows`` bounds the labelled rows searched for words, ``fit_rows`` those the classifier is fitted on (the smallest hashes of ids).
+    """``labelled_rows`` bounds the labelled rows searched for words (the smallest hashes of ids).
 
     A word or beginning becomes a voter if ``min_precision`` of its documents
     are toxic, and if its log-likelihood ratio is so large that fewer than
-    ``chance`` of all words would get there at random.
+    ``chance`` of all words would get there at random. The ``mined`` ones with
+    the largest ratios vote; the others still count where a longer or shorter
+    beginning of theirs does.
     """
 
     labelled_rows: int = 20_000
-    fit_rows: int = 50_000
-    mined: int = 27
+    mined: int = 128
     min_precision: float = 0.7
     chance: float = 0.05
     rounds: int = 12
@@ -135,9 +137,10 @@ def _mined(labelled: DataFrame, cfg: Toxicity, scratch: Scratch) -> list[tuple[i
 
 
 def votes(docs: DataFrame, lexicon: list[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, the voters that fire as bits of ``fires``, and real-valued features ``x``.
+    """Per row: doc_id, the voters that fire as bits of ``fires``, and further features ``x``.
 
-    ``lexicon`` holds (length, hash) of words (0) and beginnings.
+    ``lexicon`` holds (length, hash) of words (0) and beginnings. ``x`` holds
+    small whole numbers, so that equal patterns can be counted.
     """
     n_lex = len(lexicon)
     by_length = []
@@ -173,14 +176,14 @@ def votes(docs: DataFrame, lexicon: list[tuple[int, int]], id_col: str = "doc_id
                 caps_share = n_caps / np.maximum(n_caps + n_small, 1)
                 pattern = np.stack([total >= 2, total >= 3, dense >= 0.01, shout > 0, caps_share > 0.5], 1)
                 fired = np.concatenate([counts > 0, pattern], 1)
-                fires.append((fired.astype(np.uint64) << np.arange(fired.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64))
-                x = np.concatenate([fired, np.log1p(total)[:, None], np.log1p(kinds)[:, None], np.minimum(dense * 100, 10)[:, None], caps_share[:, None]], 1)
+                fires += [r.tobytes() for r in np.packbits(fired, 1)]
+                x = np.stack([np.minimum(total, 100), kinds, np.rint(np.minimum(dense * 100, 10) * 4), np.rint(caps_share * 32)], 1)
                 ids.append(batch.column(0).slice(lo, n))
-                xs += list(x.astype(np.float32))
+                xs += list(x.astype(np.int16))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(fires)), pa.array(xs, pa.list_(pa.float32()))], ["doc_id", "fires", "x"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(fires, pa.binary()), pa.array(xs, pa.list_(pa.int16()))], ["doc_id", "fires", "x"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fires long, x array<float>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fires binary, x array<smallint>")
 
 
 @dataclass
@@ -197,31 +200,54 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _bits(fires: np.ndarray, n: int) -> np.ndarray:
-    return (fires.astype(np.uint64)[:, None] >> np.arange(n, dtype=np.uint64)) & np.uint64(1) > 0
+def _bits(fires: pa.Array, n: int) -> np.ndarray:
+    """The first ``n`` voters of each row of packed bits."""
+    flat = np.frombuffer(b"".join(fires.to_pylist()), np.uint8).reshape(len(fires), -1)
+    return np.unpackbits(flat, axis=1)[:, :n] > 0
+
+
+def _features(fires: np.ndarray, x: pa.Array) -> np.ndarray:
+    """What the classifier sees: a constant, the voters, and the scaled further features."""
+    more = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(fires), -1)
+    return np.concatenate([np.ones((len(fires), 1)), fires, np.log1p(more[:, :2]), more[:, 2:3] / 4, more[:, 3:] / 32], 1)
+
+
+def _summed(table: DataFrame, run) -> np.ndarray:
+    """The sum of the arrays that ``run(batch)`` gives for the batches of ``table``: within partitions first, then entry by entry."""
+
+    def partition(batches):
+        total = None
+        for batch in batches:
+            if len(batch):
+                part = run(batch).ravel()
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "v"])
+
+    got = table.mapInArrow(partition, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(len(got))
+    out[got.column("k").to_numpy()] = got.column("v").to_numpy()
+    return out
+
+
+def _given(batch: pa.RecordBatch, fires: np.ndarray, model: LabelModel) -> np.ndarray:
+    """The label where there is one, else the posterior."""
+    given = batch.column("given").to_numpy(zero_copy_only=False).astype(float)
+    return np.where(np.isnan(given), model.posterior(fires), given)
 
 
 def _moments(patterns: DataFrame, model: LabelModel) -> np.ndarray:
     """Posterior-weighted sums of ``f f'`` for both classes, over all patterns, with a constant voter in front."""
     n = len(model.weight)
 
-    def run(batches):
-        total = np.zeros((2, n + 1, n + 1))
-        for batch in batches:
-            fires = _bits(batch.column(0).to_numpy(), n)
-            given, count = batch.column(1).to_numpy(zero_copy_only=False).astype(float), batch.column(2).to_numpy().astype(float)
-            p = np.where(np.isnan(given), model.posterior(fires), given)
-            f = np.concatenate([np.ones((len(fires), 1)), fires], 1)
-            for c, w in ((0, (1 - p) * count), (1, p * count)):
-                total[c] += f.T @ (f * w[:, None])
-        flat = total.ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["k", "v"])
-
-    rows = patterns.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(2 * (n + 1) ** 2)
-    for r in rows:
-        out[r.k] = r.v
-    return out.reshape(2, n + 1, n + 1)
+    def run(batch):
+        fires = _bits(batch.column("fires"), n)
+        p, count = _given(batch, fires, model), batch.column("n").to_numpy().astype(float)
+        f = np.concatenate([np.ones((len(fires), 1)), fires], 1)
+        return np.stack([f.T @ (f * w[:, None]) for w in ((1 - p) * count, p * count)])
+
+    total = _summed(patterns.select("fires", "given", "n"), run)
+    return (total if len(total) else np.zeros(2 * (n + 1) ** 2)).reshape(2, n + 1, n + 1)
 
 
 def fit_label_model(patterns: DataFrame, n_voters: int, cfg: Toxicity) -> LabelModel:
@@ -250,17 +276,29 @@ def fit_label_model(patterns: DataFrame, n_voters: int, cfg: Toxicity) -> LabelM
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (constant first) of a ridge logistic regression on soft labels, by Newton steps."""
-    f = np.concatenate([np.ones((len(x), 1)), x], 1)
-    w = np.zeros(f.shape[1])
-    penalty = np.full(len(w), ridge)
+def fit_classifier(patterns: DataFrame, model: LabelModel, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights (constant first) of a ridge logistic regression on the labels and posteriors of (fires, x, given, n) rows, by Newton steps."""
+    n_voters = len(model.weight)
+    d = n_voters + 5
+    w = np.zeros(d)
+    penalty = np.full(d, ridge)
     penalty[0] = 1e-6
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-        step = np.linalg.solve(f.T @ (f * (p * (1 - p))[:, None]) + np.diag(penalty), f.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+    for _ in range(steps):
+
+        def run(batch, w=w):
+            fires = _bits(batch.column("fires"), n_voters)
+            y, count = _given(batch, fires, model), batch.column("n").to_numpy().astype(float)
+            f = _features(fires, batch.column("x"))
+            p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
+            return np.concatenate([f.T @ (f * (count * p * (1 - p))[:, None]), (f.T @ (count * (y - p)))[:, None]], 1)
+
+        total = _summed(patterns, run)
+        if not len(total):
+            break
+        total = total.reshape(d, d + 1)
+        step = np.linalg.solve(total[:, :d] + np.diag(penalty), total[:, d] - penalty * w)
+        w = w + step
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -272,8 +310,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, cfg: Toxicity = Toxicity(), id_
     not 1; rows with a null id or label teach nothing and of labels that
     disagree on one id the larger counts. Null and empty texts fire no voter and
     get the score of such texts. A null id counts as not held out. Repeated rows
-    are scored each. Without labels the lexicon alone starts EM; an empty table
-    gives an empty result. Other columns are not read.
+    are scored each, texts of equal features equally. Without labels the lexicon
+    alone starts EM; an empty table gives an empty result. Other columns are not
+    read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -285,18 +324,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, cfg: Toxicity = Toxicity(), id_
     lexicon = [(0, _hash_of(w)) for w in LEXICON] + mined
     n_voters = len(lexicon) + len(PATTERNS)
     table = scratch.keep(votes(base, lexicon), "votes")
-    labelled = table.select("doc_id", "fires").join(y, "doc_id", "left")
-    patterns = scratch.keep(labelled.groupBy("fires", F.col("toxic").cast("double").alias("given")).agg(F.count(F.lit(1)).alias("n")), "patterns")
+    given = table.join(y, "doc_id", "left").groupBy("fires", "x", F.col("toxic").cast("double").alias("given")).agg(F.count(F.lit(1)).alias("n"))
+    seen = scratch.keep(given, "features")
+    patterns = scratch.keep(seen.groupBy("fires", "given").agg(F.sum("n").alias("n")), "patterns")
     model = fit_label_model(patterns, n_voters, cfg)
-    rows = table.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.fit_rows).join(y, "doc_id", "left").select("fires", "x", F.col("toxic").cast("double").alias("given")).toPandas()
-    if len(rows):
-        x = np.stack(rows["x"].to_list())
-        given = rows["given"].to_numpy(float)
-        w = _logistic(x, np.where(np.isnan(given), model.posterior(_bits(rows["fires"].to_numpy(), n_voters)), given))
-    else:
-        w = np.zeros(n_voters + 5)
-    z = F.lit(float(w[0]))
-    for k, v in enumerate(w[1:]):
-        z = z + F.col("x")[k] * F.lit(float(v))
-    prob, threshold = 1 / (1 + F.exp(-z)), cfg.threshold
-    return table.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), prob.cast("double").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    w = fit_classifier(seen, model)
+    threshold = cfg.threshold
+
+    def run(batches):
+        for batch in batches:
+            f = _features(_bits(batch.column(2), n_voters), batch.column(3)) if len(batch) else np.zeros((0, len(w)))
+            z = np.add.reduce(f * w, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "held_out", "score"])
+
+    scored = table.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "fires", "x").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import EDGE_TEXTS, documents
+from helpers import EDGE_TEXTS, UPPER, blank_words, documents
 
 from graphprop.llm import quality as q
 from graphprop.llm import toxicity as t
@@ -34,7 +36,7 @@ def test_edges(spark, op):
     out = op(documents(spark, EDGE_TEXTS), labels).collect()
     assert len(out) == len(EDGE_TEXTS) and all(0 <= r.score <= 1 for r in out)
     same = [r.score for r in out if r.doc_id == 7]
-    assert abs(same[0] - same[1]) < 1e-9
+    assert same[0] == same[1]
     assert op(documents(spark, []), labels).collect() == []
     assert len(op(documents(spark, EDGE_TEXTS), labels.where("false")).collect()) == len(EDGE_TEXTS)
 
@@ -67,15 +69,98 @@ def test_fourier_features_approximate_the_kernel():
     assert np.abs(z @ z.T - np.exp(-d / 8)).max() < 0.05
 
 
+def packed_votes(spark, fires):
+    rows = [(np.packbits(f).tobytes(), None, 1) for f in fires]
+    return spark.createDataFrame(rows, "fires binary, given double, n long").groupBy("fires", "given").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+
+
 def test_label_model_weighs_down_repeated_voters(spark):
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
-    fires = np.zeros(4000, np.int64)
-    for k, (hit, false) in enumerate([(0.6, 0.05), (0.6, 0.05), (0.5, 0.1)]):
-        fires |= np.where(rng.random(4000) < np.where(y, hit, false), 1, 0) << k
-    fires |= ((fires >> 2) & 1) << 3  # the last voter repeats the third
-    table = spark.createDataFrame([(int(f), None, 1) for f in fires], "fires long, given double, n long").groupBy("fires", "given").count()
-    model = t.fit_label_model(table, 4, t.Toxicity())
+    fires = np.stack([rng.random(4000) < np.where(y, hit, false) for hit, false in [(0.6, 0.05), (0.6, 0.05), (0.5, 0.1)]], 1)
+    fires = np.concatenate([fires, fires[:, 2:]], 1)  # the last voter repeats the third
+    model = t.fit_label_model(packed_votes(spark, fires), 4, t.Toxicity())
     assert (model.weight[2:] < model.weight[:2].min()).all()
-    p = model.posterior(t._bits(fires, 4))
+    p = model.posterior(fires)
     assert p[y].mean() > p[~y].mean() + 0.3
+
+
+def brute_votes(text, lexicon):
+    """The voters by name, and the whole-number features, of one text."""
+    low = (text or "").translate(UPPER)
+    spans = [m.span() for m in re.finditer(r"[a-z\x80-\U0010FFFF]+", low)]
+    words = [low[a:b] for a, b in spans]
+    count = {k: 0 for k in lexicon}
+    shout = False
+    for (a, b), w in zip(spans, words, strict=True):
+        for k in lexicon:
+            length, stem = k
+            if w == stem if not length else len(w.encode()) > length and w.encode()[:length] == stem.encode():
+                count[k] += 1
+                raw = text[a:b].encode()
+                after = text.encode()[len(text[:a].encode()) + 1 :][:1]
+                shout |= raw[:1].isupper() and after.isupper()
+    total, kinds = sum(count.values()), sum(v > 0 for v in count.values())
+    dense = total / max(len(words), 1)
+    caps, small = sum("A" <= c <= "Z" for c in text or ""), sum("a" <= c <= "z" for c in text or "")
+    share = caps / max(caps + small, 1)
+    fired = [v > 0 for v in count.values()] + [total >= 2, total >= 3, dense >= 0.01, shout, share > 0.5]
+    return fired, [min(total, 100), kinds, round(min(dense * 100, 10) * 4), round(share * 32)]
+
+
+def test_votes_equal_a_plain_count(spark):
+    lexicon = [(0, w) for w in t.LEXICON] + [(4, "vill"), (5, "scoun"), (3, "é ".strip() + "a")]
+    hashed = [(n, t._hash_of(w)) for n, w in lexicon]
+    texts = [*EDGE_TEXTS, (10, "You IDIOT, idiot! Idiota villain VILLAINS vill scoundrel éab éa"), (11, "STUPID " * 3 + "x" * 70_000 + " moron"), (12, "a villa,idiot." * 20_000), (13, "CRÉTIN crétin Estúpido")]
+    got = t.votes(documents(spark, texts), hashed).toArrow()
+    bits = t._bits(got.column("fires").combine_chunks(), len(lexicon) + len(t.PATTERNS))
+    for (_, text), fired, x in zip(texts, bits, got.column("x").to_pylist(), strict=True):
+        want = brute_votes(text, lexicon)
+        assert (fired.tolist(), x) == want, text and text[:60]
+
+
+def test_classifier_equals_a_local_fit(spark):
+    rng = np.random.default_rng(3)
+    fires, y = rng.random((600, 3)) < 0.3, rng.random(600)
+    x = rng.integers(0, 6, (600, 4))
+    rows = [(np.packbits(f).tobytes(), [int(v) for v in a], float(b), 2) for f, a, b in zip(fires, x, y, strict=True)]
+    table = spark.createDataFrame(rows, "fires binary, x array<smallint>, given double, n long").repartition(5)
+    w = t.fit_classifier(table, t.LabelModel(0.1, np.full((3, 2), 0.5), np.ones(3)))
+    f = np.concatenate([np.ones((600, 1)), fires, np.log1p(x[:, :2]), x[:, 2:3] / 4, x[:, 3:] / 32], 1)
+    p = 1 / (1 + np.exp(-(f @ w)))
+    slope = 2 * f.T @ (y - p) - np.r_[1e-6, np.ones(len(w) - 1)] * w
+    assert np.abs(slope).max() < 1e-3
+
+
+def brute_statistics(text):
+    data = (text or "").encode()
+    words = [w.encode() for w in blank_words(text)]
+    raw_words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    lines = [x for x in data.split(b"\n") if x]
+    n, nw, nl = max(len(data), 1), max(len(words), 1), max(len(lines), 1)
+    share = lambda ok: sum(map(ok, data)) / n
+    symbol = lambda c: bool(q._SYMBOL[c])
+    size = [len(w) for w in words]
+    most = max((words.count(w) for w in set(words)), default=0) if len(words) < 5000 else max(Counter(words).values())
+    return [
+        np.log1p(len(words)), np.log1p(len(data)), min(sum(size) / nw, 40), share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in b" \t\n\r\x0b\x0c"),
+        share(symbol), share(lambda c: c == 33), share(lambda c: c == 124), share(lambda c: c >= 128), share(lambda c: c in b".?"),
+        np.log1p(len(lines)), np.log1p(nw / nl), len(set(words)) / nw, sum(a == b for a, b in zip(words, words[1:])) / nw, sum(a == b for a, b in zip(words, words[2:])) / nw,
+        most / nw, 1 - len(set(lines)) / nl, sum(symbol(w[-1]) for w in raw_words) / nw, sum(k <= 2 for k in size) / nw,
+    ]
+
+
+def test_statistics_equal_a_plain_count(spark):
+    texts = [*EDGE_TEXTS, (10, "One two two\nTWO. a|b ##\n\nOne two two\n$$ x$ é! ?\t end."), (11, "line\n" * 30_000), (12, "w" * 300_000), (13, "ab ab cd ab " * 9000)]
+    got = [r.x for r in q.statistics(documents(spark, texts)).collect()]
+    for (_, text), x in zip(texts, got, strict=True):
+        want = brute_statistics(text)
+        assert len(want) == len(q.STATISTICS) and np.allclose(x, want, rtol=1e-5, atol=1e-6), (text and text[:40], np.round(np.array(x) - want, 4))
+
+
+@pytest.mark.parametrize("op", [q.quality, t.toxicity])
+def test_copies_score_alike_wherever_they_stand(spark, op):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").limit(300), spark.read.parquet(f"{SF}/labels.parquet")
+    twice = docs.select("doc_id", "text").union(docs.select(docs.doc_id + 1_000_000, docs.text)).repartition(7)
+    found = {r.doc_id: r.score for r in op(twice, labels).collect()}
+    assert all(found[i] == found[i + 1_000_000] for i in found if i < 1_000_000)
