@@ -1,9 +1,10 @@
 """WARC archives with revisit records.
 
-Headers (page, payload digest, size) are aggregated by digest; a payload of
+Headers (page, payload digest, size) alone are shuffled by digest; a payload of
 enough bytes that occurs again is written once, and its other pages become
-revisit records that refer to it. Archives are written by Spark's own
-committer: a record ends in CRLF CRLF, so records are lines of a text file with
+revisit records that refer to it. The repeated digests are joined back to the
+pages, by broadcast where their written size allows, so that payloads move only
+where it does not. Archives are written by Spark's own committer: a record ends in CRLF CRLF, so records are lines of a text file with
 that separator, compressed by the writer. Reading goes by Content-Length, so a
 payload may hold anything.
 """
@@ -29,20 +30,34 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 
 @dataclass(frozen=True)
 class Archive:
-    """``least_bytes`` is the size from which payloads are written once; ``records_per_file`` bounds a file."""
+    """``least_bytes`` is the size from which payloads are written once; a file holds at most ``file_bytes`` of payload, or one record."""
 
     least_bytes: int = 1000
-    records_per_file: int = 4000
+    file_bytes: int = 256 << 20
+    tier_bytes: int = 64 << 10
     date: str = "2024-01-01T00:00:00Z"
 
 
-def resolve(pages: DataFrame, cfg: Archive = Archive(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row of ``pages``: page_id, url, html, digest, bytes, refers_to (null for a response)."""
+def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    page = page.select("*", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
-    known = page.where((F.col("bytes") >= cfg.least_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return page.join(known.select("digest", "original"), "digest", "left").select("page_id", "url", "html", "digest", "bytes", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")).alias("refers_to"))
+    return page.select("*", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+
+
+def headers(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, digest, bytes) of each row, written."""
+    return scratch.keep(_pages(pages, id_col, id_col, html_col).select("page_id", "digest", "bytes"), "headers")
+
+
+def resolve(pages: DataFrame, cfg: Archive = Archive(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html", head: DataFrame | None = None) -> DataFrame:
+    """Per row of ``pages``: page_id, url, html, digest, bytes, refers_to (null for a response)."""
+    scratch = Scratch(pages.sparkSession)
+    head = headers(pages, scratch, id_col, html_col) if head is None else head
+    known = head.where((F.col("bytes") >= cfg.least_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("original"))
+    again = head.where(F.col("bytes") >= cfg.least_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    known = scratch.keep(known.join(again, "digest"), "originals")
+    page = _pages(pages, id_col, url_col, html_col)
+    return page.join(known, "digest", "left").select("page_id", "url", "html", "digest", "bytes", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")).alias("refers_to"))
 
 
 def _urn(page_id: Column, digest: Column) -> Column:
@@ -50,8 +65,14 @@ def _urn(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def write(resolved: DataFrame, path: str, cfg: Archive = Archive()) -> None:
-    """Write a record for each row of ``resolve`` to gzip WARC files under ``path``."""
+def write(resolved: DataFrame, path: str, cfg: Archive = Archive(), largest: int | None = None) -> None:
+    """Write a record for each row of ``resolve`` to gzip WARC files under ``path``.
+
+    Records go to tiers by size, each 64 times the one before, so that a number
+    of records bounds a file's bytes; ``largest`` is the largest payload.
+    """
+    if largest is None:
+        largest = resolved.agg(F.max("bytes").alias("m")).first()["m"] or 0
     revisit = F.col("refers_to").isNotNull()
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("bytes").cast("string"), F.lit(_END * 2))
     block = F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("html")))
@@ -70,8 +91,12 @@ def write(resolved: DataFrame, path: str, cfg: Archive = Archive()) -> None:
         ("Content-Length", F.octet_length("block").cast("string")),
     ]
     header = F.concat_ws(_END, F.lit("WARC/1.1"), *[F.concat(F.lit(f"{k}: "), v) for k, v in fields])
-    record = resolved.withColumn("block", block).select(F.concat(header, F.lit(_END * 2), F.col("block")).alias("value"))
-    record.write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", cfg.records_per_file).text(path)
+    least, most = -1, cfg.tier_bytes
+    while least < largest:
+        own = resolved.where((F.col("bytes") > least) & (F.col("bytes") <= most)).withColumn("block", block)
+        record = own.select(F.concat(header, F.lit(_END * 2), F.col("block")).alias("value"))
+        record.write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, cfg.file_bytes // most)).text(f"{path}/to-{most}")
+        least, most = most, most * 64
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -114,7 +139,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                 names = [*(x.split()[0] for x in RECORDS.split(", ")), "payload"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
     out = files.select("content").mapInArrow(rows, RECORDS + ", payload binary")
     return out if with_payload else out.drop("payload")
 
@@ -132,7 +157,9 @@ def archive(pages: DataFrame, cfg: Archive = Archive(), id_col: str = "page_id",
     """
     scratch = Scratch(pages.sparkSession)
     path = scratch.path("archives")
-    write(resolve(pages, cfg, id_col, url_col, html_col), path, cfg)
+    head = headers(pages, scratch, id_col, html_col)
+    largest = head.agg(F.coalesce(F.max("bytes"), F.lit(0)).alias("m")).first()["m"]
+    write(resolve(pages, cfg, id_col, url_col, html_col, head), path, cfg, largest)
     return read(pages.sparkSession, path)
 
 

@@ -38,6 +38,20 @@ def test_payloads_come_back_whole(spark):
     assert out[3] is None
 
 
+def test_files_are_bounded_by_bytes(spark):
+    path = Scratch(spark).path("archives")
+    cfg = warc.Archive(file_bytes=4000, tier_bytes=100)
+    warc.write(warc.resolve(pages(spark, ROWS).coalesce(1), cfg), path, cfg)
+    sizes = [sum(r.payload_bytes for r in g) for g in by_file(spark, path)]
+    assert len(sizes) > 3 and all(n <= 4000 for n in sizes if n not in (300_000,))
+    assert warc.read(spark, path).count() == len(ROWS)
+
+
+def by_file(spark, path):
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("path").collect()
+    return [warc.read(spark, r.path).where("record_type = 'response'").collect() for r in files]
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = [(1, "u", BIG), (1, "u", BIG), (None, "u", BIG), (None, "u", "small")]
     out = warc.archive(pages(spark, rows)).collect()
