@@ -1,11 +1,15 @@
 """Approximate nearest neighbours: a forest of random-projection trees with one priority queue.
 
 The trees are fitted on a bounded sample; every distinct vector is then filed
-under its leaf in each tree. A query walks all trees through one queue ordered
-by the margin of the closest plane on the way, until the leaves it has taken
-hold the wanted share of the vectors. Leaf by leaf, queries and vectors meet in
-one group that keeps each query's best by the exact inner product; groups are
-salted where a leaf outgrows ``leaf_rows``. Equal vectors are searched once.
+under its leaf in each tree. Of a few random directions a node takes that along
+which its points spread most. A query walks all trees through one queue ordered
+by the squared distances to the planes it has crossed, until the leaves it has
+taken hold the wanted share of the vectors. That share, and the number of trees,
+are the least work with which queries of the sample find ``target`` of their
+exact neighbours: vectors with structure need few leaves, vectors without any
+most of them. Leaf by leaf, queries and vectors meet in one group that keeps
+each query's best by the exact inner product; groups are salted where a leaf
+outgrows ``group_rows``. Equal vectors are searched once.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ from graphprop.llm.store import Scratch
 
 @dataclass(frozen=True)
 class Forest:
-    """``share`` is the part of all filed vectors a query's leaves hold, copies in several trees included."""
+    """``target`` is the recall that the search is set for, on ``tried`` queries of the sample."""
 
     trees: int = 4
     sample_rows: int = 20_000
-    leaf_rows: int = 1024
-    share: float = 0.3
+    leaf_rows: int = 512
+    directions: int = 8
+    target: float = 0.96
+    tried: int = 100
     top: int = 20
     query_every: int = 20
     group_rows: int = 20_000
@@ -56,10 +62,10 @@ class Trees:
             live = live[node[live] >= 0]
         return -1 - node
 
-    def search(self, q: np.ndarray, wanted: float) -> list[int]:
-        """Leaves of all trees in the order of the shared queue, until they hold ``wanted`` sample rows."""
+    def search(self, q: np.ndarray, wanted: float, trees: int | None = None) -> list[int]:
+        """Leaves of the first ``trees`` trees in the order of the shared queue, until they hold ``wanted`` sample rows."""
         margin = self.normal @ q - self.offset
-        queue = [(0.0, k, root) for k, root in enumerate(self.roots)]
+        queue = [(0.0, k, root) for k, root in enumerate(self.roots[:trees])]
         heapq.heapify(queue)
         found, held, tie = [], 0.0, len(queue)
         while queue and held < wanted:
@@ -68,7 +74,7 @@ class Trees:
                 m = margin[node]
                 side = int(m > 0)
                 tie += 1
-                heapq.heappush(queue, (max(far, abs(m)), tie, self.child[node, 1 - side]))
+                heapq.heappush(queue, (far + m * m, tie, self.child[node, 1 - side]))
                 node = self.child[node, side]
             found.append(-1 - node)
             held += self.size[-1 - node]
@@ -83,10 +89,11 @@ def grow(x: np.ndarray, cfg: Forest, n_rows: int) -> Trees:
 
     def build(at: np.ndarray) -> int:
         if len(at) > least:
-            for _ in range(4):
-                w = rng.normal(size=x.shape[1])
-                w /= np.linalg.norm(w)
-                z = x[at] @ w
+            drawn = rng.normal(size=(x.shape[1], cfg.directions))
+            drawn /= np.linalg.norm(drawn, axis=0)
+            along = x[at] @ drawn
+            for j in np.argsort(-along.std(0), kind="stable"):
+                w, z = drawn[:, j], along[:, j]
                 cut = float(np.median(z))
                 right = z > cut
                 if 0 < right.sum() < len(at):
@@ -105,21 +112,54 @@ def grow(x: np.ndarray, cfg: Forest, n_rows: int) -> Trees:
     return Trees(np.array(normal).reshape(-1, d), np.array(offset), np.array(child, int).reshape(-1, 2), roots, np.array(size, float))
 
 
+def tuned(trees: Trees, x: np.ndarray, n_rows: int, cfg: Forest) -> tuple[int, float]:
+    """How many trees to search, and the sample rows their leaves must hold, for ``target`` at the least work.
+
+    Where the sample is a part of all rows, its neighbours lie further off than
+    a query's own, so that the recall of the search is no smaller. A single
+    tree of which all leaves are taken is the exact search.
+    """
+    n = len(x)
+    if n < 2:
+        return 1, float(n)
+    k = min(n - 1, max(1, -(-cfg.top * n // n_rows)))
+    own = np.unique(np.linspace(0, n - 1, min(cfg.tried, n)).astype(int))
+    score = x[own] @ x.T
+    score[np.arange(len(own)), own] = -np.inf
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    leaf = np.stack([trees.leaves(x, t) for t in range(cfg.trees)])
+    best = (1, float(n))
+    for used in range(2, cfg.trees + 1):
+        found = []
+        for q, wanted in zip(own, near, strict=True):
+            taken = trees.search(x[q], float(n), used)
+            at = np.full(len(trees.size), np.inf)
+            at[taken] = np.cumsum(trees.size[taken])
+            found.append(at[leaf[:used, wanted]].min(0))
+        work = np.sort(np.concatenate(found))[int(np.ceil(cfg.target * len(own) * k)) - 1]
+        if work < best[1]:
+            best = (used, float(work))
+    return best
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in col]) if len(col) else np.empty((0, 0))
 
 
-def _best(score: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each row's ``k`` largest scores, of equal scores those of smaller ``first``."""
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's ``k`` largest scores, and of those equal to the least of them."""
     n, m = score.shape
     if m <= k:
         return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
-    at = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    least = np.take_along_axis(score, at, 1).min(1)
-    for i in np.flatnonzero((score >= least[:, None]).sum(1) > k):
-        tied = np.flatnonzero(score[i] >= least[i])
-        at[i] = tied[np.lexsort((first[tied], -score[i, tied]))[:k]]
-    return np.repeat(np.arange(n), k), at.ravel()
+    # of a matrix product the last bits vary, so that what is as good but for them stays in
+    least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+    i, j = np.nonzero(score >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None])
+    return i, j
+
+
+def _exact(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products row by row, summed in one order."""
+    return np.add.reduce(a * x, 1)
 
 
 _FILED = "leaf int, salt int, c long, first long, least double, vec binary"
@@ -151,11 +191,15 @@ def _met(queries: DataFrame, filed: DataFrame, k: int) -> DataFrame:
             q, least, c, first = qs.column("c").to_numpy(), qs.column("least").to_numpy(), xs.column("c").to_numpy(), xs.column("first").to_numpy()
             step = max(1, 4_000_000 // len(x))
             for lo in range(0, len(a), step):
-                score = a[lo : lo + step] @ x.T
-                i, j = _best(score, first, k)
-                enough = score[i, j] >= least[lo + i]
-                i, j = i[enough], j[enough]
-                for column, values in zip(out, (q[lo + i], c[j], first[j], score[i, j]), strict=True):
+                i, j = _best(a[lo : lo + step] @ x.T, k)
+                score = _exact(a[lo + i], x[j])
+                # the best of each query by exact score, then by id
+                order = np.lexsort((first[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                enough = (rank < k) & (score >= least[lo + i])
+                i, j, score = i[enough], j[enough], score[enough]
+                for column, values in zip(out, (q[lo + i], c[j], first[j], score), strict=True):
                     column.append(values)
         kinds = (np.int64, np.int64, np.int64, np.float64)
         return pa.Table.from_arrays([pa.array(np.concatenate(v) if v else np.empty(0, t)) for v, t in zip(out, kinds, strict=True)], ["q", "c", "first", "score"])
@@ -177,7 +221,7 @@ def nearest(embeddings: DataFrame, cfg: Forest = Forest(), id_col: str = "vec_id
     spark = embeddings.sparkSession
     scratch = Scratch(spark)
     v = F.col("vec")
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec")).where(F.col("vec_id").isNotNull() & (F.size(v) > 0))
+    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & (F.size(v) > 0))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(F.coalesce(finite, F.lit(False)))
     common = rows.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -190,31 +234,31 @@ def nearest(embeddings: DataFrame, cfg: Forest = Forest(), id_col: str = "vec_id
     distinct = rows.join(firsts, ["k1", "k2"]).where("vec_id = first").dropDuplicates(["k1", "k2"])
     table = scratch.keep(distinct.select(F.monotonically_increasing_id().alias("c"), "k1", "k2", "first", "asks", "vec"), "distinct")
     n = table.count()
-    sample = table.select("vec").orderBy("k1", "k2").limit(cfg.sample_rows).toPandas()
-    points = np.stack(sample["vec"].to_list()).astype(np.float64)
+    sample = table.orderBy("k1", "k2").limit(cfg.sample_rows).select("vec").toArrow()
+    points = sample.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1)
     trees = grow(points, cfg, n)
-    scale = n / len(sample)
+    scale = n / len(points)
     salts = np.maximum(1, np.ceil(trees.size * scale / cfg.group_rows)).astype(int)
-    wanted = cfg.share * len(sample) * cfg.trees
+    n_trees, wanted = tuned(trees, points, n, cfg)
 
     k = cfg.top + 1  # a query's own vector may be among them
 
     def by_tree(x: np.ndarray, ids: np.ndarray):
-        leaf = np.concatenate([trees.leaves(x, t) for t in range(cfg.trees)])
-        return np.tile(np.arange(len(x)), cfg.trees), leaf, np.tile(ids, cfg.trees) % salts[leaf], np.zeros(len(x))
+        leaf = np.concatenate([trees.leaves(x, t) for t in range(n_trees)])
+        return np.tile(np.arange(len(x)), n_trees), leaf, np.tile(ids, n_trees) % salts[leaf], np.zeros(len(x))
 
-    filed_points = np.stack([trees.leaves(points, t) for t in range(cfg.trees)], 1)
+    filed_points = np.stack([trees.leaves(points, t) for t in range(n_trees)], 1)
 
     def by_queue(x: np.ndarray, ids: np.ndarray):
         row, leaf, least = [], [], np.full(len(x), -np.inf)
         for i in range(len(x)):
-            taken = np.array(trees.search(x[i], wanted))
+            taken = np.array(trees.search(x[i], wanted, n_trees))
             row.append(np.full(len(taken), i))
             leaf.append(taken)
             # what is not among the best of the sample's points in these leaves is not among the best of all in them
             visited = np.zeros(len(salts), bool)
             visited[taken] = True
-            score = points[visited[filed_points].any(1)] @ x[i]
+            score = points[visited[filed_points].any(1)] @ x[i]  # a bound, lowered below
             if len(score) >= k:
                 kth = np.partition(score, len(score) - k)[len(score) - k]
                 least[i] = kth - 1e-9 * max(1.0, abs(kth))

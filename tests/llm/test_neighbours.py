@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from graphprop.llm.neighbours import Forest, grow, nearest
+from graphprop.llm.neighbours import Forest, grow, nearest, tuned
 
 SCHEMA = "vec_id long, embedding array<float>, c long, vec string, label int"
 
@@ -44,12 +44,18 @@ def test_odd_rows_take_no_part(spark):
     assert nearest(table(spark, [(20, [1.0])])).collect() == []
 
 
-@pytest.mark.parametrize(("group_rows", "sample_rows"), [(20_000, 4000), (50, 1000)])
-def test_recall(spark, group_rows, sample_rows):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(4000, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
+def spread(seed, n, groups):
+    """Unit vectors: without structure, or around as many centres as ``groups``."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64))
+    if groups:
+        x = rng.normal(size=(groups, 64))[rng.integers(0, groups, n)] + 0.3 * x
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize(("group_rows", "sample_rows", "groups"), [(20_000, 4000, 0), (50, 1000, 0), (20_000, 1000, 25)])
+def test_recall(spark, group_rows, sample_rows, groups):
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(spread(2, 4000, groups))]
     cfg = Forest(leaf_rows=128, sample_rows=sample_rows, group_rows=group_rows)
     out, want = got(nearest(table(spark, rows), cfg)), brute(rows)
     assert out.keys() == want.keys()
@@ -58,6 +64,35 @@ def test_recall(spark, group_rows, sample_rows):
     assert all([k for k, _, _ in v] == list(range(1, 21)) for v in out.values())
 
 
+def test_recall_on_the_given_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    out, want = got(nearest(df)), brute(rows)
+    assert out.keys() == want.keys()
+    assert sum(len({i for _, i, _ in out[q]} & {i for _, i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_work_follows_the_structure():
+    work = {}
+    for groups in (0, 25, 200):
+        x = spread(7, 8000, groups)
+        cfg = Forest(leaf_rows=64)
+        n_trees, wanted = tuned(grow(x, cfg, len(x)), x, len(x), cfg)
+        work[groups] = wanted / len(x)
+    assert work[0] <= 1 and work[25] < 0.25 and work[200] < 0.25, work
+
+
+def test_double_columns_and_equal_products_of_different_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) / 3 for x in rng.integers(-2, 3, 5)]) for k in range(400)]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    ok = [(i, np.array(v)) for i, v in rows if any(v)]
+    for q, found in got(nearest(df)).items():
+        a = dict(ok)[q]
+        want = sorted((-np.add.reduce(a * b), i) for i, b in ok if i != q)[:20]
+        assert [(i, s) for _, i, s in found] == [(i, -s) for s, i in want]
+
+
 def test_queue_visits_the_own_leaf_first():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 8))
