@@ -1,64 +1,5 @@
-"""Tables in the folder that the cluster shares, used to cut lineage.
+"""Tables in the folder that the cluster shares: those of the graph engine."""
 
-A written table survives the loss of executors, which cached blocks and local
-checkpoints do not.
-"""
+from graphprop.tables import Scratch, shared_dir
 
-from __future__ import annotations
-
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder of its own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="graphprop-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
-
-
-class Scratch:
-    """A folder of intermediate tables in the shared folder; Hadoop deletes it when the driver's JVM ends."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/graphprop-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        self.n = 0
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back."""
-        at = self.path(name)
-        df.write.option("compression", "zstd").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished jobs; it does when the driver has collected their objects."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-    def drop(self, name: str) -> None:
-        """Delete the tables kept under ``name``; only for tables that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for status in fs.listStatus(path):
-            if status.getPath().getName().endswith(f"-{name}"):
-                fs.delete(status.getPath(), True)
+__all__ = ["Scratch", "shared_dir"]
