@@ -348,15 +348,20 @@ def _training_windows(spans: DataFrame) -> DataFrame:
                 tok = tokens(raw, off)
                 tags = _inside(raw, off, tok.starts, tok.ends, tok.of, [[(x["s"], x["e"]) for x in v] for v in values[lo:hi]])
                 other = (tags == O) & (tok.shape[:, 2] > _FIRST[2]) & (tok.ends - tok.starts >= 4)
-                out = []
+                found = []
                 for k in range(hi - lo):
                     a, b = int(tok.of[k]), int(tok.of[k + 1])
                     centres = [*((c, True) for c in np.flatnonzero(tags[a:b] == B)), *((c, False) for c in np.flatnonzero(other[a:b])[:1]), *([((b - a) // 3, False)] if b > a else [])]
                     for c, secret in centres:
                         x = max(a, a + int(c) - WINDOW // 2)
                         y = min(x + WINDOW, b)
-                        h = int(tx.mix(np.uint64([x * 31 + y + len(raw)]))[0] >> np.uint64(1))
-                        out.append((h, secret, tok.features(np.arange(x, y)).astype(np.int32).tobytes(), tags[x:y].tobytes()))
+                        found.append((x, y, secret))
+                at = np.unique(np.concatenate([np.arange(x, y) for x, y, _ in found] or [np.empty(0, np.int64)]))
+                feats, out = tok.features(at).astype(np.int32), []
+                for x, y, secret in found:
+                    h = int(tx.mix(np.uint64([x * 31 + y + len(raw)]))[0] >> np.uint64(1))
+                    first = int(np.searchsorted(at, x))
+                    out.append((h, secret, feats[first : first + y - x].tobytes(), tags[x:y].tobytes()))
                 columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["h", "secret", "feats", "tags"])
 
