@@ -202,6 +202,19 @@ def _bucket_links(members: DataFrame, cfg: NearDedup) -> DataFrame:
     return members.repartition("band").sortWithinPartitions("band", "node").mapInArrow(run, "a long, b long")
 
 
+def fewer_links(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of ``links``: each b keeps its smallest a, and its other a's hang on that one.
+
+    Where many b have the same few a's, as in the buckets of a large group, they
+    become one link each and a link for each pair of a's. The a's of one b are
+    gathered: at most one a band from a bucket's smallest node and one from its
+    spanning forest.
+    """
+    first = F.element_at("_over", 1)
+    over = links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("_over"))
+    return over.select(first.alias("a"), F.explode(F.concat(F.array("b"), F.slice("_over", 2, F.size("_over")))).alias("b")).distinct()
+
+
 def _plausible(member: DataFrame, sketches: DataFrame, cfg: NearDedup, scratch: Scratch) -> DataFrame:
     """Links (a, b) whose components hold each pair that shares a bucket and agrees often enough for a link."""
     pivot = scratch.keep(member.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1"), "pivots")
@@ -212,7 +225,7 @@ def _plausible(member: DataFrame, sketches: DataFrame, cfg: NearDedup, scratch:
     # what is too large to meet at once stays one cluster, and meets in blocks
     whole = star.join(mixed.where(F.col("m") > cfg.bucket).select("band"), "band", "left_semi").select("a", "b")
     small = member.join(mixed.where(F.col("m") <= cfg.bucket).select("band"), "band", "left_semi").join(sketches, "node").select("band", "node", "sketch")
-    return scratch.keep(near.union(whole).union(_bucket_links(small, cfg)).distinct(), "plausible")
+    return scratch.keep(fewer_links(near.union(whole).union(_bucket_links(small, cfg))), "plausible")
 
 
 def _whole_sets(texts: DataFrame, wanted: DataFrame, cfg: NearDedup) -> DataFrame:

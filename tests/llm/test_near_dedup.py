@@ -141,3 +141,21 @@ def test_mixed_buckets_lose_no_link(spark, bucket):
             rows.append((g * 10 + c, " ".join(other)))
     cfg = NearDedup(bands=60, rows=2, bucket=bucket)
     assert got(near_duplicates(documents(spark, rows), cfg)) == brute(rows)
+
+
+def test_fewer_links_keep_the_components(spark):
+    rng = random.Random(5)
+    links = [(0, b) for b in range(5, 60)] + [(rng.randrange(5), b) for b in range(5, 60)] + [(rng.randrange(60, 200), rng.randrange(60, 200)) for _ in range(90)]
+    links = [(a, b) for a, b in links if a != b]
+    fewer = {tuple(r) for r in nd.fewer_links(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
+
+    def parts(pairs):
+        label = {k: k for k in range(200)}
+        for _ in range(200):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert parts(fewer) == parts(links)
+    assert {x for p in fewer for x in p} == {x for p in links for x in p} and len(fewer) <= len(set(links))
+    assert nd.fewer_links(spark.createDataFrame([], "a long, b long")).collect() == []
