@@ -293,7 +293,8 @@ def _linked(rows: DataFrame, cfg: NearDedup, keys: list[str]) -> DataFrame:
         a, b = [node[x] for x, _ in found] + [node[typical]], [node[y] for _, y in found] + [node[typical]]
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.groupBy(*keys).applyInArrow(run, _FOUND)
+    # dealt by all keys: after a join by cluster Spark would leave all blocks of a cluster in one task
+    return rows.repartition(*keys).groupBy(*keys).applyInArrow(run, _FOUND)
 
 
 def _large_clusters(sets: DataFrame, blocks: DataFrame, links: DataFrame, label: DataFrame, cfg: NearDedup, scratch: Scratch) -> DataFrame:
@@ -344,10 +345,11 @@ def near_duplicates(docs: DataFrame, cfg: NearDedup = NearDedup(), id_col: str =
     sets = scratch.keep(_whole_sets(texts, wanted, cfg), "sets")
     scratch.release()
     sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).select("cluster", F.ceil(F.col("m") / cfg.block).cast("int").alias("k"))
-    first = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).select("cluster", "block", "node", F.col("node").alias("label"), F.lit(2).alias("side"), "members")
+    large = scratch.keep(sizes.where("k > 1"), "blocks")
+    block = F.pmod(F.xxhash64("node"), F.coalesce("k", F.lit(1))).cast("int")
+    first = sets.join(large, "cluster", "left").withColumn("block", block).select("cluster", "block", "node", F.col("node").alias("label"), F.lit(2).alias("side"), "members")
     links = scratch.keep(_linked(first, cfg, ["cluster", "block"]), "verified")
     label = components(nodes, links.where("a <> b"), scratch)
-    large = scratch.keep(sizes.where("k > 1"), "blocks")
     if large.limit(1).count():
         links = _large_clusters(sets, large, links, label, cfg, scratch)
         label = components(nodes, links, scratch)
