@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphprop.operators.etl import hash_order
@@ -76,6 +76,7 @@ def predicted(model, rows: DataFrame) -> DataFrame:
 
 
 def flooded(loss: float, level: float = 0.1) -> float:
+    """The loss, turned upwards where it is below ``level``."""
     return abs(loss - level) + level
 
 
@@ -117,11 +118,16 @@ def softmax_gradient(rows: DataFrame, weight: np.ndarray) -> tuple[np.ndarray, f
     return got[:-2].reshape(d, k) / n, got[-2] / n
 
 
-def train_incremental(rows: DataFrame, memory: DataFrame, start: np.ndarray, rate: float = 0.5, steps: int = 20, patience: int = 5) -> tuple[np.ndarray, list[float]]:
-    """Continue from ``start`` on new rows; steps that would raise the memory's loss are projected. The best weights are kept."""
+def train_incremental(rows: DataFrame, memory: DataFrame, start: np.ndarray, rate: float = 0.5, steps: int = 20, patience: int = 5, level: float = 0.0) -> tuple[np.ndarray, list[float]]:
+    """Continue from ``start`` on new rows; steps that would raise the memory's loss are projected. The best weights are kept.
+
+    The loss is flooded at ``level``: below it a step climbs instead of falling.
+    """
     w, best, losses, stale = start.copy(), start.copy(), [], 0
     for _ in range(steps):
         g, loss = softmax_gradient(rows, w)
+        if loss < level:
+            g, loss = -g, flooded(loss, level)
         if losses and loss >= min(losses):
             stale += 1
             if stale >= patience:
@@ -134,6 +140,16 @@ def train_incremental(rows: DataFrame, memory: DataFrame, start: np.ndarray, rat
     return best, losses
 
 
+def save_arrays(spark: SparkSession, arrays: dict[str, np.ndarray], path: str) -> None:
+    """Weights and reference gradients of one model, a row each: what a later run goes on from. Spark ML's models have their own writers."""
+    rows = [(k, list(v.shape), [float(x) for x in v.ravel()]) for k, v in arrays.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, value array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_arrays(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r["name"]: np.array(r["value"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+
+
 def memory_sample(features: DataFrame, changed: DataFrame, seed: int = 7) -> DataFrame:
     """As many unchanged nodes as there are changed ones, by the order of a hash; fewer where there are not enough."""
     n = changed.count()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -781,6 +782,33 @@ def classifier(f: Fixture) -> DataFrame:
     return learn.predicted(learn.mlp(learn.vectors(x), [4, 16, 8], rounds=20), learn.vectors(x))
 
 
+_SOFTMAX = """, part_nodes AS (SELECT DISTINCT node FROM feat), xs AS (SELECT node, dim, x FROM feat UNION ALL SELECT node, 4, 1.0 FROM part_nodes),
+z AS (SELECT node, CAST(c AS INTEGER) AS c, exp(sum(x * ((dim + 2 * c) % 3) / 4.0)) AS e FROM xs, range(6) r(c) GROUP BY node, c),
+pz AS (SELECT z.node, c, e / sum(e) OVER (PARTITION BY z.node) - CASE WHEN y = c THEN 1 ELSE 0 END AS d FROM z JOIN cls ON cls.node = z.node)"""
+
+
+@query(_SOFTMAX + f" SELECT CAST(dim AS INTEGER) AS dim, c AS class, {fx('sum(x * d) / count(*)')} AS gradient FROM xs JOIN pz ON pz.node = xs.node GROUP BY dim, c")
+def class_gradient(f: Fixture) -> DataFrame:
+    """The mean gradient of multinomial regression at given weights, intercepts as dimension 4."""
+    from graphprop.operators import learn
+
+    w = np.array([[(i + 2 * c) % 3 / 4.0 for c in range(6)] for i in range(5)])
+    g, _ = learn.softmax_gradient(features.packed(f.features()).join(f.classes(), "node"), w)
+    rows = [(i, c, float(g[i, c])) for i in range(5) for c in range(6)]
+    return f.spark.createDataFrame(rows, "dim int, class int, gradient double").withColumn("gradient", fixed(F.col("gradient")))
+
+
+@query(f""", em AS (SELECT node, CAST(j AS INTEGER) AS k, sum(x * (1 + (dim + 2 * j) % 3)) + 0.5 AS v FROM feat, range(3) r(j) GROUP BY node, j)
+SELECT node, k, {fx("v / sqrt(sum(v * v) OVER (PARTITION BY node))", 5)} AS v FROM em""")
+def embed_normalized(f: Fixture) -> DataFrame:
+    """The linear encoder's rows, brought to length 1."""
+    from graphprop.operators import learn
+
+    w = np.array([[float(1 + (i + 2 * j) % 3) for j in range(3)] for i in range(4)])
+    unit = learn.normalized(learn.embed(features.packed(f.features()), w, np.full(3, 0.5)))
+    return unit.select("node", F.posexplode("vec").alias("k", "v")).withColumn("v", fixed(F.col("v"), 5))
+
+
 # ---- sources and sinks: what is written is read back -------------------------
 
 

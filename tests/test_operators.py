@@ -201,6 +201,36 @@ def test_learning(spark):
     assert sum(v * v for v in unit) == pytest.approx(1)
 
 
+def test_training_goes_on_from_what_was_saved(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(v) for v in rng.normal(size=3) + (k % 2) * 3.0], k % 2) for k in range(200)]
+    df = spark.createDataFrame(rows, "node long, vec array<double>, y int").repartition(3)
+    w, losses = learn.train_incremental(df, df, np.zeros((4, 2)), steps=12)
+    learn.save_arrays(spark, {"weights": w, "reference": learn.softmax_gradient(df, w)[0]}, f"{tmp_path}/model")
+    back = learn.load_arrays(spark, f"{tmp_path}/model")
+    assert (back["weights"] == w).all() and back["reference"].shape == w.shape
+    _, again = learn.train_incremental(df, df, back["weights"], steps=2)
+    assert again[0] < losses[0] / 2
+    level = again[0] + 0.2
+    held, flood = learn.train_incremental(df, df, back["weights"], rate=0.05, steps=3, level=level)
+    assert flood[0] == pytest.approx(2 * level - again[0]) and np.abs(held - w).max() < 1e-9  # the memory lets no step climb
+    high, _ = learn.train_incremental(df, df.withColumn("y", 1 - F.col("y")), back["weights"], rate=0.05, steps=3, level=level)
+    assert learn.softmax_gradient(df, high)[1] > again[0]
+
+
+def test_perceptron_starts_from_an_earlier_one(spark):
+    df = spark.createDataFrame([(k, [float(k % 2), float(k % 3)], k % 2) for k in range(60)], "node long, vec array<double>, y int")
+    first = learn.mlp(learn.vectors(df), [2, 4, 2], 60)
+    warm = learn.mlp(learn.vectors(df), [2, 4, 2], 1, start=first.weights.toArray())
+    assert metrics.accuracy(learn.predicted(warm, learn.vectors(df))).first().accuracy == 1.0
+
+
+def test_group_discriminator_tells_rows_from_permuted_ones(spark):
+    x = spark.createDataFrame([(k, d, (1.0 if k < 10 else 0.0) + 0.1 * d) for k in range(100) for d in range(2)], "node long, dim int, x double")
+    model = learn.permuted_discriminator(x.withColumn("x", F.col("x") + 5), x)
+    assert learn.predicted(model, learn.vectors(features.packed(x)).withColumn("y", F.lit(0))).where("predicted = 1").count() == 0
+
+
 def test_a_push_that_does_not_end_raises(spark):
     n, e = graph()
     x = x_df(spark, n)
