@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphprop.llm import decontaminate, packing, pii, secrets, warc
+from graphprop.llm import decontaminate, packing, pii, secrets, tokenids, warc
 from graphprop.llm.katz import katz_scores
 from graphprop.llm.near_dedup import near_duplicates
 from graphprop.llm.neighbours import nearest
@@ -57,7 +57,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-_ALL = (op1_pii, op2_quality, op3_katz, op4_neighbours, op5_decontaminate, op6_near_duplicates, op7_toxicity, op8_secrets, op9_warc, op10_packing)
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.archive(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+_ALL = (op1_pii, op2_quality, op3_katz, op4_neighbours, op5_decontaminate, op6_near_duplicates, op7_toxicity, op8_secrets, op9_warc, op10_packing, op12_token_ids)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: Models, approximate search and packing have no SQL; they are tested against brute force, round trips and held-out rows.
