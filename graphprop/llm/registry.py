@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphprop.llm import decontaminate, packing, pii, ranked, secrets, tokenids, warc
+from graphprop.llm import decontaminate, packing, pii, ranked, secrets, spelling, tokenids, warc
 from graphprop.llm.katz import katz_scores
 from graphprop.llm.near_dedup import near_duplicates
 from graphprop.llm.neighbours import nearest
@@ -57,6 +57,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.archive(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -65,7 +69,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_pii, op2_quality, op3_katz, op4_neighbours, op5_decontaminate, op6_near_duplicates, op7_toxicity, op8_secrets, op9_warc, op10_packing, op12_token_ids, op13_ranked_search)
+_ALL = (op1_pii, op2_quality, op3_katz, op4_neighbours, op5_decontaminate, op6_near_duplicates, op7_toxicity, op8_secrets, op9_warc, op10_packing, op11_spelling_variants, op12_token_ids, op13_ranked_search)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: Models, approximate search and packing have no SQL; they are tested against brute force, round trips and held-out rows.
