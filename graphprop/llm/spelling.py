@@ -70,9 +70,14 @@ def trie(words: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Edges (node, ch, child, k) letter by letter, and those of the compressed trie: (node, ch, size, label, child) from every node to the next stop."""
     path = _letters(words)
     edges = scratch.keep(path.groupBy("node", "ch", "child").agg(F.min("k").alias("k")), "edges")
-    branching = edges.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node")
-    stops = branching.union(words.select(F.xxhash64("word").alias("node"))).distinct().select(F.col("node").alias("child"), F.lit(True).alias("_stop"))
-    marked = path.select("word", "k", "node", "ch", "child").join(stops, "child", "left").select("word", "k", "node", "ch", F.when(F.col("_stop"), F.col("k") + 1).alias("_at"))
+    branching = edges.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("k").alias("_k")).where("_n > 1").select("node", "_k")
+    ends = words.select(F.xxhash64("word").alias("node"), F.length("word").alias("_k"))
+    stops = branching.union(ends).groupBy(F.col("node").alias("child")).agg(F.min("_k").alias("_k"))
+    plain = path.select("word", "k", "node", "ch", "child")
+    # as below, the first levels have few nodes and all words: of the nodes at the first two, at most 8,190 are stops
+    near = plain.where("k < 2").join(F.broadcast(stops.where("_k <= 2")), "child", "left")
+    far = plain.where("k >= 2").join(stops.where("_k > 2"), "child", "left")
+    marked = near.unionByName(far).select("word", "k", "node", "ch", F.when(F.col("_k").isNotNull(), F.col("k") + 1).alias("_at"))
     ahead = Window.partitionBy("word").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = marked.withColumn("_to", F.min("_at").over(ahead))
     size = F.col("_to") - F.col("k")
