@@ -56,30 +56,40 @@ def drop_self_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst")
 
 
+def _numbered(df: DataFrame, keys: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
+    """``numbered``, and the written ranges that it reads."""
+    ranged = _ranged(df, keys)
+    inside = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row for each partition
+    return inside.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_part", "_rank", "_before"), ranged
+
+
 def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """Global 0-based numbers in the order of ``keys``, without one task holding all rows.
 
     Rows are ranged into partitions, counted, and numbered within; the counts
     of earlier partitions are added.
     """
-    ranged = _ranged(df, keys)
-    inside = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1)
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row for each partition
-    return inside.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_part", "_rank", "_before")
+    return _numbered(df, keys, name)[0]
+
+
+#: Hash orders are below this prime.
+PRIME = 1000003
 
 
 def hash_order(src: Column, dst: Column, seed: int) -> Column:
-    """An arithmetic hash that any SQL engine computes alike: the order of a random permutation."""
-    return ((src * 2654435761 + dst * 40503 + seed) % 1000003).cast("long")
+    """An arithmetic hash that any SQL engine computes alike: the order of a random permutation. Ids are reduced first, so none is too large."""
+    own = lambda c, by: F.pmod(c, F.lit(PRIME)) * by % PRIME
+    return ((own(src, 2654435761 % PRIME) + own(dst, 40503) + seed) % PRIME).cast("long")
 
 
 def batches(edges: DataFrame, n_batches: int, seed: int = 7) -> DataFrame:
     """``edges`` permuted and cut into ``n_batches`` disjoint batches of equal size; the remainder is dropped."""
     keys = [hash_order(F.col("src"), F.col("dst"), seed), F.col("src"), F.col("dst")]
-    numbered = numbered(edges.select("src", "dst"), keys, "seq")
-    size = F.floor(F.lit(1.0) * edges.count() / n_batches).cast("long")
-    return numbered.withColumn("batch", F.floor(F.col("seq") / F.greatest(size, F.lit(1))).cast("int")).where((F.col("batch") < n_batches) & (size > 0))
+    dealt, ranged = _numbered(edges.select("src", "dst"), keys, "seq")
+    size = ranged.count() // n_batches
+    return dealt.withColumn("batch", F.floor(F.col("seq") / max(size, 1)).cast("int")).where((F.col("batch") < n_batches) & F.lit(size > 0))
 
 
 def cumulative(batched: DataFrame, n_batches: int) -> DataFrame:
@@ -135,8 +145,8 @@ def label_encode(rows: DataFrame, column: str, name: str = "y") -> DataFrame:
 
 
 def _salted_ranks(rows: DataFrame, group: list[str], key: Column, tie: Column, name: str, salts: int = 64) -> DataFrame:
-    """1-based ranks by (key, tie) in each group, from ranges of ``key`` below 1000003, so that no group is one task."""
-    salted = rows.withColumn("_salt", F.floor(key * salts / 1000003).cast("int"))
+    """1-based ranks by (key, tie) in each group, from ranges of ``key`` below PRIME, so that no group is one task."""
+    salted = rows.withColumn("_salt", F.floor(key * salts / PRIME).cast("int"))
     inside = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(key, tie)))
     sizes = salted.groupBy(*group, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(*group, "_salt", (F.sum("_n").over(Window.partitionBy(*group).orderBy("_salt")) - F.col("_n")).alias("_before"))
@@ -179,12 +189,30 @@ def graph_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def positions(edges: DataFrame, by_degree: bool = False) -> DataFrame:
-    """(src, pos, dst): each node's neighbours numbered from 0 by id, or by degree and id."""
-    order = [F.col("dst")]
+    """(src, pos, dst): each node's neighbours numbered from 0 by id, or by degree and id.
+
+    Edges are numbered as a whole, in ranges that cut a hub's neighbours too,
+    and count from their source's first number.
+    """
+    order = [F.col("src"), F.col("dst")]
     if by_degree:
         edges = edges.join(degree(edges).select(F.col("node").alias("dst"), "deg"), "dst")
-        order = [F.col("deg"), F.col("dst")]
-    return edges.withColumn("pos", (F.row_number().over(Window.partitionBy("src").orderBy(*order)) - 1).cast("long")).select("src", "pos", "dst")
+        order = [F.col("src"), F.col("deg"), F.col("dst")]
+    rows = numbered(edges, order, "_at")
+    first = rows.groupBy("src").agg(F.min("_at").alias("_first"))
+    return rows.join(first, "src").select("src", (F.col("_at") - F.col("_first")).alias("pos"), "dst")
+
+
+def chunked(edges: DataFrame, size: int = 1024) -> DataFrame:
+    """(src, chunk, first, deg, dsts): each node's neighbours in the order of ``positions``, ``size`` to a row.
+
+    Neighbour ``pos`` is entry ``pos % size`` of chunk ``pos div size``; a hub
+    takes as many rows as it needs, and they lie in as many groups.
+    """
+    placed = positions(edges).withColumn("chunk", F.expr(f"pos div {size}"))
+    rows = placed.groupBy("src", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda s: s["dst"]).alias("dsts"))
+    sized = rows.groupBy("src").agg(F.sum(F.size("dsts")).alias("deg"))
+    return rows.join(sized, "src").select("src", "chunk", (F.col("chunk") * size).alias("first"), "deg", "dsts")
 
 
 def prefix_sums(df: DataFrame, keys: list[Column], value: str, name: str) -> DataFrame:

@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 
 from graphprop.operators.etl import hash_order
 from graphprop.operators.features import permute_rows
+from graphprop.tables import Scratch
+
+
+def bare(model, scratch: Scratch):
+    """The model as its file holds it.
+
+    A fitted model keeps a training summary, which holds the session. Tasks get
+    the model with all it holds, and a session in which any query was observed
+    cannot be serialised.
+    """
+    at = scratch.path("model")
+    model.write().save(at)
+    return type(model).load(at)
 
 
 def vectors(rows: DataFrame, vec: str = "vec") -> DataFrame:
@@ -26,7 +39,7 @@ def vectors(rows: DataFrame, vec: str = "vec") -> DataFrame:
 def discriminator(contrastive: DataFrame, ridge: float = 1e-4, rounds: int = 100) -> LogisticRegressionModel:
     """Tell label 1 from label 0 in rows (node, dim, x, label, part); stops early at a small change of the loss."""
     keyed = contrastive.groupBy("node", "label", "part").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).withColumn("vec", F.transform("v", lambda s: s["x"]))
-    return LogisticRegression(labelCol="label", regParam=ridge, maxIter=rounds, tol=1e-7).fit(vectors(keyed))
+    return bare(LogisticRegression(labelCol="label", regParam=ridge, maxIter=rounds, tol=1e-7).fit(vectors(keyed)), Scratch(contrastive.sparkSession))
 
 
 def permuted_discriminator(features: DataFrame, propagated: DataFrame, seed: int = 7, **kw) -> LogisticRegressionModel:
@@ -63,11 +76,11 @@ def mlp(train: DataFrame, layers: list[int], rounds: int = 100, seed: int = 2015
         from pyspark.ml.linalg import Vectors
 
         est = est.setInitialWeights(Vectors.dense(start)) if hasattr(est, "setInitialWeights") else est.copy({est.initialWeights: Vectors.dense(start)})
-    return est.fit(train)
+    return bare(est.fit(train), Scratch(train.sparkSession))
 
 
 def linear(train: DataFrame, ridge: float = 1e-4, rounds: int = 100) -> LogisticRegressionModel:
-    return LogisticRegression(labelCol="y", family="multinomial", regParam=ridge, maxIter=rounds).fit(train)
+    return bare(LogisticRegression(labelCol="y", family="multinomial", regParam=ridge, maxIter=rounds).fit(train), Scratch(train.sparkSession))
 
 
 def predicted(model, rows: DataFrame) -> DataFrame:

@@ -135,11 +135,15 @@ def threshold_steps(k: int, name: str, start: str, w: str = "iw", limit: str = "
     return ", ".join(out)
 
 
+def drawn(walk: str, step: str, seed: int, purpose: int = 1) -> str:
+    """A walk's draw below 2^60 at a step: 15 hexadecimal digits of an MD5 digest."""
+    return f"CAST('0x' || substr(md5('{seed}:' || start || ':' || {walk} || ':' || {step}), {1 + 15 * purpose}, 15) AS BIGINT)"
+
+
 def stopping_walks(start: str, alpha: float, seed: int, first_hop: bool = False) -> str:
     """CTEs ending in ``wk`` (start, walk, node, k, done): the walks of ``start`` (start, walk) until each has stopped, on ``nb`` (src, pos, dst, deg)."""
-    draw = lambda walk, step: f"((start * 2654435761 + {walk} * 7919 + {step} * 104729 + {seed}) % 1000003)"
-    go = f"({draw('(walk + 31)', '(k + 500)')} + 0.5) / 1000003 >= {alpha}" + (" OR k = 0" if first_hop else "")
+    go = f"{drawn('walk', 'k', seed, 0)} >= {int(alpha * (1 << 60))}" + (" OR k = 0" if first_hop else "")
     return f"""nb AS MATERIALIZED (SELECT ie.src, row_number() OVER (PARTITION BY ie.src ORDER BY dst) - 1 AS pos, dst, deg FROM ie JOIN ideg ON ideg.node = ie.src),
 wk AS (SELECT start, walk, start AS node, CAST(0 AS BIGINT) AS k, false AS done FROM ({start})
   UNION ALL SELECT a.start, a.walk, CASE WHEN a.go THEN coalesce(nb.dst, a.start) ELSE a.node END, a.k + 1, NOT a.go
-  FROM (SELECT wk.*, {go} AS go, {draw('walk', 'k')} AS d, ideg.deg FROM wk LEFT JOIN ideg ON ideg.node = wk.node WHERE NOT done) a LEFT JOIN nb ON nb.src = a.node AND nb.pos = a.d % a.deg)"""
+  FROM (SELECT wk.*, {go} AS go, {drawn('walk', 'k', seed)} AS d, ideg.deg FROM wk LEFT JOIN ideg ON ideg.node = wk.node WHERE NOT done) a LEFT JOIN nb ON nb.src = a.node AND nb.pos = a.d % a.deg)"""

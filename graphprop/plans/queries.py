@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphprop.functions import fixed
 from graphprop.operators import dynamic, etl, features, metrics, monitor, propagate, walks
-from graphprop.plans.fixtures import ALPHA, HEAD, Fixture, push_steps, stopping_walks, threshold_steps
+from graphprop.plans.fixtures import ALPHA, HEAD, Fixture, drawn, push_steps, stopping_walks, threshold_steps
 from graphprop.plans.fixtures import fixed as fx
 from graphprop.session import Params
 from graphprop.tables import Scratch
@@ -633,7 +633,7 @@ _NEAR = ", nb AS MATERIALIZED (SELECT ie.src, row_number() OVER (PARTITION BY ie
 @query(
     _NEAR
     + ", k0 AS MATERIALIZED (SELECT node AS start, CAST(w AS BIGINT) AS walk, node FROM node, range(2) r(w))"
-    + "".join(f", k{i + 1} AS MATERIALIZED (SELECT start, walk, dst AS node FROM k{i} JOIN nb ON nb.src = k{i}.node AND nb.pos = ((start * 2654435761 + walk * 7919 + {i} * 104729 + 1) % 1000003) % nb.deg)" for i in range(3))
+    + "".join(f", k{i + 1} AS MATERIALIZED (SELECT start, walk, dst AS node FROM k{i} JOIN nb ON nb.src = k{i}.node AND nb.pos = {drawn('walk', str(i), 1)} % nb.deg)" for i in range(3))
     + " SELECT start, walk, node FROM k3"
 )
 def walk_hash_k(f: Fixture) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from graphprop.operators import dynamic, etl, features, learn, metrics, monitor, propagate, walks
@@ -151,6 +152,83 @@ def test_numbers_are_dense_and_splits_whole(spark):
     assert split == {"train": 120, "val": 60, "test": 120}
 
 
+def complete(n):
+    return {(a, b) for a in range(n) for b in range(n) if a != b}
+
+
+def far_off(counts, expected):
+    """By how many standard deviations the chi-square statistic exceeds its mean."""
+    counts, expected = np.asarray(counts, float), np.asarray(expected, float)
+    free = len(counts) - 1
+    return (((counts - expected) ** 2 / expected).sum() - free) / np.sqrt(2 * free)
+
+
+@pytest.mark.parametrize("alpha", [0.1, 0.5])
+def test_lengths_of_walks_are_geometric(spark, alpha):
+    n, first = 30_000, spark.createDataFrame([(3,)], "node long")
+    ends = walks.stopping_walks(walks.starts(first, n), edges_df(spark, complete(8)), alpha, seed=4)
+    steps = np.array([r.steps for r in ends.collect()])
+    assert len(steps) == n
+    bins = int(np.log(40 / n) / np.log(1 - alpha))  # the last with at least 40 expected
+    law = [n * alpha * (1 - alpha) ** k for k in range(bins)]
+    counts = [(steps == k).sum() for k in range(bins)]
+    assert far_off([*counts, (steps >= bins).sum()], [*law, n * (1 - alpha) ** bins]) < 4
+    assert abs(steps.mean() - (1 - alpha) / alpha) < 4 * np.sqrt(1 - alpha) / alpha / np.sqrt(n)
+
+
+def test_draws_of_steps_walks_and_purposes_are_independent(spark):
+    n, w = 40_000, F.col("id")
+    at = lambda walk, step, purpose=walks.WAY, start=5, seed=1: (walks.draw(walk, F.lit(start).cast("long"), step, seed, purpose) % 7).alias("x")
+    pairs = {
+        "steps": (at(w, 0), at(w, 1)), "walks": (at(w * 2, 3), at(w * 2 + 1, 3)), "purposes": (at(w, 2, walks.COIN), at(w, 2)),
+        "starts": (at(w, 0, start=1), at(w, 0, start=2)), "seeds": (at(w, 0), at(w, 0, seed=2)), "ten steps": (at(w, 10), at(w, 11)),
+    }
+    for name, (a, b) in pairs.items():
+        seen = {(r.a, r.b): r["count"] for r in spark.range(n).select(a.alias("a"), b.alias("b")).groupBy("a", "b").count().collect()}
+        assert far_off([seen.get((i, j), 0) for i in range(7) for j in range(7)], [n / 49] * 49) < 4, name
+    top = spark.range(n).select(F.max(walks.draw(w, w, 0, 1)), F.min(walks.draw(w, w, 0, 1))).first()
+    assert walks.RANGE * 0.999 < top[0] < walks.RANGE and 0 <= top[1] < walks.RANGE * 0.001
+
+
+def test_large_ids_do_not_overflow(spark):
+    big = (1 << 62) + 12345
+    df = edges_df(spark, {(big, big + 1), (big + 1, big)})
+    ends = walks.stopping_walks(walks.starts(spark.createDataFrame([(big,)], "node long"), 50), df, 0.3)
+    assert {r.node for r in ends.collect()} <= {big, big + 1} and ends.count() == 50
+    assert all(0 <= r.k < etl.PRIME for r in df.select(etl.hash_order(F.col("src"), F.col("dst"), 7).alias("k")).collect())
+
+
+def test_walk_estimates_lie_within_their_standard_errors(spark):
+    alpha, n_walks = 0.1, 20_000
+    n, e = graph(9, 12)
+    x = x_df(spark, n)
+    got = dense(walks.walk_tail(propagate.initial_state(x), edges_df(spark, e), alpha, n_walks), n)
+    values, p = dense(x, n, value="x"), matrix(e, n)
+    deg = np.array([sum(a == k for a, _ in e) for k in range(n)], float)
+    walk = np.sqrt(deg)[:, None] ** -1 * p * np.sqrt(deg)[None]  # D^-1 A
+    ends = alpha * np.linalg.inv(np.eye(n) - (1 - alpha) * walk)  # from row to column
+    z = []
+    for d in range(2):
+        mass = np.abs(values[:, d]) * np.sqrt(deg)
+        q = (mass / mass.sum()) @ ends
+        error = mass.sum() / np.sqrt(n_walks) * np.sqrt(q * (1 - q)) / np.sqrt(deg)
+        z += list((got[:, d] - exact(e, n, values, alpha)[:, d]) / error)
+    assert np.abs(z).max() < 3.5 and np.mean(np.square(z)) < 2
+
+
+def test_a_hub_lies_in_many_chunks(spark):
+    n = 5000
+    star = both({(0, k) for k in range(1, n)})
+    rows = etl.chunked(edges_df(spark, star), 64).collect()
+    hub = sorted((r for r in rows if r.src == 0), key=lambda r: r.chunk)
+    assert len(hub) == -(-(n - 1) // 64) and all(len(r.dsts) <= 64 and r.first == 64 * r.chunk and r.deg == n - 1 for r in hub)
+    assert [v for r in hub for v in r.dsts] == list(range(1, n))
+    place = {(r.src, r.pos): r.dst for r in etl.positions(edges_df(spark, star)).collect()}
+    assert len(place) == len(star) and all(place[0, k] == k + 1 for k in range(n - 1))
+    ends = walks.fixed_walks(spark.createDataFrame([(0,)], "node long"), edges_df(spark, star), 3000, 1)
+    assert len({r.node for r in ends.collect()}) > 2000
+
+
 def test_walks_are_on_edges_and_stop_where_they_should(spark):
     n, e = graph(8, 10)
     nodes = spark.range(n).select(F.col("id").alias("node"))
@@ -225,6 +303,16 @@ def test_perceptron_starts_from_an_earlier_one(spark):
     assert metrics.accuracy(learn.predicted(warm, learn.vectors(df))).first().accuracy == 1.0
 
 
+def test_models_predict_in_a_session_that_has_observed_a_query(spark):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 5
+    rows = spark.createDataFrame([(k, k % 2, [float(k % 2), 1.0 + k % 3]) for k in range(40)], "node long, y int, vec array<double>")
+    x = learn.vectors(rows)
+    for model in (learn.linear(x), learn.mlp(x, [2, 3, 2], rounds=5)):
+        assert learn.predicted(model, x).count() == 40
+
+
 def test_group_discriminator_tells_rows_from_permuted_ones(spark):
     x = spark.createDataFrame([(k, d, (1.0 if k < 10 else 0.0) + 0.1 * d) for k in range(100) for d in range(2)], "node long, dim int, x double")
     model = learn.permuted_discriminator(x.withColumn("x", F.col("x") + 5), x)
