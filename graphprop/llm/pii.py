@@ -59,16 +59,28 @@ class Bootstrap:
     context_chars: int = 48
 
 
-def _prefix_sums(values: Column) -> Column:
-    """The sums before each element of an array of longs, in blocks so that no long array is copied per element."""
+def _running(values: Column, join) -> Column:
+    """0 and then ``join`` over all elements up to each of an array of longs, in blocks so that no long array is copied per element."""
     size = 128
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda b: F.slice(values, b * size + 1, size))
-    add = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
-    before = F.aggregate(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)), F.array(F.lit(0).cast("long")), add)
+    add = lambda acc, v: F.concat(acc, F.array(join(F.element_at(acc, -1), v)))
+    before = F.aggregate(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), join)), F.array(F.lit(0).cast("long")), add)
     inside = F.transform(blocks, lambda x, b: F.slice(F.aggregate(x, F.array(F.get(before, b)), add), 1, F.size(x)))
     return F.flatten(inside)
 
 
+def _prefix_sums(values: Column) -> Column:
+    """The sums before each element."""
+    return _running(values, lambda s, v: s + v)
+
+
+def _starts(pieces: Column, matches: Column) -> Column:
+    """Where each match starts, from ``split`` and ``regexp_extract_all``."""
+    before = F.slice(pieces, 1, F.size(matches))
+    widths = F.zip_with(before, matches, lambda p, m: (F.length(p) + F.length(m)).cast("long"))
+    return F.zip_with(_prefix_sums(widths), before, lambda a, p: a + F.length(p))
+
+
 def _spans(pieces: Column, matches: Column, context: int) -> Column:
     """Structs (s, e, m, l, r): start, end, match, word before and word after, from ``split`` and ``regexp_extract_all``."""
     last = lambda p: F.lower(F.regexp_extract(F.substring(p, -context, context), r"(\S+)\s*$", 1))
@@ -204,30 +216,57 @@ def personal_data(docs: DataFrame, cfg: Bootstrap = Bootstrap(), id_col: str = "
     return out.select("doc_id", "text_hash", F.col("base").cast(kind).alias("base"), F.array_sort(F.coalesce(F.col("added").cast(kind), F.array().cast(kind))).alias("added"))
 
 
+#: Code points of a block that texts are cut into, so that a piece is found without counting from the start.
+BLOCK = 1024
+
+
+def _between(blocks: Column, a: Column, b: Column) -> Column:
+    """The code points from ``a`` to before ``b`` of a text cut into blocks."""
+    first = F.floor(a / BLOCK).cast("int")
+    own = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1), "")
+    return F.when(b > a, F.substring(own, (a - first * BLOCK + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+
 def redact(docs: DataFrame, cfg: Bootstrap = Bootstrap(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans of ``personal_data`` in the text replaced by their kinds in angle brackets.
 
-    Added spans, which are few, are joined to their rows and cut out first. Base
-    spans are then found again by the same patterns and tests, kind after kind,
-    and the text is rebuilt from the pieces between them; a match that fails its
-    test stays. Rows, other columns and null texts stay as they are.
+    All spans are those of the text as it came: base spans are found again by
+    the same patterns and tests, added spans, which are few, are joined to their
+    rows. No code point of any span stays; spans that overlap leave their kinds
+    one after the other, by start. What is left is then searched again, kind
+    after kind, for what a failed match had covered; a match that fails its test
+    stays. Rows, other columns and null texts stay as they are.
     """
     columns = docs.columns
     added = personal_data(docs, cfg, id_col, text_col).where(F.size("added") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("added").alias("_added")).dropDuplicates(["_doc", "_hash"])
     # written first, so that the planner knows their size and shuffles the texts only if they are many
     added = Scratch(docs.sparkSession).keep(added, "added")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"))
-    out = docs.join(added, same, "left")
-    t, spans = F.col(text_col), F.col("_added")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda x: x["e"]))
-    pieces = F.zip_with(spans, F.slice(ends, 1, F.size(spans)), lambda x, e: F.concat(F.substring(t, (e + 1).cast("int"), (x["s"] - e).cast("int")), F.lit("<"), x["kind"], F.lit(">")))
-    cut = F.concat(F.array_join(pieces, ""), F.substring(t, (F.element_at(ends, -1) + 1).cast("int"), F.length(t)))
-    out = out.withColumn(text_col, F.when(spans.isNull(), t).otherwise(cut)).select(*columns)
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(t) == F.col("_hash"))
+    kind, none = "array<struct<s:bigint,o:int,kind:string,e:bigint>>", F.array().cast("array<string>")
+    out = docs.join(added, same, "left").select(*[F.col(c) for c in columns], F.coalesce(F.col("_added").cast(kind), F.array().cast(kind)).alias("_added"))
+    out = out.select("*", *[F.regexp_extract_all(t, F.lit(BASE[k]), F.lit(0)).alias(f"_m_{k}") for k in KINDS])
+    out = out.select("*", *[F.when(F.size(f"_m_{k}") > 0, F.split(t, BASE[k], -1)).otherwise(none).alias(f"_p_{k}") for k in KINDS])
+
+    def base(k: str, o: int) -> Column:
+        span = lambda m, s: F.struct(s.alias("s"), F.lit(o).alias("o"), F.lit(k).alias("kind"), (s + F.length(m)).alias("e"), m.alias("m"))
+        found = F.filter(F.zip_with(f"_m_{k}", _starts(F.col(f"_p_{k}"), F.col(f"_m_{k}")), span), _passes(k))
+        return F.when(F.size(f"_m_{k}") > 0, F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["o"].alias("o"), x["kind"].alias("kind"), x["e"].alias("e"))).cast(kind)).otherwise(F.array().cast(kind))
+
+    out = out.select(*columns, F.array_sort(F.concat("_added", *[base(k, o) for o, k in enumerate(KINDS)])).alias("_spans"))
+    reach = _running(F.transform("_spans", lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+    some = F.size("_spans") > 0
+    out = out.select("*", F.when(some, reach).alias("_reach"), F.when(some, F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("_blocks"))
+    pieces = F.zip_with("_spans", "_reach", lambda x, r: F.concat(_between(F.col("_blocks"), r, x["s"]), F.lit("<"), x["kind"], F.lit(">")))
+    last = F.array_max(F.transform("_spans", lambda x: x["e"]))
+    cut = F.concat(F.array_join(pieces, ""), _between(F.col("_blocks"), last, F.length(t).cast("long")))
+    out = out.withColumn(text_col, F.when(some, cut).otherwise(F.col(text_col))).select(*columns)
+    text = F.col(text_col)
     for k in ("email", "phone", "ip", "card"):
-        matches, parts = F.regexp_extract_all(t, F.lit(BASE[k]), F.lit(0)), F.split(t, BASE[k], -1)
+        matches, parts = F.regexp_extract_all(text, F.lit(BASE[k]), F.lit(0)), F.split(text, BASE[k], -1)
         tail = F.concat(F.transform(matches, _masked(k)), F.array(F.lit("")))
         rebuilt = F.array_join(F.zip_with(parts, tail, lambda p, m: F.concat(p, m)), "")
-        out = out.withColumn(text_col, F.when(F.regexp_like(t, F.lit(BASE[k])), rebuilt).otherwise(t))
+        out = out.withColumn(text_col, F.when(F.regexp_like(text, F.lit(BASE[k])), rebuilt).otherwise(text))
     return out
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from helpers import EDGE_TEXTS, documents, rows_of
@@ -95,5 +96,46 @@ def test_redaction_leaves_the_rest(spark):
     assert pii.redact(documents(spark, [])).collect() == []
 
 
+def cut(text, spans):
+    """The text with the union of the spans gone, and each one's kind where it starts or where the one before ends."""
+    out, at = [], 0
+    for s, _, kind, e in sorted(spans):
+        out.append((text or "")[at:s] if s > at else "")
+        out.append(f"<{kind}>")
+        at = max(at, e)
+    return again("".join(out) + (text or "")[at:])
+
+
+def again(text):
+    for kind in ("email", "phone", "ip", "card"):
+        for s, _, k, e in reversed(brute(text)):
+            if k == kind:
+                text = text[:s] + f"<{k}>" + text[e:]
+    return text
+
+
+def test_no_part_of_a_span_survives_redaction(spark):
+    rng = random.Random(8)
+    parts = ["12.34.56.78", "9012 3456 7804", "4111 1111 1111 1111", "+49 30 1234567", "+1.2.3.4.5.6.7.8.9", "a@b.cd", "1.2.3.4@x.yz", "\u00e9", "\U0001f642", "word", "5", " ", " ", "-", ".", "\n"]
+    rows = [(100 + k, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for k in range(300)]
+    rows += [(1, "from 12.34.56.78 9012 3456 7804 end"), (2, "\U0001f642" * 3000 + " 1.2.3.4 " + "\u00e9" * 2047 + " a@b.cd"), (3, ("x" * 1023 + "1.2.3.4 ") * 40), (4, "1.2.3.4 " * 5000)]
+    docs = documents(spark, rows)
+    spans = {r.doc_id: [(x.s, x.o, x.kind, x.e) for x in (*r.base, *r.added)] for r in pii.personal_data(docs).collect()}
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert spans[1] == [(5, 1, "ip", 16), (14, 2, "card", 31)] and out[1] == "from <ip><card> end"
+    overlaps = 0
+    for i, text in rows:
+        assert out[i] == cut(text, spans[i]), (i, text)
+        overlaps += any(a[3] > b[0] for a, b in zip(sorted(spans[i]), sorted(spans[i])[1:], strict=False))
+    assert overlaps > 20
+
+
+def test_rows_of_one_id_are_redacted_by_their_own_texts(spark):
+    rows = [(k, f"some text here Telefon: +49 30 555{k:04d} und mehr words follow") for k in range(8)]
+    rows += [(50, "noch ein Text Telefon: 030 1234 567 und Ende"), (50, "Anders Telefon: 030 7654 321 und mehr"), (50, "noch ein Text Telefon: 030 1234 567 und Ende"), (None, "Wieder Telefon: 030 1111 222 und Ende"), (50, None)]
+    out = sorted(r.text or "" for r in pii.redact(documents(spark, rows)).where("doc_id is null or doc_id = 50").collect())
+    assert out == ["", "Anders Telefon: <phone> und mehr", "Wieder Telefon: <phone> und Ende", "noch ein Text Telefon: <phone> und Ende", "noch ein Text Telefon: <phone> und Ende"]
+
+
 def test_empty_table(spark):
     assert pii.personal_data(documents(spark, [])).collect() == []
