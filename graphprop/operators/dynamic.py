@@ -73,11 +73,13 @@ def repair(rescaled: DataFrame, features: DataFrame, deg: DataFrame, toggle: Dat
     pi = rescaled.select(F.col("node").alias("dst"), "dim", F.col("pi").alias("_p"))
     flow = ends.join(pi, "dst").groupBy(F.col("src").alias("node"), "dim").agg(F.sum(F.col("op") * _ratio(F.col("_p"), F.sqrt(F.col("_s") * F.col("_d")))).alias("_f"))
     s, t = F.sqrt(F.col("deg").cast("double")), F.sqrt(F.col("new_deg").cast("double"))
-    joined = rescaled.join(deg, "node", "left").join(features, ["node", "dim"], "left").join(flow, ["node", "dim"], "left")
+    # only rows of affected nodes meet features and flows; the others stay where they are
+    hit, marked = deg.select("node").distinct(), F.col("new_deg") > 0
+    mine = rescaled.join(deg, "node").join(features.join(hit, "node", "left_semi"), ["node", "dim"], "left").join(flow, ["node", "dim"], "left")
     x, f = F.coalesce("x", F.lit(0.0)), F.coalesce("_f", F.lit(0.0))
     change = (F.col("pi") + alpha * F.col("r") - alpha * x) * _ratio(s - t, t) + (1 - alpha) * f
-    live = F.col("deg").isNotNull() & (F.col("new_deg") > 0)
-    return joined.select("node", "dim", "pi", F.when(live, F.col("r") + change / alpha).otherwise(F.col("r")).alias("r"))
+    mended = mine.select("node", "dim", "pi", F.when(marked, F.col("r") + change / alpha).otherwise(F.col("r")).alias("r"))
+    return rescaled.join(hit, "node", "left_anti").select("node", "dim", "pi", "r").unionAll(mended)
 
 
 def candidates(state: DataFrame, nodes: DataFrame, limit: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 A state is (node, dim, pi, r); any push order keeps
 ``pi + alpha r = alpha x + (1-alpha) P pi``. Rounds are synchronous: all rows
 over the threshold are pushed at once. Fixed-depth forms are one lazy plan;
-loops to a tolerance write their state every round.
+loops to a tolerance write what each round changes.
 """
 
 from __future__ import annotations
@@ -109,37 +109,136 @@ def push_round(state: DataFrame, w: DataFrame, limit: DataFrame, alpha: float) -
     return _give(state.join(limit, "dim").withColumn("_go", _outside()), w, alpha)
 
 
-class _Loop:
-    """A state pushed round by round, each one job: the rows that are still to go are counted while the state is written.
+#: Neighbours in one row of what a push looks up: a hub takes many rows, in as many groups.
+LINKS = 1024
+
+
+def links(w: DataFrame, scratch: Scratch, size: int = LINKS) -> tuple[DataFrame, DataFrame]:
+    """The weights (src, dst, w) as rows (src, chunk, to) of about ``size`` neighbours, and the directory (src, chunks) of nodes with more than one row.
+
+    Which chunk a neighbour is in is a hash of it, so no node's neighbours are
+    sorted or held in one task.
+    """
+    w = scratch.keep(w, "weights")
+    hubs = w.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("chunks")).where("chunks > 1")
+    hubs = scratch.keep(hubs, "hubs")
+    placed = w.join(hubs, "src", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("chunks")).cast("int"), F.lit(0)))
+    return scratch.keep(placed.groupBy("src", "chunk").agg(F.collect_list(F.struct("dst", "w")).alias("to")), "links"), hubs
 
-    The driver holds a round counter and that number. Each state is written in
-    the shared folder and the one before deleted, so a lost executor costs its
-    tasks only. Weights stay partitioned by source; lost blocks of them are read
-    again from their table.
+
+def flow(front: DataFrame, near: DataFrame, hubs: DataFrame, alpha: float) -> DataFrame:
+    """(node, dim, m): what the rows (node, dim, r) of a frontier give to each neighbour, not summed."""
+    dealt = front.join(hubs.select(F.col("src").alias("node"), "chunks"), "node", "left")
+    dealt = dealt.select("node", "dim", ((1 - alpha) * F.col("r")).alias("m"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("of"))
+    met = dealt.join(near, (F.col("node") == F.col("src")) & (F.col("of") == F.col("chunk"))).select("dim", "m", F.explode("to").alias("t"))
+    return met.select(F.col("t.dst").alias("node"), "dim", (F.col("m") * F.col("t.w")).alias("m"))
+
+
+class _Loop:
+    """A state pushed round by round, each one job: the rows that are still to go are counted while they are written.
+
+    A state is a base (node, dim, pi, r) and deltas, all written in the shared
+    folder, so a lost executor costs its tasks only. While much of the state is
+    to go, a round writes a new base. Once the frontier is a small share of it,
+    a round writes a delta: the rows that gave or got, with what was added and
+    what they hold now. The next frontier is among them. Deltas are folded into
+    the base when together they have half as many rows. The base's residuals
+    and the links stay partitioned in memory; lost blocks are read again from
+    their tables. The driver holds counters.
     """
 
+    #: Frontiers of up to this share of the state's rows are written as deltas, and deltas are folded above this one.
+    SPARSE, FOLD = 0.1, 0.5
+
     def __init__(self, state: DataFrame, w: DataFrame, side: DataFrame, key: str, alpha: float, most: int):
-        self.scratch = Scratch(state.sparkSession)
-        n = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.w = self.scratch.keep(w, "weights").repartition(n, "src").persist()
+        self.spark, self.scratch = state.sparkSession, Scratch(state.sparkSession)
+        self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        near, self.hubs = links(w, self.scratch)
+        self.near = near.repartition(self.n, "src", "chunk").persist()
         self.side, self.key, self.alpha, self.most = side, key, alpha, most
         self.state, self.rounds = self.scratch.keep(state, "state"), 0
+        self.deltas: list[str] = []
+        self.delta_rows, self.held = 0, None
+        #: What each round wrote: ("base" or "delta", rows to go before it, rows written).
+        self.log: list[tuple[str, int, int]] = []
+
+    def _forget(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+        self.held, self.deltas, self.delta_rows = None, [], 0
+
+    def _changes(self) -> DataFrame:
+        return self.spark.read.parquet(*self.deltas)
+
+    def fold(self) -> None:
+        """Add the deltas to the base."""
+        if self.deltas:
+            rows = self.state.unionAll(self._changes().select("node", "dim", F.col("dpi").alias("pi"), F.col("dr").alias("r")))
+            self.state = self.scratch.replace(rows.groupBy("node", "dim").agg(F.sum("pi").alias("pi"), F.sum("r").alias("r")), "state")
+            self._forget()
+
+    def _front(self, go: Column) -> DataFrame:
+        return self.state.join(self.side, self.key).where(go).select("node", "dim", "r")
+
+    def _whole(self, front: DataFrame) -> DataFrame:
+        """The next base."""
+        gone = front.select("node", "dim", (self.alpha * F.col("r")).alias("pi"), (-F.col("r")).alias("r"))
+        came = flow(front, self.near, self.hubs, self.alpha).select("node", "dim", F.lit(0.0).alias("pi"), F.col("m").alias("r"))
+        return self.state.unionAll(gone).unionAll(came).groupBy("node", "dim").agg(F.sum("pi").alias("pi"), F.sum("r").alias("r"))
+
+    def _touched(self, front: DataFrame) -> DataFrame:
+        """The next delta: (node, dim, dpi, dr, r) of the rows that give or get."""
+        if self.held is None:
+            self.held = self.state.select("node", "dim", F.col("r").alias("_r")).repartition(self.n, "node", "dim").persist()
+        new = front.select("node", "dim", (self.alpha * F.col("r")).alias("dpi"), (-F.col("r")).alias("dr"), F.lit(1).alias("new"))
+        rows = new.unionAll(flow(front, self.near, self.hubs, self.alpha).select("node", "dim", F.lit(0.0).alias("dpi"), F.col("m").alias("dr"), F.lit(1).alias("new")))
+        if self.deltas:
+            rows = rows.unionAll(self._changes().select("node", "dim", F.lit(0.0).alias("dpi"), "dr", F.lit(0).alias("new")))
+        summed = rows.groupBy("node", "dim").agg(F.sum("dpi").alias("dpi"), F.sum(F.col("dr") * F.col("new")).alias("dr"), F.sum("dr").alias("_all"), F.max("new").alias("new")).where("new = 1")
+        return summed.join(self.held, ["node", "dim"], "left").select("node", "dim", "dpi", "dr", (F.coalesce("_r", F.lit(0.0)) + F.col("_all")).alias("r"))
 
     def run(self, go: Column) -> None:
         """Push until no row of the state, joined to its thresholds, is one to ``go``."""
-        left = self.state.join(self.side, self.key).where(go).limit(1).count()
+        self.fold()
+        front, total = self._front(go), self.state.count()
+        left = front.count()
         while left:
             if self.rounds == self.most:
                 raise RuntimeError(f"{left} residuals are still outside the thresholds after {self.most} rounds")
-            seen = Observation()
-            after = _give(self.state.join(self.side, self.key).withColumn("_go", go), self.w, self.alpha)
-            marked = after.join(self.side, self.key, "left").observe(seen, F.count_if(go).alias("left")).select("node", "dim", "pi", "r")
-            self.state = self.scratch.replace(marked, "state")
-            self.rounds += 1
-            left = seen.get["left"]
+            seen, small = Observation(), left <= self.SPARSE * total
+            if not small and self.deltas:
+                self.fold()
+                front = self._front(go)
+            after = self._touched(front) if small else self._whole(front)
+            marked = after.join(self.side, self.key, "left").select(*after.columns, F.coalesce(go, F.lit(False)).alias("go"))
+            watched = marked.observe(seen, F.count_if("go").alias("left"), F.count(F.lit(1)).alias("rows"))
+            if small:
+                at = self.scratch.path("delta")
+                watched.write.option("compression", "zstd").parquet(at)
+                self.deltas.append(at)
+                front = self.spark.read.schema(watched.schema).parquet(at).where("go").select("node", "dim", "r")
+            else:
+                self._forget()
+                kept = self.scratch.replace(watched, "state")
+                front, self.state = kept.where("go").select("node", "dim", "r"), kept.select("node", "dim", "pi", "r")
+            rows = seen.get["rows"]
+            self.log.append(("delta" if small else "base", left, rows))
+            left, self.rounds = seen.get["left"], self.rounds + 1
+            if small:
+                self.delta_rows += rows
+            else:
+                total = rows
+            if self.delta_rows > self.FOLD * total and left:
+                front = self.scratch.keep(front, "front")
+                self.fold()
+
+    def close(self) -> None:
+        """Give the memory back."""
+        self._forget()
+        self.near.unpersist()
 
     def done(self) -> DataFrame:
-        self.w.unpersist()
+        self.fold()
         return self.state
 
 
@@ -147,8 +246,11 @@ def push(state: DataFrame, edges: DataFrame, limit: DataFrame, params: Params =
     """Push until no residual is outside the thresholds; raises if ``params.max_rounds`` do not suffice."""
     limit = Scratch(state.sparkSession).keep(limit, "limits")
     loop = _Loop(state, weights(edges) if w is None else w, limit, "dim", params.alpha, params.max_rounds)
-    loop.run(_outside())
-    return loop.done()
+    try:
+        loop.run(_outside())
+        return loop.done()
+    finally:
+        loop.close()
 
 
 def initial_operation(features: DataFrame, edges: DataFrame, params: Params = Params()) -> DataFrame:
@@ -198,9 +300,13 @@ def push_by_degree(state: DataFrame, edges: DataFrame, walks: int, scales: list[
     deg = Scratch(state.sparkSession).keep(degree(edges), "degrees")
     scaled = state.select("node", "dim", (F.col("pi") * walks).alias("pi"), (F.col("r") * walks).alias("r"))
     loop = _Loop(scaled, weights(edges), deg, "node", params.alpha, params.max_rounds)
-    for scale in scales:
-        loop.run(F.abs((1 - params.alpha) * F.col("r")) >= F.col("deg") * scale)
-    return loop.done().select("node", "dim", (F.col("pi") / walks).alias("pi"), (F.col("r") / walks).alias("r"))
+    try:
+        for scale in scales:
+            loop.run(F.abs((1 - params.alpha) * F.col("r")) >= F.col("deg") * scale)
+        last = loop.done()
+    finally:
+        loop.close()
+    return last.select("node", "dim", (F.col("pi") / walks).alias("pi"), (F.col("r") / walks).alias("r"))
 
 
 def invariant_error(state: DataFrame, features: DataFrame, edges: DataFrame, alpha: float) -> DataFrame:

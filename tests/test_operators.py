@@ -74,6 +74,40 @@ def test_update_equals_starting_anew(spark, toggled):
     assert np.abs(dense(out.state, n) - exact(after, n, dense(x, n, value="x"), 0.2)).max() < 1e-6
 
 
+def test_rounds_write_deltas_once_the_frontier_is_small(spark):
+    rng = np.random.default_rng(12)
+    n = 150
+    e = both({(k, (k + 1) % n) for k in range(n)} | {(int(a), int(b)) for a, b in rng.integers(0, n, (40, 2)) if a != b}, n)
+    x = x_df(spark, n)
+    w, limit = propagate.weights(edges_df(spark, e)), propagate.thresholds(x, 1e-6)
+    loops = []
+    for sparse in (0.0, 0.1, 1.0):
+        loop = propagate._Loop(propagate.initial_state(x), w, limit, "dim", 0.2, 500)
+        loop.SPARSE = sparse
+        loop.run(propagate._outside())
+        loops.append((loop, dense(loop.done(), n), dense(loop.state, n, value="r")))
+        loop.close()
+    whole, mixed, deltas = loops
+    assert {k for k, *_ in whole[0].log} == {"base"} and {k for k, *_ in deltas[0].log} == {"delta"} and {k for k, *_ in mixed[0].log} == {"base", "delta"}
+    for loop, pi, r in loops:
+        assert [left for _, left, _ in loop.log] == [left for _, left, _ in whole[0].log]
+        assert np.abs(pi - whole[1]).max() < 1e-12 and np.abs(r - whole[2]).max() < 1e-12
+        assert all(rows <= 12 * left for kind, left, rows in loop.log if kind == "delta")  # the degree is at most 11 or so
+
+
+def test_a_hub_gives_through_many_chunks(spark):
+    n = 3000
+    star = both({(0, k) for k in range(1, n)}, n)
+    near, hubs = propagate.links(propagate.weights(edges_df(spark, star)), propagate.Scratch(spark), 100)
+    assert [(r.src, r.chunks) for r in hubs.collect()] == [(0, 30)]
+    sizes = [len(r.to) for r in near.where("src = 0").collect()]
+    assert len(sizes) == 30 and sum(sizes) == n and max(sizes) < 160
+    front = spark.createDataFrame([(0, 0, 1.0), (5, 0, -2.0)], "node long, dim int, r double")
+    got = propagate.flow(front, near, hubs, 0.5).groupBy("node").agg(F.sum("m").alias("m"))
+    want = propagate.step(front.withColumnRenamed("r", "x"), propagate.weights(edges_df(spark, star))).select("node", (F.col("x") / 2).alias("v"))
+    assert got.join(want, "node", "full").where("abs(coalesce(m, 0) - coalesce(v, 0)) > 1e-15 or m is null or v is null").count() == 0
+
+
 def test_a_batch_twice_is_the_identity(spark):
     n, e = graph(3)
     u = edges_df(spark, both({(0, 1), (2, 3), (4, 8)}))
