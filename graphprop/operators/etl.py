@@ -93,8 +93,8 @@ def batches(edges: DataFrame, n_batches: int, seed: int = 7) -> DataFrame:
 
 
 def cumulative(batched: DataFrame, n_batches: int) -> DataFrame:
-    """Batch t of the result holds all edges of batches up to t. ``n_batches`` copies at most: the range is exploded, not joined."""
-    return batched.select(F.explode(F.sequence(F.col("batch"), F.lit(n_batches - 1))).alias("batch"), "src", "dst")
+    """Batch t of the result holds all edges of batches up to t: the copies are the result; ``intervals`` holds each edge once."""
+    return batched.where(F.col("batch") < n_batches).select(F.explode(F.sequence(F.col("batch"), F.lit(n_batches - 1))).alias("batch"), "src", "dst")
 
 
 def to_disjoint(batched: DataFrame) -> DataFrame:
@@ -107,11 +107,63 @@ def snapshot(init: DataFrame, batched: DataFrame, t: int) -> DataFrame:
     return symmetrize(init.select("src", "dst").union(batched.where(F.col("batch") <= t).select("src", "dst")))
 
 
+def _pair(*more: str | Column) -> list[Column | str]:
+    return [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), *more]
+
+
+def intervals(init: DataFrame, batched: DataFrame, first: int = 0) -> DataFrame:
+    """(src, dst, start, stop) with src <= dst: each undirected edge once, from the first snapshot that has it; nothing ends.
+
+    Initial edges are there from snapshot ``first``, those of a batch from its number.
+    """
+    rows = init.select(*_pair(F.lit(first).alias("start"))).unionAll(batched.select(*_pair(F.col("batch").cast("int").alias("start"))))
+    return rows.groupBy("src", "dst").agg(F.min("start").alias("start")).withColumn("stop", F.lit(None).cast("int"))
+
+
+def toggled_intervals(init: DataFrame, toggles: DataFrame, first: int = 0) -> DataFrame:
+    """(src, dst, start, stop): when each undirected edge is there, from ``start`` to before ``stop``, null for ever.
+
+    ``toggles`` are (t, src, dst) with t above ``first``. An undirected toggle
+    may be listed in both directions; of a direction's listings in one t only
+    the parity counts. An edge that goes and comes back has a row for each time.
+    """
+    rows = toggles.groupBy("t", "src", "dst").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(*_pair(F.col("t").cast("int").alias("t")))
+    events = init.select(*_pair(F.lit(first).alias("t"))).distinct().unionAll(rows.distinct())
+    # an edge has at most one event in a t
+    times = events.groupBy("src", "dst").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    each = times.select("src", "dst", "ts", F.explode(F.sequence(F.lit(0), F.size("ts") - 1, F.lit(2))).alias("k"))
+    return each.select("src", "dst", F.get("ts", F.col("k")).alias("start"), F.get("ts", F.col("k") + 1).alias("stop"))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Both directions of pairs that are there once; self loops once."""
+    rest = [c for c in pairs.columns if c not in ("src", "dst")]
+    return pairs.select("src", "dst", *rest).unionAll(pairs.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
+
+
+def snapshot_of(edges: DataFrame, t: int) -> DataFrame:
+    """Snapshot ``t`` of ``intervals``, in both directions: a filter, no sort and no distinct."""
+    live = (F.col("start") <= t) & (F.col("stop").isNull() | (F.col("stop") > t))
+    return _both_ways(edges.where(live).select("src", "dst"))
+
+
+def degrees_over_time(edges: DataFrame, n_snapshots: int) -> DataFrame:
+    """(t, node, deg) for snapshots 0 to ``n_snapshots - 1``: running sums of what starts and stops, no copies of edges.
+
+    A node's rows in the sum are the snapshots in which its degree changes.
+    """
+    ends = _both_ways(edges.select("src", "dst", "start", "stop"))
+    change = ends.select(F.col("src").alias("node"), F.col("start").alias("t"), F.lit(1).alias("c")).unionAll(ends.where("stop is not null").select("src", "stop", F.lit(-1)))
+    summed = change.where(F.col("t") < n_snapshots).groupBy("node", "t").agg(F.sum("c").alias("c"))
+    order = Window.partitionBy("node").orderBy("t")
+    ran = summed.select("node", "t", F.sum("c").over(order).alias("deg"), F.coalesce(F.lead("t").over(order), F.lit(n_snapshots)).alias("_to"))
+    return ran.where("deg > 0").select(F.explode(F.sequence(F.greatest("t", F.lit(0)), F.col("_to") - 1)).alias("t"), "node", F.col("deg").cast("long").alias("deg"))
+
+
 def snapshots(init: DataFrame, batched: DataFrame, n_batches: int) -> DataFrame:
-    """(t, src, dst) for all snapshots."""
-    first = init.select(F.lit(0).alias("batch"), "src", "dst")
-    both = cumulative(first.union(batched.select("batch", "src", "dst")), n_batches)
-    return both.union(both.select("batch", F.col("dst"), F.col("src"))).distinct().withColumnRenamed("batch", "t")
+    """(t, src, dst) for all snapshots: each edge is made one of first, then repeated for the snapshots that have it."""
+    own = intervals(init, batched).where(F.col("start") < n_batches)
+    return _both_ways(own.select("src", "dst", F.explode(F.sequence(F.col("start"), F.lit(n_batches - 1))).alias("t"))).select("t", "src", "dst")
 
 
 def bucket_times(edges: DataFrame, step: int, time: str = "t") -> DataFrame:

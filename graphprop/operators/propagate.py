@@ -126,10 +126,10 @@ def links(w: DataFrame, scratch: Scratch, size: int = LINKS) -> tuple[DataFrame,
     return scratch.keep(placed.groupBy("src", "chunk").agg(F.collect_list(F.struct("dst", "w")).alias("to")), "links"), hubs
 
 
-def flow(front: DataFrame, near: DataFrame, hubs: DataFrame, alpha: float) -> DataFrame:
-    """(node, dim, m): what the rows (node, dim, r) of a frontier give to each neighbour, not summed."""
-    dealt = front.join(hubs.select(F.col("src").alias("node"), "chunks"), "node", "left")
-    dealt = dealt.select("node", "dim", ((1 - alpha) * F.col("r")).alias("m"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("of"))
+def flow(front: DataFrame, near: DataFrame, hubs: DataFrame | None, alpha: float) -> DataFrame:
+    """(node, dim, m): what the rows (node, dim, r) of a frontier give to each neighbour, not summed. ``hubs`` is None where no node has a second row."""
+    front = front.withColumn("chunks", F.lit(1)) if hubs is None else front.join(hubs.select(F.col("src").alias("node"), "chunks"), "node", "left")
+    dealt = front.select("node", "dim", ((1 - alpha) * F.col("r")).alias("m"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("of"))
     met = dealt.join(near, (F.col("node") == F.col("src")) & (F.col("of") == F.col("chunk"))).select("dim", "m", F.explode("to").alias("t"))
     return met.select(F.col("t.dst").alias("node"), "dim", (F.col("m") * F.col("t.w")).alias("m"))
 
@@ -153,7 +153,8 @@ class _Loop:
     def __init__(self, state: DataFrame, w: DataFrame, side: DataFrame, key: str, alpha: float, most: int):
         self.spark, self.scratch = state.sparkSession, Scratch(state.sparkSession)
         self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        near, self.hubs = links(w, self.scratch)
+        near, hubs = links(w, self.scratch)
+        self.hubs = hubs if hubs.limit(1).count() else None
         self.near = near.repartition(self.n, "src", "chunk").persist()
         self.side, self.key, self.alpha, self.most = side, key, alpha, most
         self.state, self.rounds = self.scratch.keep(state, "state"), 0

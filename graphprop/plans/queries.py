@@ -116,8 +116,38 @@ SELECT CAST(t AS INTEGER) AS t, src AS node, count(*) AS deg FROM way, range(4)
 )
 def snapshot_degrees(f: Fixture) -> DataFrame:
     p = f.pairs()
-    s = etl.snapshots(p.where("y < 1999").select("src", "dst"), f.later(p), 4)
-    return s.groupBy("t", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
+    return etl.degrees_over_time(etl.intervals(p.where("y < 1999").select("src", "dst"), f.later(p)), 4)
+
+
+_GONE = "(src * 31 + dst * 17) % 97 = 0"
+_TOGGLED = f""", ev AS (SELECT 0 AS t, src, dst FROM ip UNION ALL SELECT batch, src, dst FROM later UNION ALL SELECT 1, src, dst FROM ip WHERE {_GONE} UNION ALL SELECT 3, src, dst FROM ip WHERE {_GONE} AND src % 2 = 0),
+iv AS MATERIALIZED (SELECT src, dst, t AS start, lead(t) OVER w AS stop, row_number() OVER w AS k FROM ev WINDOW w AS (PARTITION BY src, dst ORDER BY t))"""
+
+
+def _toggled(f: Fixture) -> DataFrame:
+    """Intervals of a series with insertions, deletions and edges that come back."""
+    p = f.kept_pairs()
+    come = f.later(p).select(F.col("batch").alias("t"), "src", "dst")
+    gone = p.where((F.col("y") < 1999) & ((F.col("src") * 31 + F.col("dst") * 17) % 97 == 0))
+    back = gone.where("src % 2 = 0")
+    one = come.unionAll(gone.select(F.lit(1), "src", "dst")).unionAll(back.select(F.lit(3), "src", "dst"))
+    return etl.toggled_intervals(p.where("y < 1999").select("src", "dst"), one.unionAll(one.select("t", F.col("dst"), F.col("src"))))
+
+
+@query(_TOGGLED + " SELECT src, dst, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM iv WHERE k % 2 = 1")
+def edge_intervals(f: Fixture) -> DataFrame:
+    """When each edge of the series is there, each time once."""
+    return _toggled(f)
+
+
+@query(
+    _TOGGLED
+    + """, wy AS (SELECT src, dst, start, stop FROM iv WHERE k % 2 = 1 UNION ALL SELECT dst, src, start, stop FROM iv WHERE k % 2 = 1)
+SELECT CAST(t AS INTEGER) AS t, src AS node, count(*) AS deg FROM wy, range(4) r(t) WHERE start <= t AND (stop IS NULL OR stop > t) GROUP BY t, src"""
+)
+def toggled_degrees(f: Fixture) -> DataFrame:
+    """Degrees over time, deletions included."""
+    return etl.degrees_over_time(_toggled(f), 4)
 
 
 @query(
@@ -617,12 +647,13 @@ def changed_kept_partition(f: Fixture) -> DataFrame:
     return mark(kept, 0).unionAll(mark(changed, 1))
 
 
-@query(", k AS (SELECT node FROM node WHERE node % 5 <> 0) SELECT node FROM k ORDER BY (node * 2654435761 + 2 * 40503 + 7) % 1000003, node LIMIT (SELECT count(*) FROM node WHERE node % 5 = 0)")
+@query(_CHOSEN + ", k AS (SELECT node FROM node WHERE node NOT IN (SELECT node FROM ch)) SELECT node FROM k ORDER BY (node * 2654435761 + 2 * 40503 + 7) % 1000003, node LIMIT (SELECT count(*) FROM ch)")
 def memory_sample(f: Fixture) -> DataFrame:
-    """As many unchanged nodes as changed ones: a sampling operator."""
+    """As many unchanged nodes as the error budget selects: a sampling operator."""
     from graphprop.operators.learn import memory_sample as sample
 
-    return sample(f.raw_features(), f.nodes().where("node % 5 = 0"))
+    scratch = Scratch(f.spark)
+    return sample(f.raw_features(), scratch.keep(monitor.select(scratch.keep(_mass(f), "mass"), _DELTA, f.nodes().count()), "changed"))
 
 
 # ---- walks -------------------------------------------------------------------
@@ -767,7 +798,8 @@ def discriminator(f: Fixture) -> DataFrame:
     from graphprop.operators import learn
 
     x = Scratch(f.spark).keep(f.features(), "features")
-    kept, changed = monitor.partition(x, f.nodes().where("node % 5 = 0"))
+    scratch = Scratch(f.spark)
+    kept, changed = monitor.partition(x, scratch.keep(monitor.select(scratch.keep(_mass(f), "mass"), _DELTA, f.nodes().count()), "changed"))
     model = learn.discriminator(features.contrastive_set(x, kept, changed))
     return learn.predicted(model, learn.vectors(features.packed(x)).withColumn("y", F.lit(0)))
 
@@ -874,11 +906,11 @@ def interaction_files(f: Fixture) -> DataFrame:
     return files.interaction_csv(f.spark, at)
 
 
-@query("SELECT node FROM node WHERE node % 4 = 1")
+@query("SELECT node FROM node")
 def query_node_files(f: Fixture) -> DataFrame:
     from graphprop.sources import files
 
-    return files.query_nodes(f.spark, _lines(f, f.nodes().where("node % 4 = 1").select(F.col("node").cast("string"))))
+    return files.query_nodes(f.spark, _lines(f, f.nodes().select(F.col("node").cast("string"))))
 
 
 @query("SELECT batch, src, dst FROM later UNION ALL SELECT batch, dst, src FROM later")
@@ -925,4 +957,4 @@ def csr_tables(f: Fixture) -> DataFrame:
 def snapshot_access(f: Fixture) -> DataFrame:
     """One snapshot of the series, each edge once."""
     p = f.pairs()
-    return etl.upper_triangle(etl.snapshots(p.where("y < 1999").select("src", "dst"), f.later(p), 4).where("t = 2")).select("src", "dst")
+    return etl.upper_triangle(etl.snapshot_of(etl.intervals(p.where("y < 1999").select("src", "dst"), f.later(p)), 2)).select("src", "dst")

@@ -116,6 +116,28 @@ def test_a_batch_twice_is_the_identity(spark):
     assert {tuple(r) for r in twice.collect()} == e
 
 
+def test_intervals_follow_toggles(spark):
+    rng = np.random.default_rng(3)
+    n, last = 9, 6
+    init = {(a, b) for a in range(n) for b in range(a, n) if rng.random() < 0.3}
+    lines, graphs, now = [], [set(init)], set(init)
+    for t in range(1, last):
+        for a, b in {tuple(sorted(map(int, rng.integers(0, n, 2)))) for _ in range(8)}:
+            times = int(rng.integers(1, 4))
+            lines += [(t, *p) for p in {(a, b), (b, a)} for _ in range(times)]
+            now = now ^ {(a, b)} if times % 2 else now
+        graphs.append(set(now))
+    toggles = spark.createDataFrame(lines, "t int, src long, dst long")
+    iv = etl.toggled_intervals(edges_df(spark, init), toggles).cache()
+    for t, want in enumerate(graphs):
+        assert sorted(tuple(r) for r in etl.snapshot_of(iv, t).collect()) == sorted(both(want))
+    want = {(t, v): sum(a == v for a, _ in both(g)) for t, g in enumerate(graphs) for v in range(n)}
+    assert {(r.t, r.node): r.deg for r in etl.degrees_over_time(iv, last).collect()} == {k: d for k, d in want.items() if d}
+    later = spark.createDataFrame([(1, 3, 2), (2, 2, 3), (9, 0, 1)], "batch int, src long, dst long")
+    rows = etl.snapshots(edges_df(spark, {(5, 6), (6, 5), (7, 7)}), later, 3).collect()
+    assert sorted(tuple(r) for r in rows) == sorted((t, *p) for t in range(3) for p in both({(5, 6)} | ({(2, 3)} if t else set())) | {(7, 7)})
+
+
 def test_isolated_nodes_and_deletion_to_the_loop(spark):
     e = both({(0, 1), (1, 2)}, 3)  # node 3 has no edge at all
     x = spark.createDataFrame([(k, 0, float(k + 1)) for k in range(4)], "node long, dim int, x double")
