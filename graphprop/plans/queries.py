@@ -958,3 +958,29 @@ def snapshot_access(f: Fixture) -> DataFrame:
     """One snapshot of the series, each edge once."""
     p = f.pairs()
     return etl.upper_triangle(etl.snapshot_of(etl.intervals(p.where("y < 1999").select("src", "dst"), f.later(p)), 2)).select("src", "dst")
+
+
+@query("SELECT src, dst FROM e")
+def csr_array_files(f: Fixture) -> DataFrame:
+    """Edges written as binary indices and pointers, and read back by ranges that cut sources."""
+    from graphprop.sources import arrays
+
+    scratch = Scratch(f.spark)
+    at, e = scratch.path("csr"), scratch.keep(f.graph(), "edges")
+    order = etl.numbered(e, [F.col("src"), F.col("dst")], "node")
+    arrays.write_rows(order.select("node", F.array(F.col("dst").cast("double")).alias("vec")), f"{at}/indices", "<u4", False, 20_000)
+    ptr = scratch.keep(etl.csr(e, f.nodes()), "pointers")
+    last = ptr.agg((F.max("node") + 1).alias("node"), F.sum("deg").alias("start"))
+    both = ptr.select("node", "start").unionAll(last)
+    arrays.write_rows(both.select("node", F.array(F.col("start").cast("double")).alias("vec")), f"{at}/indptr", "<u4", False, 300)
+    return arrays.csr_arrays(f.spark, f"{at}/indices", f"{at}/indptr", step=7001)
+
+
+@query(f"SELECT vec_id AS node, CAST(k - 1 AS INTEGER) AS dim, {fx('CAST(v AS DOUBLE)')} AS x FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings)")
+def npy_array_files(f: Fixture) -> DataFrame:
+    """The feature matrix written as npy parts, and read back by ranges of rows."""
+    from graphprop.sources import arrays
+
+    at, rows = Scratch(f.spark).path("npy"), f.table("embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
+    arrays.write_rows(rows, at, rows_per_part=150)
+    return features.unpacked(arrays.npy_rows(f.spark, at, step=64)).select("node", "dim", fixed(F.col("x")).alias("x"))
