@@ -973,7 +973,7 @@ def csr_array_files(f: Fixture) -> DataFrame:
     last = ptr.agg((F.max("node") + 1).alias("node"), F.sum("deg").alias("start"))
     both = ptr.select("node", "start").unionAll(last)
     arrays.write_rows(both.select("node", F.array(F.col("start").cast("double")).alias("vec")), f"{at}/indptr", "<u4", False, 300)
-    return arrays.csr_arrays(f.spark, f"{at}/indices", f"{at}/indptr", step=7001)
+    return arrays.csr_arrays(f.spark, f"{at}/indices", f"{at}/indptr", step=40_000)
 
 
 @query(f"SELECT vec_id AS node, CAST(k - 1 AS INTEGER) AS dim, {fx('CAST(v AS DOUBLE)')} AS x FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings)")
