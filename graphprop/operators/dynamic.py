@@ -21,7 +21,9 @@ from graphprop.tables import Scratch
 def toggles(edges: DataFrame, updates: DataFrame) -> DataFrame:
     """(src, dst, op): +1 for an insertion, -1 for a deletion, of the pairs listed an odd number of times."""
     odd = updates.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select("src", "dst")
-    have = edges.select("src", "dst").distinct().withColumn("_e", F.lit(-1))
+    # written first, so that the planner knows its size and leaves the edges where they are if it is small
+    odd = Scratch(edges.sparkSession).keep(odd, "odd")
+    have = edges.select("src", "dst").join(odd, ["src", "dst"], "left_semi").distinct().withColumn("_e", F.lit(-1))
     return odd.join(have, ["src", "dst"], "left").select("src", "dst", F.coalesce("_e", F.lit(1)).alias("op"))
 
 
@@ -39,7 +41,8 @@ def apply(edges: DataFrame, toggle: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame, toggle: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, deg, new_deg) of ``nodes``: the change is the sum of the toggles."""
     change = toggle.groupBy(F.col("src").alias("node")).agg(F.sum("op").alias("_c"))
-    return nodes.join(degree(edges), "node", "left").join(change, "node", "left").select("node", F.coalesce("deg", F.lit(0)).cast("long").alias("deg"), (F.coalesce("deg", F.lit(0)) + F.coalesce("_c", F.lit(0))).cast("long").alias("new_deg"))
+    own = degree(edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi"))
+    return nodes.join(own, "node", "left").join(change, "node", "left").select("node", F.coalesce("deg", F.lit(0)).cast("long").alias("deg"), (F.coalesce("deg", F.lit(0)) + F.coalesce("_c", F.lit(0))).cast("long").alias("new_deg"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
