@@ -126,8 +126,8 @@ def links(w: DataFrame, scratch: Scratch, size: int = LINKS) -> tuple[DataFrame,
     return scratch.keep(placed.groupBy("src", "chunk").agg(F.collect_list(F.struct("dst", "w")).alias("to")), "links"), hubs
 
 
-def flow(front: DataFrame, near: DataFrame, hubs: DataFrame | None, alpha: float) -> DataFrame:
-    """(node, dim, m): what the rows (node, dim, r) of a frontier give to each neighbour, not summed. ``hubs`` is None where no node has a second row."""
+def flow(front: DataFrame, near: DataFrame, hubs: DataFrame | None, alpha: float | Column) -> DataFrame:
+    """(node, dim, m): what the rows (node, dim, r) of a frontier give to each neighbour, not summed. ``alpha`` may depend on ``dim``; ``hubs`` is None where no node has a second row."""
     front = front.withColumn("chunks", F.lit(1)) if hubs is None else front.join(hubs.select(F.col("src").alias("node"), "chunks"), "node", "left")
     dealt = front.select("node", "dim", ((1 - alpha) * F.col("r")).alias("m"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("of"))
     met = dealt.join(near, (F.col("node") == F.col("src")) & (F.col("of") == F.col("chunk"))).select("dim", "m", F.explode("to").alias("t"))
@@ -150,7 +150,7 @@ class _Loop:
     #: Frontiers of up to this share of the state's rows are written as deltas, and deltas are folded above this one.
     SPARSE, FOLD = 0.1, 0.5
 
-    def __init__(self, state: DataFrame, w: DataFrame, side: DataFrame, key: str, alpha: float, most: int):
+    def __init__(self, state: DataFrame, w: DataFrame, side: DataFrame, key: str, alpha: float | Column, most: int):
         self.spark, self.scratch = state.sparkSession, Scratch(state.sparkSession)
         self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         near, hubs = links(w, self.scratch)
@@ -259,6 +259,34 @@ def initial_operation(features: DataFrame, edges: DataFrame, params: Params = Pa
     return push(initial_state(features), edges, thresholds(features, params.rmax), params)
 
 
+def sweep(features: DataFrame, edges: DataFrame, runs: list[tuple[float, float]], params: Params = Params()) -> DataFrame:
+    """(run, node, dim, pi, r): the states of a new graph for all pairs (alpha, rmax) of ``runs``, by their places in the list.
+
+    The runs are pushed together: a dimension of a run is a dimension of one
+    state, with the thresholds and the alpha of its run, so a round is one job
+    and the links are made once. A run that has reached its tolerance has no
+    rows in the frontier. An empty list gives no rows.
+    """
+    if any(not 0 < a <= 1 for a, _ in runs):
+        raise ValueError("alpha lies above 0 and is at most 1")
+    top = features.agg(F.max("dim")).first()[0]
+    dims = 1 if top is None else top + 1
+    alphas = F.array(*[F.lit(float(a)) for a, _ in runs] or [F.lit(1.0)])
+    all_runs = F.array(*[F.lit(k) for k in range(len(runs))]).cast("array<int>")
+    state = features.select("node", F.explode(all_runs).alias("run"), "dim", "x").select("node", (F.col("run") * dims + F.col("dim")).cast("int").alias("dim"), F.lit(0.0).alias("pi"), F.col("x").cast("double").alias("r"))
+    scratch = Scratch(features.sparkSession)
+    per = scratch.keep(thresholds(features, 1.0), "sums").withColumn("run", F.explode(all_runs))
+    rmax = F.get(F.array(*[F.lit(float(r)) for _, r in runs] or [F.lit(1.0)]), F.col("run"))
+    limit = scratch.keep(per.select((F.col("run") * dims + F.col("dim")).cast("int").alias("dim"), (rmax * F.col("hi")).alias("hi"), (rmax * F.col("lo")).alias("lo")), "limits")
+    loop = _Loop(state, weights(edges), limit, "dim", F.get(alphas, F.expr(f"cast(dim div {dims} as int)")), params.max_rounds)
+    try:
+        loop.run(_outside())
+        done = loop.done()
+    finally:
+        loop.close()
+    return done.select(F.expr(f"cast(dim div {dims} as int)").alias("run"), "node", F.expr(f"cast(dim % {dims} as int)").alias("dim"), "pi", "r")
+
+
 def size_estimate(edges: DataFrame, nodes: DataFrame, dims: int) -> DataFrame:
     """One row: the bytes a dense in-memory engine would hold, ((m + n) 4 + 8 n d), in GB."""
     m, n = edges.agg(F.count(F.lit(1)).alias("m")), nodes.agg(F.count(F.lit(1)).alias("n"))

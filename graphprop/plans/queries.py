@@ -451,6 +451,21 @@ def push_to_tolerance(f: Fixture) -> DataFrame:
     return s.select("node", "dim", fixed(F.col("pi")).alias("pi"), fixed(F.col("r")).alias("r"))
 
 
+_RUNS = [(0.1, 1e-3), (0.1, 1e-4), (0.3, 1e-3), (0.3, 1e-4)]
+
+
+@query(
+    "".join(f", lim{k} AS (SELECT dim, {r} * CASE WHEN p > 0 THEN p ELSE -n END AS hi, {r} * CASE WHEN n < 0 THEN n ELSE -p END AS lo FROM "
+            f"(SELECT dim, sum(CASE WHEN x > 0 THEN x ELSE 0 END) AS p, sum(CASE WHEN x < 0 THEN x ELSE 0 END) AS n FROM feat GROUP BY dim)), " + threshold_steps(60, f"v{k}_", _START, limit=f"lim{k}", alpha=a)
+            for k, (a, r) in enumerate(_RUNS))
+    + " UNION ALL ".join(f" SELECT {k} AS run, node, dim, {fx('pi')} AS pi, {fx('r')} AS r FROM v{k}_60" for k in range(len(_RUNS)))
+)
+def push_sweep(f: Fixture) -> DataFrame:
+    """Four pairs of (alpha, rmax), pushed together: a row per run, node and dimension."""
+    s = propagate.sweep(f.features(), f.initial(f.kept_pairs()), _RUNS)
+    return s.select("run", "node", "dim", fixed(F.col("pi")).alias("pi"), fixed(F.col("r")).alias("r"))
+
+
 @query()
 def push_by_degree(f: Fixture) -> DataFrame:
     p = f.kept_pairs()
@@ -830,6 +845,45 @@ def class_gradient(f: Fixture) -> DataFrame:
     return f.spark.createDataFrame(rows, "dim int, class int, gradient double").withColumn("gradient", fixed(F.col("gradient")))
 
 
+_NETWORK = f""", nz AS (SELECT node, j, sum(x * ((dim + 2 * j) % 3 - 1) / 2.0) + 0.5 AS z FROM feat, range(2) r(j) GROUP BY node, j),
+nm AS (SELECT j, avg(z) AS m, sqrt(var_pop(z) + 1e-5) AS sd, (3 - j) / 2.0 AS sc, count(*) AS n FROM nz GROUP BY j),
+na AS MATERIALIZED (SELECT node, nz.j, (z - m) / sd AS u, sd, sc, n, greatest(sc * (z - m) / sd + 0.25, 0) AS a FROM nz JOIN nm ON nm.j = nz.j),
+nl AS (SELECT node, c, n, exp(sum(a * ((j + 2 * c) % 5 - 2) / 4.0) + c / 8.0) AS l FROM na, range(6) r(c) GROUP BY node, c, n),
+nd AS MATERIALIZED (SELECT nl.node, c, (l / sum(l) OVER (PARTITION BY nl.node) - CASE WHEN y = c THEN 1 ELSE 0 END) / n AS d FROM nl JOIN cls ON cls.node = nl.node),
+nu AS MATERIALIZED (SELECT na.node, j, u, sd, sc, CASE WHEN a > 0 THEN sum(d * ((j + 2 * c) % 5 - 2) / 4.0) ELSE 0 END AS up FROM na JOIN nd ON nd.node = na.node GROUP BY na.node, j, u, sd, sc, a),
+ns AS (SELECT j, avg(up) AS s, avg(up * u) AS t FROM nu GROUP BY j)
+SELECT part, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {fx("g")} AS gradient FROM (
+SELECT 'weight0' AS part, dim AS i, nu.j, sum(x * sc / sd * (up - s - u * t)) AS g FROM nu JOIN ns ON ns.j = nu.j JOIN feat ON feat.node = nu.node GROUP BY dim, nu.j
+UNION ALL SELECT 'weight1', j, c, sum(a * d) FROM na JOIN nd ON nd.node = na.node GROUP BY j, c UNION ALL SELECT 'bias1', 0, c, sum(d) FROM nd GROUP BY c
+UNION ALL SELECT 'scale0', 0, j, sum(up * u) FROM nu GROUP BY j UNION ALL SELECT 'shift0', 0, j, sum(up) FROM nu GROUP BY j)"""
+
+
+@query(_NETWORK)
+def network_gradient(f: Fixture) -> DataFrame:
+    """The mean gradient of a perceptron with a normalised hidden layer at given weights, over all parts as one batch."""
+    from graphprop.operators import network
+
+    w0 = np.array([[((i + 2 * j) % 3 - 1) / 2.0 for j in range(2)] for i in range(4)])
+    w1 = np.array([[((j + 2 * c) % 5 - 2) / 4.0 for c in range(6)] for j in range(2)])
+    net = network.Network([w0, w1], [np.full(2, 0.5), np.arange(6) / 8.0], [np.array([1.5, 1.0])], [np.full(2, 0.25)], [np.zeros(2)], [np.ones(2)])
+    rows = Scratch(f.spark).keep(features.packed(f.features()).join(f.classes(), "node").select("node", "vec", "y"), "rows")
+    at = net.moved(network.gradient(net, rows)[0])
+    out = [(name, i, j, float(v)) for name, a in at.arrays().items() if name in ("weight0", "weight1", "bias1", "scale0", "shift0") for (i, j), v in np.ndenumerate(np.atleast_2d(a))]
+    return f.spark.createDataFrame(out, "part string, i int, j int, gradient double").withColumn("gradient", fixed(F.col("gradient")))
+
+
+@query()
+def network_classifier(f: Fixture) -> DataFrame:
+    """Predictions of that perceptron for every part's type, trained by Adam with dropout on the training part of a stratified split."""
+    from graphprop.operators import network
+
+    split = etl.stratified_split(f.classes())
+    rows = Scratch(f.spark).keep(features.packed(f.features()).join(split, "node").select("node", "vec", "y", "split"), "rows")
+    train, held = rows.where("split = 'train'"), rows.where("split = 'val'")
+    got = network.fit(train, held, network.Network.new([4, 16, 6]), network.Training(epochs=3, batches=2, dropout=0.1))
+    return network.predicted(got.network, rows)
+
+
 @query(f""", em AS (SELECT node, CAST(j AS INTEGER) AS k, sum(x * (1 + (dim + 2 * j) % 3)) + 0.5 AS v FROM feat, range(3) r(j) GROUP BY node, j)
 SELECT node, k, {fx("v / sqrt(sum(v * v) OVER (PARTITION BY node))", 5)} AS v FROM em""")
 def embed_normalized(f: Fixture) -> DataFrame:
