@@ -12,10 +12,10 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphprop.operators.etl import hash_order
+from graphprop.operators.etl import hash_order, numbered
 from graphprop.operators.features import permute_rows
 from graphprop.tables import Scratch
 
@@ -164,10 +164,34 @@ def load_arrays(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
 
 
 def memory_sample(features: DataFrame, changed: DataFrame, seed: int = 7) -> DataFrame:
-    """As many unchanged nodes as there are changed ones, by the order of a hash; fewer where there are not enough."""
+    """As many unchanged nodes as there are changed ones, by the order of a hash and then of the node; fewer where there are not enough.
+
+    Counts of hashes, coarse and then fine, say at which hash the sample ends.
+    What is below it is taken as it is; only the rows of that one hash are
+    numbered, range after range.
+    """
+    scratch = Scratch(features.sparkSession)
     n = changed.count()
-    kept = features.select("node").distinct().join(changed, "node", "left_anti")
-    return kept.orderBy(hash_order(F.col("node"), F.lit(2).cast("long"), seed), "node").limit(n)
+    key = hash_order(F.col("node"), F.lit(2).cast("long"), seed)
+    kept = scratch.keep(features.select("node").distinct().join(changed, "node", "left_anti").withColumn("_hash", key), "kept")
+
+    def ends_in(rows: DataFrame, cell: Column, want: int) -> tuple[int | None, int]:
+        """The cell in which the ``want``-th row lies, or None, and how many of its rows are wanted; there are at most 1,024 cells."""
+        for r in sorted(rows.groupBy(cell.alias("cell")).count().collect()):
+            if want <= r["count"]:
+                return r["cell"], want
+            want -= r["count"]
+        return None, 0
+
+    if not n:
+        return kept.select("node").where(F.lit(False))
+    coarse = F.expr("_hash div 1024")
+    cell, want = ends_in(kept, coarse, n)
+    if cell is None:
+        return kept.select("node")
+    at, want = ends_in(kept.where(coarse == cell), F.col("_hash"), want)
+    last = numbered(kept.where(F.col("_hash") == at).select("node"), [F.col("node")], "_n")
+    return kept.where(F.col("_hash") < at).select("node").unionAll(last.where(F.col("_n") < want).select("node"))
 
 
 def early_stop(loss: Callable[[int], float], rounds: int, patience: int) -> tuple[int, float]:

@@ -181,6 +181,49 @@ def test_selection_is_minimal(spark):
     assert monitor.select(mass, 0.0, n).count() == len({k for k, *_, e in rows if e})
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_selection_equals_a_running_sum(spark, ties):
+    rng = np.random.default_rng(4)
+    rows = [(k, d, float(s), int(s * (1000 if ties else rng.integers(1, 10**6)))) for k in range(120) for d in range(2) for s in [rng.choice([-1, 0, 1])]]
+    got = {r.node for r in monitor.select(spark.createDataFrame(rows, "node long, dim int, r double, e long"), 40.0, 3 * 10**8 if not ties else 16 * 10**10).collect()}
+    want, n = set(), 3 * 10**8 if not ties else 16 * 10**10
+    for d in range(2):
+        for sign in (1, -1):
+            own = sorted([(-abs(e), k) for k, dd, _, e in rows if dd == d and e * sign > 0])
+            left, budget = -sum(e for e, _ in own), int(np.floor(sum(abs(r) for _, dd, r, _ in rows if dd == d and r * sign > 0) * 40.0 / n * monitor.UNITS + 0.5))
+            for e, k in own:
+                if left > budget:
+                    want.add(k)
+                left += e
+    assert got == want and 0 < len(got) < 120
+
+
+def test_memory_sample_equals_a_sort(spark):
+    nodes = spark.range(300).select(F.col("id").alias("node"))
+    far = nodes.unionAll(nodes.select(F.col("node") + etl.PRIME))  # nodes of equal hashes
+    key = lambda k: ((k % etl.PRIME) * (2654435761 % etl.PRIME) % etl.PRIME + 2 * 40503 + 7) % etl.PRIME
+    for n in (0, 1, 90, 290):
+        changed = nodes.where(F.col("node") < n)
+        left = sorted((key(k), k) for k in [*range(n, 300), *range(etl.PRIME, etl.PRIME + 300)])
+        got = sorted(r.node for r in learn.memory_sample(far, changed).collect())
+        assert got == sorted(k for _, k in left[:n])
+    assert learn.memory_sample(nodes, nodes.where("node < 200")).count() == 100
+
+
+def test_a_sweep_equals_its_runs(spark):
+    n, e = graph(3)
+    x, runs = x_df(spark, n), [(0.2, 1e-3), (0.2, 1e-6), (0.5, 1e-5), (1.0, 1e-4)]
+    got = propagate.sweep(x, edges_df(spark, e), runs)
+    got.cache()
+    for k, (alpha, rmax) in enumerate(runs):
+        own = propagate.initial_operation(x, edges_df(spark, e), Params(alpha=alpha, rmax=rmax))
+        for value in ("pi", "r"):
+            assert np.abs(dense(got.where(F.col("run") == k), n, value=value) - dense(own, n, value=value)).max() < 1e-12
+    assert propagate.sweep(x, edges_df(spark, e), []).count() == 0
+    with pytest.raises(ValueError):
+        propagate.sweep(x, edges_df(spark, e), [(0.0, 1e-3)])
+
+
 def test_lazy_update_selects_nodes_near_the_change(spark):
     n, e = graph(6, 20, 0.15)
     x = x_df(spark, n)
