@@ -725,6 +725,22 @@ def push_and_walk(f: Fixture) -> DataFrame:
     return walks.walk_tail(Scratch(f.spark).keep(s, "state"), f.initial(p), WALK_ALPHA, 20_000).select("node", "dim", fixed(F.col("pi")).alias("pi"))
 
 
+_AFTER = ", " + stopping_walks("SELECT node AS start, CAST(w AS BIGINT) AS walk FROM ndeg, range(200000) r(w) WHERE w < deg", WALK_ALPHA, 1, first_hop=True).replace("ie.", "ne.").replace("FROM ie", "FROM ne").replace("ideg", "ndeg")
+
+
+@query(_AFTER + " SELECT start AS node, walk, node AS stop FROM wk WHERE done")
+def refreshed_walk_cache(f: Fixture) -> DataFrame:
+    """The stored walk cache of the initial graph, refreshed by the first batch: that of the graph after it."""
+    from graphprop.operators import walkindex
+
+    p, scratch = f.kept_pairs(), Scratch(f.spark)
+    e, u, at = f.initial(p), f.updates(p), scratch.path("index")
+    toggle = scratch.keep(dynamic.toggles(e, u), "toggles")
+    walkindex.save(f.nodes(), e, WALK_ALPHA, at)
+    walkindex.refresh(scratch.keep(dynamic.apply(e, toggle), "edges"), toggle.select(F.col("src").alias("node")), WALK_ALPHA, at)
+    return walkindex.load(f.spark, at)
+
+
 _CACHED = ", " + push_steps(2, alpha=WALK_ALPHA) + ", " + stopping_walks("SELECT node AS start, CAST(w AS BIGINT) AS walk FROM ideg, range(200000) r(w) WHERE w < deg", WALK_ALPHA, 1, first_hop=True)
 
 
