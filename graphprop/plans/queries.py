@@ -725,6 +725,15 @@ def push_and_walk(f: Fixture) -> DataFrame:
     return walks.walk_tail(Scratch(f.spark).keep(s, "state"), f.initial(p), WALK_ALPHA, 20_000).select("node", "dim", fixed(F.col("pi")).alias("pi"))
 
 
+@query(", aw AS (SELECT src, dst, (src * 7 + dst * 13) % 10 + 0.5 AS w FROM ie)" + f" SELECT src, dst, {fx('w / sum(w) OVER (PARTITION BY src)', 8)} AS share FROM aw")
+def alias_shares(f: Fixture) -> DataFrame:
+    """With what probability the alias tables of weighted edges choose each neighbour."""
+    from graphprop.operators import alias
+
+    w = f.initial(f.kept_pairs()).withColumn("w", (F.col("src") * 7 + F.col("dst") * 13) % 10 + 0.5)
+    return alias.shares(alias.alias_tables(w)).select("src", "dst", fixed(F.col("share"), 8).alias("share"))
+
+
 _AFTER = ", " + stopping_walks("SELECT node AS start, CAST(w AS BIGINT) AS walk FROM ndeg, range(200000) r(w) WHERE w < deg", WALK_ALPHA, 1, first_hop=True).replace("ie.", "ne.").replace("FROM ie", "FROM ne").replace("ideg", "ndeg")
 
 
