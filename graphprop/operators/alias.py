@@ -1,7 +1,10 @@
 """Weighted neighbours by alias tables: one lookup and one draw for a choice, hubs in chunks.
 
 A table of m entries is m columns of equal height, each shared by at most two
-entries: a draw takes a column and then one of its two. A node with more than
+entries: a draw takes a column and then one of its two. Columns are as high as
+the weights' total and an entry fills m times its weight of them, so that
+building only adds and subtracts: the shares of weights that are multiples of
+one power of two are those of the weights to the last bit. A node with more than
 ``SIZE`` neighbours has a table for each chunk of them, and over those a table
 whose entries are the chunks with their summed weights, level over level until
 one table is left; a choice goes down its node's levels. No task holds more
@@ -22,15 +25,16 @@ SIZE = 1024
 
 
 def columns(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of positive weights each column's share of its own entry, and the entry that has the rest of it."""
-    height = weight / weight.sum() * len(weight)
-    own, other = np.ones(len(weight)), np.arange(len(weight))
-    low, high = list(np.flatnonzero(height < 1)[::-1]), list(np.flatnonzero(height >= 1)[::-1])
+    """Of positive weights what each column of height ``weight.sum()`` holds of its own entry, and the entry that has the rest of it."""
+    full = weight.sum()
+    height = weight * len(weight)
+    own, other = np.full(len(weight), full), np.arange(len(weight))
+    low, high = list(np.flatnonzero(height < full)[::-1]), list(np.flatnonzero(height >= full)[::-1])
     while low and high:
         a, b = low.pop(), high[-1]
         own[a], other[a] = height[a], b
-        height[b] -= 1 - height[a]
-        if height[b] < 1:
+        height[b] -= full - height[a]
+        if height[b] < full:
             low.append(high.pop())
     return own, other
 
@@ -89,10 +93,10 @@ def shares(tables: list[DataFrame]) -> DataFrame:
     """(src, dst, share): with what probability the tables choose each neighbour."""
     below = None
     for table in reversed(tables):
-        each = table.select("src", "chunk", F.size("items").alias("m"), "items", F.posexplode(F.arrays_zip("own", "other")).alias("k", "c"))
-        own = each.select("src", "chunk", F.get("items", F.col("k")).alias("item"), (F.col("c.own") / F.col("m")).alias("share"))
-        rest = each.select("src", "chunk", F.get("items", F.col("c.other")).alias("item"), ((1 - F.col("c.own")) / F.col("m")).alias("share"))
-        here = own.unionAll(rest).groupBy("src", "chunk", "item").agg(F.sum("share").alias("share"))
+        each = table.select("src", "chunk", (F.size("items") * F.col("total")).alias("area"), "total", "items", F.posexplode(F.arrays_zip("own", "other")).alias("k", "c"))
+        own = each.select("src", "chunk", "area", F.get("items", F.col("k")).alias("item"), F.col("c.own").alias("held"))
+        rest = each.select("src", "chunk", "area", F.get("items", F.col("c.other")).alias("item"), (F.col("total") - F.col("c.own")).alias("held"))
+        here = own.unionAll(rest).groupBy("src", "chunk", "item").agg((F.sum("held") / F.first("area")).alias("share"))
         if below is not None:
             up = below.select("src", F.col("item").alias("chunk"), F.col("share").alias("_up"))
             # a node without a table above has one chunk, which is always taken
@@ -107,10 +111,10 @@ def weighted_step(walks: DataFrame, tables: list[DataFrame], k: int, seed: int)
     for level in range(len(tables) - 1, -1, -1):
         at = F.lit(f"{k}/{level}")
         pick = lambda purpose, at=at: draw(F.col("walk"), F.col("start"), at, seed, purpose)
-        table = tables[level].select(F.col("src").alias("_src"), F.col("chunk").alias("_of"), "items", "own", "other")
+        table = tables[level].select(F.col("src").alias("_src"), F.col("chunk").alias("_of"), "total", "items", "own", "other")
         met = moved.join(table, (F.col("node") == F.col("_src")) & (F.col("_chunk") == F.col("_of")), "left")
         slot = met.withColumn("_k", (pick(WAY) % F.size("items")).cast("int"))
-        entry: Column = F.when(pick(COIN) < F.get("own", F.col("_k")) * float(RANGE), F.col("_k")).otherwise(F.get("other", F.col("_k")))
+        entry: Column = F.when(pick(COIN) < F.get("own", F.col("_k")) / F.col("total") * float(RANGE), F.col("_k")).otherwise(F.get("other", F.col("_k")))
         chosen = F.get("items", entry)
         if level:
             moved = slot.withColumn("_chunk", F.coalesce(chosen, F.lit(0).cast("long"))).select(*walks.columns, "_chunk")

@@ -31,6 +31,16 @@ def test_shares_are_the_weights_and_draws_follow_them(spark, size):
 
 def test_empty_and_equal_weights(spark):
     own, other = alias.columns(np.ones(5))
-    assert (own == 1).all() and (other == np.arange(5)).all()
+    assert (own == 5).all() and (other == np.arange(5)).all()
     tables = alias.alias_tables(spark.createDataFrame([], "src long, dst long, w double"))
     assert len(tables) == 1 and alias.shares(tables).count() == 0
+
+
+def test_shares_of_dyadic_weights_are_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, d, float(rng.integers(0, 20)) + 0.5) for s in range(30) for d in range(1, 5 + 3 * s)] + [(99, 1, 6.5), (99, 2, 249.5)]
+    total: dict[int, float] = {}
+    for s, _, w in rows:
+        total[s] = total.get(s, 0.0) + w
+    got = {(r.src, r.dst): r.share for r in alias.shares(alias.alias_tables(spark.createDataFrame(rows, "src long, dst long, w double"))).collect()}
+    assert got == {(s, d): w / total[s] for s, d, w in rows}
