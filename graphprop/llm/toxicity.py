@@ -3,15 +3,18 @@
 Voters are words of a fixed lexicon, words and word beginnings that labelled
 training rows single out, and patterns. Each voter fires on a document or not. The label model has a
 firing rate per voter and class (hence its accuracy), fitted by EM over counts
-of vote patterns of all documents; labelled training rows are clamped. Residual
-correlations of the voters given the class then shrink the weight of voters
-that repeat each other, and EM runs again. A logistic classifier is trained on
+of vote patterns of all documents; labelled training rows are clamped. Voters
+are correlated given the class: each may depend on one other, in the tree of
+dependencies with the largest conditional mutual information, and EM fits the
+tree's rates, so that a voter that repeats another one adds nothing. A
+logistic classifier is trained on the given labels and, where there is none,
 the posterior labels of all documents, by Newton steps whose sums are taken
 within partitions over the counted patterns, and scores every document.
 """
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,13 +46,16 @@ class Toxicity:
 
     A word or beginning becomes a voter if ``min_precision`` of its documents
     are toxic, and if its log-likelihood ratio is so large that fewer than
-    ``chance`` of all words would get there at random. The ``mined`` ones with
-    the largest ratios vote; the others still count where a longer or shorter
-    beginning of theirs does.
+    ``chance`` of all words would get there at random; where one is the
+    beginning of another, the one of larger ratio stands for both. The ``alone``
+    ones with the largest ratios are a voter each. All others vote too, in
+    ``bands`` voters of words of like ratio, so that the model's matrices do not
+    grow with the number of words.
     """
 
     labelled_rows: int = 20_000
-    mined: int = 128
+    alone: int = 128
+    bands: int = 8
     min_precision: float = 0.7
     chance: float = 0.05
     rounds: int = 12
@@ -117,8 +123,26 @@ def _word_support(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("length", "word").agg(F.min("text").alias("text"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+class _Nested:
+    """Words none of which begins another: says whether a further one is nested with any."""
+
+    def __init__(self, words: list[bytes]):
+        self.sorted: list[bytes] = []
+        for w in sorted(words, key=len):
+            self.add(w)
+
+    def add(self, word: bytes) -> bool:
+        """Take ``word`` in unless it begins a known word or a known word begins it."""
+        at = bisect.bisect_left(self.sorted, word)
+        after, before = self.sorted[at : at + 1], self.sorted[max(at - 1, 0) : at]
+        if (after and after[0].startswith(word)) or (before and word.startswith(before[0])):
+            return False
+        self.sorted.insert(at, word)
+        return True
+
+
 def _mined(labelled: DataFrame, cfg: Toxicity, scratch: Scratch) -> list[tuple[int, int]]:
-    """At most ``cfg.mined`` (length, hash) that training labels single out; of nested beginnings the best supported one."""
+    """All (length, hash) that training labels single out, the best supported first; of nested beginnings only the best one."""
     support = scratch.keep(_word_support(labelled), "support")
     size = support.agg(F.count(F.lit(1)).alias("keys")).crossJoin(labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))).first()  # one row each
     if not size["bad"] or size["bad"] == size["n"]:
@@ -127,27 +151,34 @@ def _mined(labelled: DataFrame, cfg: Toxicity, scratch: Scratch) -> list[tuple[i
     t, c = F.col("toxic"), F.col("clean")
     ratio = t * F.log(t / (t + c) / rate) + F.when(c > 0, c * F.log(c / (t + c) / (1 - rate))).otherwise(0.0)
     good = support.where((t > 0) & (t >= cfg.min_precision * (t + c))).withColumn("ratio", ratio).where(F.col("ratio") >= least)
-    known, taken, out = [w.encode() for w in LEXICON], [], []
-    for r in good.orderBy(F.desc("ratio"), F.length("text"), "text", "length").limit(cfg.mined * 100).collect():
-        text = bytes(r["text"])
-        if len(out) < cfg.mined and not any(text.startswith(x) or x.startswith(text) for x in known + taken):
-            taken.append(text)
-            out.append((r["length"], r["word"] & (2**64 - 1)))
-    return out
+    nested = _Nested([w.encode() for w in LEXICON])
+    # words of at most ``labelled_rows`` rows
+    best = good.orderBy(F.desc("ratio"), F.length("text"), "text", "length").collect()
+    return [(r["length"], r["word"] & (2**64 - 1)) for r in best if nested.add(bytes(r["text"]))]
+
 
+def _voters(mined: int, cfg: Toxicity) -> list[int]:
+    """Which voter each mined word is, from 0: its own, or that of its band."""
+    alone = min(mined, cfg.alone)
+    rest = mined - alone
+    bands = min(cfg.bands, rest)
+    return list(range(alone)) + [alone + k * bands // rest for k in range(rest)]
 
-def votes(docs: DataFrame, lexicon: list[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def votes(docs: DataFrame, lexicon: list[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text", voters: list[int] | None = None) -> DataFrame:
     """Per row: doc_id, the voters that fire as bits of ``fires``, and further features ``x``.
 
-    ``lexicon`` holds (length, hash) of words (0) and beginnings. ``x`` holds
-    small whole numbers, so that equal patterns can be counted.
+    ``lexicon`` holds (length, hash) of words (0) and beginnings, ``voters`` the
+    voter of each (by default its own). ``x`` holds small whole numbers, so that
+    equal patterns can be counted.
     """
-    n_lex = len(lexicon)
+    voter_of = np.arange(len(lexicon)) if voters is None else np.array(voters)
+    n_lex = int(voter_of.max()) + 1
     by_length = []
     for length in sorted({n for n, _ in lexicon}):
-        voter = np.array([k for k, (n, _) in enumerate(lexicon) if n == length])
-        key = np.array([lexicon[k][1] for k in voter], np.uint64)
-        by_length.append((length, np.sort(key), voter[np.argsort(key)]))
+        entry = np.array([k for k, (n, _) in enumerate(lexicon) if n == length])
+        key = np.array([lexicon[k][1] for k in entry], np.uint64)
+        by_length.append((length, np.sort(key), voter_of[entry[np.argsort(key)]]))
 
     def run(batches):
         for batch in batches:
@@ -188,15 +219,26 @@ def votes(docs: DataFrame, lexicon: list[tuple[int, int]], id_col: str = "doc_id
 
 @dataclass
 class LabelModel:
-    """Class prior, firing rates (voter, class) and voter weights."""
+    """Class prior, each voter's firing rate by class, and the voter it depends on (-1: none).
+
+    ``given[v, f, c]`` is the firing rate of voter v in class c where its parent
+    fires (f = 1) or not; without a parent both are ``rate[v, c]``.
+    """
 
     prior: float
     rate: np.ndarray
-    weight: np.ndarray
+    parent: np.ndarray
+    given: np.ndarray | None = None
+
+    def __post_init__(self):
+        if self.given is None:
+            self.given = np.repeat(self.rate[:, None, :], 2, 1)
 
     def posterior(self, fires: np.ndarray) -> np.ndarray:
-        odds = np.log(self.rate[:, 1] / self.rate[:, 0]), np.log((1 - self.rate[:, 1]) / (1 - self.rate[:, 0]))
-        z = np.log(self.prior / (1 - self.prior)) + (np.where(fires, odds[0], odds[1]) * self.weight).sum(1)
+        hit, miss = np.log(self.given[:, :, 1] / self.given[:, :, 0]), np.log((1 - self.given[:, :, 1]) / (1 - self.given[:, :, 0]))
+        above = fires[:, self.parent] & (self.parent >= 0)
+        odds = np.where(fires, np.where(above, hit[:, 1], hit[:, 0]), np.where(above, miss[:, 1], miss[:, 0]))
+        z = np.log(self.prior / (1 - self.prior)) + odds.sum(1)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -238,7 +280,7 @@ def _given(batch: pa.RecordBatch, fires: np.ndarray, model: LabelModel) -> np.nd
 
 def _moments(patterns: DataFrame, model: LabelModel) -> np.ndarray:
     """Posterior-weighted sums of ``f f'`` for both classes, over all patterns, with a constant voter in front."""
-    n = len(model.weight)
+    n = len(model.parent)
 
     def run(batch):
         fires = _bits(batch.column("fires"), n)
@@ -250,35 +292,80 @@ def _moments(patterns: DataFrame, model: LabelModel) -> np.ndarray:
     return (total if len(total) else np.zeros(2 * (n + 1) ** 2)).reshape(2, n + 1, n + 1)
 
 
+def _rates(m: np.ndarray, parent: np.ndarray) -> LabelModel:
+    """The model that the moments of both classes give; a parent's cell counts one more row of its voter's own rate."""
+    size, fired, v = m[:, 0, 0], m[:, 0, 1:], np.arange(len(parent))
+    rate = np.clip(((fired + 0.5) / (size[:, None] + 1)).T, 1e-6, 1 - 1e-6)
+    both, above = m[:, 1 + v, 1 + parent], m[:, 0, 1 + parent]
+    given = np.stack([(fired - both + rate.T) / (size[:, None] - above + 1), (both + rate.T) / (above + 1)]).transpose(2, 0, 1)
+    given = np.where((parent >= 0)[:, None, None], np.clip(given, 1e-6, 1 - 1e-6), rate[:, None, :])
+    return LabelModel(float(np.clip((size[1] + 1) / (size.sum() + 2), 1e-4, 0.5)), rate, parent, given)
+
+
+def information(m: np.ndarray) -> np.ndarray:
+    """Rows times the mutual information of each two voters given the class, from the moments of both classes."""
+    total = np.zeros((m.shape[1] - 1,) * 2)
+    for c in (0, 1):
+        n, one = m[c, 0, 0], m[c, 0, 1:]
+        if n <= 0:
+            continue
+        on = m[c, 1:, 1:]
+        a, b = one[:, None], one[None]
+        for cell, x, y in ((on, a, b), (a - on, a, n - b), (b - on, n - a, b), (n - a - b + on, n - a, n - b)):
+            # sums of many parts may leave an empty cell a little off zero
+            some = (cell > 1e-9) & (x > 1e-9) & (y > 1e-9)
+            total += np.where(some, cell * np.log(np.where(some, cell * n / np.where(some, x * y, 1), 1)), 0)
+    np.fill_diagonal(total, 0)
+    return total
+
+
+def dependencies(m: np.ndarray, chance: float) -> np.ndarray:
+    """Each voter's parent in the spanning forest of largest information, or -1.
+
+    A link needs so much information that among independent voters one of all
+    links would reach it by ``chance``: twice the information has the tail
+    exp(-x / 2) there, of two degrees of freedom.
+    """
+    gain = information(m)
+    n = len(gain)
+    least = np.log(max(n * (n - 1) / 2, 1) / chance)
+    parent, best, reach, left = np.full(n, -1), np.full(n, -1), np.zeros(n), np.ones(n, bool)
+    for _ in range(n):
+        v = int(np.argmax(np.where(left, reach, -1)))
+        left[v] = False
+        parent[v] = best[v]
+        nearer = left & (gain[v] >= least) & (gain[v] > reach)
+        best[nearer], reach[nearer] = v, gain[v][nearer]
+    return parent
+
+
 def fit_label_model(patterns: DataFrame, n_voters: int, cfg: Toxicity) -> LabelModel:
-    """EM over (fires, label or null, count) rows; then correlations, weights and EM again."""
-    rate = np.tile([0.005, 0.3], (n_voters, 1))
-    model = LabelModel(0.1, rate, np.ones(n_voters))
-    for step in range(2):
-        for _ in range(cfg.rounds // 2):
-            m = _moments(patterns, model)
-            size = m[:, 0, 0]
-            new = LabelModel(float(np.clip((size[1] + 1) / (size.sum() + 2), 1e-4, 0.5)), np.clip(((m[:, 0, 1:] + 0.5) / (size[:, None] + 1)).T, 1e-6, 1 - 1e-6), model.weight)
-            moved = np.abs(new.rate - model.rate).max() + abs(new.prior - model.prior)
-            model = new
-            if moved < 1e-4:
-                break
-        if step == 0:
-            m = _moments(patterns, model)
-            corr = np.zeros((n_voters, n_voters))
-            for c in (0, 1):
-                mean = m[c, 0, 1:] / max(m[c, 0, 0], 1e-9)
-                cov = m[c, 1:, 1:] / max(m[c, 0, 0], 1e-9) - np.outer(mean, mean)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-                corr = np.maximum(corr, np.clip(cov / np.outer(sd, sd), 0, 1) * (m[c, 0, 0] > 30))
-            np.fill_diagonal(corr, 0)
-            model.weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
+    """EM over (fires, label or null, count) rows with voters that depend on each other.
+
+    The tree of dependencies and the first rates come from the labelled rows, in
+    which no posterior has counted a repeated voter twice yet. Without labels of
+    both classes EM starts with independent voters that speak for toxicity, and
+    the tree comes from its posteriors after half of the rounds.
+    """
+    model = LabelModel(0.1, np.tile([0.005, 0.3], (n_voters, 1)), np.full(n_voters, -1))
+    m = _moments(patterns.where(F.col("given").isNotNull()), model)
+    known = bool((m[:, 0, 0] > 0).all())
+    if known:
+        model = _rates(m, dependencies(m, cfg.chance))
+    for k in range(cfg.rounds):
+        m = _moments(patterns, model)
+        turn = not known and k == cfg.rounds // 2
+        new = _rates(m, dependencies(m, cfg.chance) if turn else model.parent)
+        moved = np.abs(new.given - model.given).max() + abs(new.prior - model.prior)
+        model = new
+        if moved < 1e-4 and (known or k >= cfg.rounds // 2):
+            break
     return model
 
 
 def fit_classifier(patterns: DataFrame, model: LabelModel, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights (constant first) of a ridge logistic regression on the labels and posteriors of (fires, x, given, n) rows, by Newton steps."""
-    n_voters = len(model.weight)
+    n_voters = len(model.parent)
     d = n_voters + 5
     w = np.zeros(d)
     penalty = np.full(d, ridge)
@@ -322,8 +409,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, cfg: Toxicity = Toxicity(), id_
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     mined = _mined(scratch.keep(base.join(some, "doc_id").select("text", "toxic"), "labelled"), cfg, scratch)
     lexicon = [(0, _hash_of(w)) for w in LEXICON] + mined
-    n_voters = len(lexicon) + len(PATTERNS)
-    table = scratch.keep(votes(base, lexicon), "votes")
+    voters = list(range(len(LEXICON))) + [len(LEXICON) + k for k in _voters(len(mined), cfg)]
+    n_voters = max(voters) + 1 + len(PATTERNS)
+    table = scratch.keep(votes(base, lexicon, voters=voters), "votes")
     given = table.join(y, "doc_id", "left").groupBy("fires", "x", F.col("toxic").cast("double").alias("given")).agg(F.count(F.lit(1)).alias("n"))
     seen = scratch.keep(given, "features")
     patterns = scratch.keep(seen.groupBy("fires", "given").agg(F.sum("n").alias("n")), "patterns")

@@ -69,20 +69,81 @@ def test_fourier_features_approximate_the_kernel():
     assert np.abs(z @ z.T - np.exp(-d / 8)).max() < 0.05
 
 
-def packed_votes(spark, fires):
-    rows = [(np.packbits(f).tobytes(), None, 1) for f in fires]
+def packed_votes(spark, fires, given):
+    rows = [(np.packbits(f).tobytes(), g, 1) for f, g in zip(fires, given, strict=True)]
     return spark.createDataFrame(rows, "fires binary, given double, n long").groupBy("fires", "given").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
 
 
-def test_label_model_weighs_down_repeated_voters(spark):
+def test_a_repeated_voter_adds_nothing(spark):
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
     fires = np.stack([rng.random(4000) < np.where(y, hit, false) for hit, false in [(0.6, 0.05), (0.6, 0.05), (0.5, 0.1)]], 1)
-    fires = np.concatenate([fires, fires[:, 2:]], 1)  # the last voter repeats the third
-    model = t.fit_label_model(packed_votes(spark, fires), 4, t.Toxicity())
-    assert (model.weight[2:] < model.weight[:2].min()).all()
-    p = model.posterior(fires)
+    given = [float(v) if k % 10 == 0 else None for k, v in enumerate(y)]
+    once = t.fit_label_model(packed_votes(spark, fires, given), 3, t.Toxicity())
+    twice = np.concatenate([fires, fires[:, 2:], fires[:, 2:]], 1)  # the last voters repeat the third
+    model = t.fit_label_model(packed_votes(spark, twice, given), 5, t.Toxicity())
+    assert (once.parent == -1).all() and (model.parent[:2] == -1).all() and (model.parent[2:] >= 2).sum() == 2
+    p, q = once.posterior(fires), model.posterior(twice)
     assert p[y].mean() > p[~y].mean() + 0.3
+    assert np.abs(p - q).max() < 0.05
+    alike = t.LabelModel(model.prior, model.rate, np.full(5, -1))
+    assert np.abs(p - alike.posterior(twice)).max() > 0.2
+    # without labels EM starts from what voters are for
+    blind = t.fit_label_model(packed_votes(spark, fires, [None] * 4000), 3, t.Toxicity()).posterior(fires)
+    assert blind[y].mean() > blind[~y].mean() + 0.3
+
+
+def test_posterior_and_rates_equal_enumeration():
+    rng = np.random.default_rng(2)
+    n, parent = 4, np.array([-1, 0, 1, 0])
+    every = (np.arange(2**n)[:, None] >> np.arange(n)) % 2 > 0
+    given = rng.uniform(0.05, 0.95, (n, 2, 2))
+    given[0, 1] = given[0, 0]
+    rate = np.zeros((n, 2))
+    model = t.LabelModel(0.3, rate, parent, given)
+    joint = np.array([[np.prod([(g if f[v] else 1 - g) for v in range(n) for g in [given[v, int(parent[v] >= 0 and f[parent[v]]), c]]]) for c in (0, 1)] for f in every])
+    assert np.allclose(joint.sum(0), 1)
+    want = 0.3 * joint[:, 1] / (0.3 * joint[:, 1] + 0.7 * joint[:, 0])
+    assert np.allclose(model.posterior(every), want)
+    # the moments of many rows of that law give the law and its tree back
+    f = np.concatenate([np.ones((2**n, 1)), every], 1)
+    m = np.stack([f.T @ (f * (1e7 * p * joint[:, c])[:, None]) for c, p in ((0, 0.7), (1, 0.3))])
+    back = t._rates(m, parent)
+    assert np.abs(back.given - given).max() < 1e-5 and abs(back.prior - 0.3) < 1e-5
+    found = t.dependencies(m, 0.05)
+    assert {frozenset((v, p)) for v, p in enumerate(found) if p >= 0} == {frozenset((v, p)) for v, p in enumerate(parent) if p >= 0}
+    mutual = sum(
+        1e7 * p * sum(q * np.log(q / (a * b)) for x in (0, 1) for y in (0, 1) for q in [joint[(every[:, 1] == x) & (every[:, 3] == y), c].sum()] for a in [joint[every[:, 1] == x, c].sum()] for b in [joint[every[:, 3] == y, c].sum()])
+        for c, p in ((0, 0.7), (1, 0.3))
+    )
+    assert abs(t.information(m)[1, 3] - mutual) < 1e-3
+
+
+def test_every_word_that_labels_single_out_votes(spark):
+    import pyspark.sql.functions as F
+
+    words = ["vb" + "".join(chr(97 + k // 26**j % 26) for j in (2, 1, 0)) + "q" for k in range(40)]
+    names = [w[2:5][::-1] + w for w in words]  # no two share a beginning of three letters
+    texts = [" ".join([f"calm{k % 7} talk"] + ([names[k // 2 % 40]] if k % 2 else [])) for k in range(3200)]
+    rows = [(k, text, k % 2) for k, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    cfg = t.Toxicity(alone=5, bands=3)
+    mined = t._mined(docs.select("text", "toxic"), cfg, t.Scratch(spark))
+    assert len(mined) == 40
+    assert t._voters(40, cfg) == [0, 1, 2, 3, 4] + [5] * 12 + [6] * 12 + [7] * 11 and t._voters(3, cfg) == [0, 1, 2] and t._voters(0, cfg) == []
+    out = {r.doc_id: r.predicted for r in t.toxicity(docs.select("doc_id", "text"), docs.select("doc_id", F.col("toxic")), cfg).collect()}
+    assert out == {k: y for k, _, y in rows}
+
+
+def test_nested_words_are_found_as_by_comparing_all():
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 100, rng.integers(1, 6))) for _ in range(400)]
+    known = [b"abc", b"abcb", b"ccc"]
+    nested, plain = t._Nested(known), list(known)
+    for w in words:
+        fits = not any(w.startswith(x) or x.startswith(w) for x in plain)
+        assert nested.add(w) == fits
+        plain += [w] * fits
 
 
 def brute_votes(text, lexicon):
@@ -125,7 +186,7 @@ def test_classifier_equals_a_local_fit(spark):
     x = rng.integers(0, 6, (600, 4))
     rows = [(np.packbits(f).tobytes(), [int(v) for v in a], float(b), 2) for f, a, b in zip(fires, x, y, strict=True)]
     table = spark.createDataFrame(rows, "fires binary, x array<smallint>, given double, n long").repartition(5)
-    w = t.fit_classifier(table, t.LabelModel(0.1, np.full((3, 2), 0.5), np.ones(3)))
+    w = t.fit_classifier(table, t.LabelModel(0.1, np.full((3, 2), 0.5), np.full(3, -1)))
     f = np.concatenate([np.ones((600, 1)), fires, np.log1p(x[:, :2]), x[:, 2:3] / 4, x[:, 3:] / 32], 1)
     p = 1 / (1 + np.exp(-(f @ w)))
     slope = 2 * f.T @ (y - p) - np.r_[1e-6, np.ones(len(w) - 1)] * w
