@@ -46,8 +46,9 @@ class Toxicity:
 
     A word or beginning becomes a voter if ``min_precision`` of its documents
     are toxic, and if its log-likelihood ratio is so large that fewer than
-    ``chance`` of all words would get there at random; where one is the
-    beginning of another, the one of larger ratio stands for both. The ``alone``
+    ``chance`` of all words would get there at random, both by documents and by
+    different surroundings of the word, for copies of a document are no further
+    evidence. Where one is the beginning of another, the one of larger ratio stands for both. The ``alone``
     ones with the largest ratios are a voter each. All others vote too, in
     ``bands`` voters of words of like ratio, so that the model's matrices do not
     grow with the number of words.
@@ -141,6 +142,41 @@ class _Nested:
         return True
 
 
+def _contexts(labelled: DataFrame, keys: list[tuple[int, int]]) -> DataFrame:
+    """(length, word, toxic, clean) of ``keys``: in how many surroundings the word stands in documents of each class.
+
+    A document's surroundings of a word are the words before and after its first
+    place there. Copies of a document have the same ones and count once; near
+    copies count once more for each change right beside the word.
+    """
+    by_length = [(length, np.sort(np.array([h for n, h in keys if n == length], np.uint64))) for length in sorted({n for n, _ in keys})]
+
+    def run(batches):
+        for batch in batches:
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, _, raw, _, starts, ends, of, whole in _letters(batch.column(0)):
+                low, row = tx.folded(raw), np.repeat(np.arange(len(of) - 1), np.diff(of))
+                same = row[1:] == row[:-1]
+                before, after = np.zeros(len(whole), np.uint64), np.zeros(len(whole), np.uint64)
+                before[1:][same], after[:-1][same] = whole[:-1][same], whole[1:][same]
+                around = before * np.uint64(0x9E3779B97F4A7C15) + after
+                for length, known in by_length:
+                    place, h = _beginnings(low, starts, ends, length) if length else (np.arange(len(whole)), whole)
+                    found = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                    place, h = place[found], h[found]
+                    order = np.lexsort((place, h, row[place]))
+                    new = np.ones(len(order), bool)
+                    new[1:] = (h[order][1:] != h[order][:-1]) | (row[place][order][1:] != row[place][order][:-1])
+                    place, h = place[order][new], h[order][new]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(h), length, np.int32)), pa.array(h.view(np.int64)), pa.array(around[place].view(np.int64)), pa.array(y[lo + row[place]] == 1)],
+                        ["length", "word", "around", "bad"],
+                    )
+
+    each = labelled.select("text", "toxic").mapInArrow(run, "length int, word long, around long, bad boolean").distinct()
+    return each.groupBy("length", "word").agg(F.count_if("bad").alias("toxic"), F.count_if(~F.col("bad")).alias("clean"))
+
+
 def _mined(labelled: DataFrame, cfg: Toxicity, scratch: Scratch) -> list[tuple[int, int]]:
     """All (length, hash) that training labels single out, the best supported first; of nested beginnings only the best one."""
     support = scratch.keep(_word_support(labelled), "support")
@@ -150,11 +186,18 @@ def _mined(labelled: DataFrame, cfg: Toxicity, scratch: Scratch) -> list[tuple[i
     least, rate = float(np.log(max(size["keys"], 1) / cfg.chance)), size["bad"] / size["n"]
     t, c = F.col("toxic"), F.col("clean")
     ratio = t * F.log(t / (t + c) / rate) + F.when(c > 0, c * F.log(c / (t + c) / (1 - rate))).otherwise(0.0)
-    good = support.where((t > 0) & (t >= cfg.min_precision * (t + c))).withColumn("ratio", ratio).where(F.col("ratio") >= least)
-    nested = _Nested([w.encode() for w in LEXICON])
+
+    def singled_out(counts: DataFrame) -> DataFrame:
+        return counts.where((t > 0) & (t >= cfg.min_precision * (t + c))).withColumn("ratio", ratio).where(F.col("ratio") >= least)
+
     # words of at most ``labelled_rows`` rows
-    best = good.orderBy(F.desc("ratio"), F.length("text"), "text", "length").collect()
-    return [(r["length"], r["word"] & (2**64 - 1)) for r in best if nested.add(bytes(r["text"]))]
+    by_rows = {(r["length"], r["word"] & (2**64 - 1)): bytes(r["text"]) for r in singled_out(support).select("length", "word", "text").collect()}
+    if not by_rows:
+        return []
+    best = [((r["length"], r["word"] & (2**64 - 1)), r["ratio"]) for r in singled_out(_contexts(labelled, list(by_rows))).collect()]
+    best.sort(key=lambda r: (-r[1], len(by_rows[r[0]]), by_rows[r[0]], r[0][0]))
+    nested = _Nested([w.encode() for w in LEXICON])
+    return [key for key, _ in best if nested.add(by_rows[key])]
 
 
 def _voters(mined: int, cfg: Toxicity) -> list[int]:

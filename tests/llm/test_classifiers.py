@@ -124,7 +124,8 @@ def test_every_word_that_labels_single_out_votes(spark):
 
     words = ["vb" + "".join(chr(97 + k // 26**j % 26) for j in (2, 1, 0)) + "q" for k in range(40)]
     names = [w[2:5][::-1] + w for w in words]  # no two share a beginning of three letters
-    texts = [" ".join([f"calm{k % 7} talk"] + ([names[k // 2 % 40]] if k % 2 else [])) for k in range(3200)]
+    calm = lambda k: "calm" + "".join(chr(97 + k // 26**j % 26) for j in (2, 1, 0))
+    texts = [" ".join([calm(k), "talk"] + ([names[k // 2 % 40], calm(k * 3 % 3200)] if k % 2 else [])) for k in range(3200)]
     rows = [(k, text, k % 2) for k, text in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     cfg = t.Toxicity(alone=5, bands=3)
@@ -135,6 +136,20 @@ def test_every_word_that_labels_single_out_votes(spark):
     assert out == {k: y for k, _, y in rows}
 
 
+def test_copies_are_no_further_evidence(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, 7))
+    vocabulary = [word() for _ in range(400)]
+    plain = lambda n: list(rng.choice(vocabulary, n))
+    copied = [word() for _ in range(30)]
+    near = [" ".join(w if rng.random() > 0.01 else word() for w in copied) for _ in range(60)]
+    toxic = [" ".join([*plain(6), "qqvillain", *plain(6)]) for _ in range(120)]
+    rows = [(x, 1) for x in near + toxic] + [(" ".join(plain(14)), 0) for _ in range(900)]
+    found = t._mined(spark.createDataFrame(rows, "text string, toxic int"), t.Toxicity(), t.Scratch(spark))
+    heads = {(n, t._hash_of("qqvillain"[:n] if n else "qqvillain")) for n in t._LENGTHS}
+    assert len(found) == 1 and set(found) <= heads
+
+
 def test_nested_words_are_found_as_by_comparing_all():
     rng = np.random.default_rng(5)
     words = [bytes(rng.integers(97, 100, rng.integers(1, 6))) for _ in range(400)]
