@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 from graphprop.operators.etl import add_self_loops, csr, numbered, positions
 
 
+def edge_lines(lines: DataFrame) -> DataFrame:
+    """(src, dst) of lines (value) of a table or stream; empty lines are skipped."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return lines.where(F.trim("value") != "").select(F.get(parts, F.lit(0)).cast("long").alias("src"), F.get(parts, F.lit(1)).cast("long").alias("dst"))
+
+
 def text_edges(spark: SparkSession, path: str) -> DataFrame:
     """``src dst`` separated by blanks, as (src, dst); repeated lines stay."""
-    parts = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.trim("value") != "").select(F.get(parts, F.lit(0)).cast("long").alias("src"), F.get(parts, F.lit(1)).cast("long").alias("dst"))
+    return edge_lines(spark.read.text(path))
 
 
 def commented_edges(spark: SparkSession, path: str) -> DataFrame:

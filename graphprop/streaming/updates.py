@@ -14,17 +14,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from graphprop.operators.dynamic import Graph
 from graphprop.session import Params
+from graphprop.sources.files import edge_lines
 
 UPDATE_SCHEMA = "seq long, src long, dst long"
 
 
 @dataclass
 class StateStore:
-    """Versions of (edges, state) under ``path``; features do not change."""
+    """Versions of (edges, state) under ``path``; features do not change.
+
+    The last ``versions`` ones stay, at least two, for a replayed batch reads the
+    one before. Those before them are deleted once a newer one is complete.
+    """
 
     spark: SparkSession
     path: str
     features: DataFrame
+    versions: int = 3
+
+    def __post_init__(self):
+        if self.versions < 2:
+            raise ValueError("at least 2 versions have to stay")
 
     def _fs(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -42,6 +52,12 @@ class StateStore:
         state.write.mode("overwrite").parquet(f"{self.path}/state/{version}")
         fs, mark = self._fs(f"done/{version}")
         fs.mkdirs(mark)
+        _, root = self._fs("done")
+        for old in sorted(int(s.getPath().getName()) for s in fs.listStatus(root)):
+            if old <= version - self.versions:
+                # the mark goes last, so that what a failure leaves is deleted after the next batch
+                for name in (f"edges/{old}", f"state/{old}", f"done/{old}"):
+                    fs.delete(self._fs(name)[1], True)
 
     def load(self, version: int | None = None) -> Graph:
         v = self.version() if version is None else version
@@ -59,8 +75,12 @@ def apply_batch(store: StateStore, updates: DataFrame, batch_id: int, params: Pa
     return True
 
 
-def follow(spark: SparkSession, source: str, store: StateStore, checkpoint: str, params: Params = Params(), files_per_batch: int = 1, once: bool = True) -> StreamingQuery:
-    """Follow a folder of Parquet update files; with ``once`` until all that is there is applied."""
-    stream = spark.readStream.schema(UPDATE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+def follow(spark: SparkSession, source: str, store: StateStore, checkpoint: str, params: Params = Params(), files_per_batch: int = 1, once: bool = True, text: bool = False) -> StreamingQuery:
+    """Follow a folder of Parquet update files, or with ``text`` of files of ``src dst`` lines; with ``once`` until all that is there is applied.
+
+    A text file is taken in when it first is seen, so it has to be moved to the folder whole.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    stream = edge_lines(reader.text(source)) if text else reader.schema(UPDATE_SCHEMA).parquet(source)
     writer = stream.writeStream.foreachBatch(lambda df, k: apply_batch(store, df, k, params) and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

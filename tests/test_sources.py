@@ -115,3 +115,24 @@ def test_stream_equals_batches_and_replays_once(spark, tmp_path):
     assert propagate.invariant_error(g.state, x, g.edges, 0.7).first().error < 1e-10
     assert etl.degree(g.edges).where("node = 0").first().deg == 3
     assert not apply_batch(store, e, 0, p)
+
+
+def test_stream_of_text_files_keeps_the_last_versions(spark, tmp_path):
+    n = 8
+    e = spark.createDataFrame([(a, b) for a in range(n) for b in range(n) if a == b or abs(a - b) == 1], "src long, dst long")
+    x = spark.createDataFrame([(k, 0, float(k % 3)) for k in range(n)], "node long, dim int, x double")
+    p = Params(rmax=1e-3, alpha=0.7)
+    store = StateStore(spark, f"{tmp_path}/store", x, versions=2)
+    store.save(0, e, propagate.initial_operation(x, e, p))
+    (tmp_path / "in").mkdir()
+    for k, text in enumerate(["0 5\n\n5 0\n", "  2\t7 \n7 2\n", "0 5\n5 0\n"]):
+        (tmp_path / "in" / f"{k}.txt").write_text(text)
+    assert follow(spark, f"{tmp_path}/in", store, f"{tmp_path}/check", p, text=True).awaitTermination(300)
+    g = store.load()
+    assert set(rows(g.edges.select("src", "dst"))) == set(rows(e)) | {(2, 7), (7, 2)}
+    assert propagate.invariant_error(g.state, x, g.edges, 0.7).first().error < 1e-10
+    for folder in ("edges", "state", "done"):
+        assert {q.name for q in (tmp_path / "store" / folder).iterdir() if q.name[0] not in "._"} == {"2", "3"}
+    assert not apply_batch(store, e, 2, p)
+    with pytest.raises(ValueError):
+        StateStore(spark, "x", x, versions=1)
