@@ -9,7 +9,8 @@ are the least work with which queries of the sample find ``target`` of their
 exact neighbours: vectors with structure need few leaves, vectors without any
 most of them. Leaf by leaf, queries and vectors meet in one group that keeps
 each query's best by the exact inner product; groups are salted where a leaf
-outgrows ``group_rows``. Equal vectors are searched once.
+outgrows ``group_rows``, and dealt in turns where there are more queries than
+``group_queries``. Equal vectors are searched once.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ class Forest:
     top: int = 20
     query_every: int = 20
     group_rows: int = 20_000
+    group_queries: int = 100_000
     seed: int = 11
 
 
@@ -164,6 +166,24 @@ def _exact(a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 _FILED = "leaf int, salt int, c long, first long, least double, vec binary"
 
+#: Rows that ``_file`` places and gives to Spark at once: a query takes a good part of all leaves, and its vector goes to each.
+SLICE = 16_384
+
+
+def _slices(x: np.ndarray, ids: np.ndarray, place, size: int = SLICE):
+    """(row, leaf, salt, least) of ``place(vector matrix, ids)``, a piece of the matrix after the other and at most ``size`` rows at once.
+
+    A piece has as many vectors as the one before lets expect to fill a slice.
+    """
+    lo, step = 0, 1
+    while lo < len(x):
+        row, leaf, salt, least = place(x[lo : lo + step], ids[lo : lo + step])
+        for at in range(0, len(row), size):
+            own = row[at : at + size]
+            yield lo + own, leaf[at : at + size], salt[at : at + size], least[own]
+        lo += step
+        step = max(1, min(2 * step, size * step // max(len(row), 1)))
+
 
 def _file(table: DataFrame, place) -> DataFrame:
     """Rows (leaf, salt, c, first, least, vec) for each row, leaf and salt that ``place(vector matrix, ids)`` names."""
@@ -173,10 +193,10 @@ def _file(table: DataFrame, place) -> DataFrame:
             if not len(batch):
                 continue
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            row, leaf, salt, least = place(x, batch.column(0).to_numpy())
-            at = pa.array(row)
             vec = pa.array([v.tobytes() for v in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(salt, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(least[row]), vec.take(at)], ["leaf", "salt", "c", "first", "least", "vec"])
+            for row, leaf, salt, least in _slices(x, batch.column(0).to_numpy(), place):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(salt, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(least), vec.take(at)], ["leaf", "salt", "c", "first", "least", "vec"])
 
     return table.select("c", "first", "vec").mapInArrow(run, _FILED)
 
@@ -240,12 +260,14 @@ def nearest(embeddings: DataFrame, cfg: Forest = Forest(), id_col: str = "vec_id
     scale = n / len(points)
     salts = np.maximum(1, np.ceil(trees.size * scale / cfg.group_rows)).astype(int)
     n_trees, wanted = tuned(trees, points, n, cfg)
+    turns = max(1, -(-table.where("asks = 1").count() // cfg.group_queries))
 
     k = cfg.top + 1  # a query's own vector may be among them
 
     def by_tree(x: np.ndarray, ids: np.ndarray):
         leaf = np.concatenate([trees.leaves(x, t) for t in range(n_trees)])
-        return np.tile(np.arange(len(x)), n_trees), leaf, np.tile(ids, n_trees) % salts[leaf], np.zeros(len(x))
+        salt = np.tile(ids, n_trees) % salts[leaf] * turns
+        return np.tile(np.arange(len(x)), n_trees * turns), np.tile(leaf, turns), np.concatenate([salt + t for t in range(turns)]), np.zeros(len(x))
 
     filed_points = np.stack([trees.leaves(points, t) for t in range(n_trees)], 1)
 
@@ -265,7 +287,8 @@ def nearest(embeddings: DataFrame, cfg: Forest = Forest(), id_col: str = "vec_id
         row, leaf = np.concatenate(row), np.concatenate(leaf)
         times = salts[leaf]
         salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        return np.repeat(row, times), np.repeat(leaf, times), salt, least
+        row = np.repeat(row, times)
+        return row, np.repeat(leaf, times), salt * turns + ids[row] % turns, least
 
     met = _met(_file(table.where("asks = 1"), by_queue), _file(table, by_tree), k)
     merged = met.groupBy("q", "c", "first").agg(F.max("score").alias("score"))

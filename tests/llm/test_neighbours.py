@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from graphprop.llm.neighbours import Forest, grow, nearest, tuned
+from graphprop.llm.neighbours import Forest, _slices, grow, nearest, tuned
 
 SCHEMA = "vec_id long, embedding array<float>, c long, vec string, label int"
 
@@ -100,3 +100,28 @@ def test_queue_visits_the_own_leaf_first():
     for q in x[:20]:
         own = {int(trees.leaves(q[None], t)[0]) for t in range(4)}
         assert own <= set(trees.search(q, 200)) and len(trees.search(q, 1)) == 1
+
+
+def test_queries_are_filed_in_slices():
+    asked = []
+
+    def place(x, ids):
+        asked.append(len(x))
+        row, leaf = np.repeat(np.arange(len(x)), 700), np.tile(np.arange(700), len(x))
+        return row, leaf, ids[row] % 3, -x[:, 0]
+
+    x, ids = np.arange(300.0).reshape(300, 1), np.arange(300) + 7
+    pieces = list(_slices(x, ids, place, 2000))
+    assert max(len(p[0]) for p in pieces) <= 2000 and max(asked) * 700 <= 2000
+    for got_, want in zip((np.concatenate(c) for c in zip(*pieces, strict=True)), (np.repeat(np.arange(300), 700), np.tile(np.arange(700), 300), np.repeat(ids % 3, 700), np.repeat(-x[:, 0], 700)), strict=True):
+        assert (got_ == want).all()
+    few = list(_slices(x[:2], ids, place, 500))
+    assert [len(p[0]) for p in few] == [500, 200, 500, 200]
+
+
+def test_more_queries_than_a_group_takes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(400)]
+    cfg = Forest(target=1.0, leaf_rows=40, group_queries=6, group_rows=15)
+    whole, dealt = got(nearest(table(spark, rows), Forest(target=1.0, leaf_rows=40))), got(nearest(table(spark, rows), cfg))
+    assert dealt == whole
