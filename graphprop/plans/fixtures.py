@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphprop.operators import etl, features
-from graphprop.tables import Scratch
+from graphprop.tables import Scratch, dealt, tasks
 
 ALPHA = 0.1
 FIRST_UPDATE = 1999
@@ -29,10 +29,13 @@ class Fixture:
 
     def pairs(self) -> DataFrame:
         """(src, dst, y) with src < dst: pairs of parts and the year of their first common order."""
-        ol = self.table("lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-        year = self.table("orders").select(F.col("o_orderkey").alias("o"), F.year("o_orderdate").cast("long").alias("y"))
+        line = self.table("lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
+        n = tasks(line)
+        ol = dealt(line, n, "o").distinct()
+        year = dealt(self.table("orders").select(F.col("o_orderkey").alias("o"), F.year("o_orderdate").cast("long").alias("y")), n, "o")
         a, b = ol.select("o", F.col("p").alias("src")), ol.select("o", F.col("p").alias("dst"))
-        return a.join(b, "o").where("src < dst").join(year, "o").groupBy("src", "dst").agg(F.min("y").alias("y"))
+        joined = a.join(b, "o").where("src < dst").join(year if n is None else year.hint("merge"), "o")
+        return dealt(joined.select("src", "dst", "y"), n, "src", "dst").groupBy("src", "dst").agg(F.min("y").alias("y"))
 
     def kept_pairs(self) -> DataFrame:
         """``pairs``, written once: for queries that read them many times."""

@@ -30,6 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+#: Rows for which a task is meant where ``tasks`` names their number.
+TASK_ROWS = 400_000
+
+
+def tasks(df: DataFrame, task_rows: int = TASK_ROWS) -> int | None:
+    """How many tasks to deal ``df`` over, so that one task's share does not grow with it; None where the session's partitions will do.
+
+    Counting a table of files reads their footers only. Of rows that pack well
+    the planner makes tasks by bytes, far too few for what a join gives of them.
+    """
+    rows = df.count()
+    return None if rows <= task_rows else max(-(-rows // task_rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """``df`` over ``n`` tasks by its keys; as it is where ``n`` is None."""
+    return df if n is None else df.repartition(n, *keys)
+
+
 class Scratch:
     """A folder of intermediate tables in the shared folder; Hadoop deletes it when the driver's JVM ends."""
 
