@@ -2,18 +2,20 @@
 
 A state is (node, dim, pi, r); any push order keeps
 ``pi + alpha r = alpha x + (1-alpha) P pi``. Rounds are synchronous: all rows
-over the threshold are pushed at once. Fixed-depth forms are one lazy plan;
-loops to a tolerance write what each round changes.
+over the threshold are pushed at once. Fixed-depth forms write a row for each
+node and round; loops to a tolerance write what each round changes.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from graphprop.operators.etl import degree
+from graphprop.operators.etl import chunked, degree
 from graphprop.operators.features import column_sums
 from graphprop.session import Params
 from graphprop.tables import Scratch
@@ -47,8 +49,10 @@ def initial_state(features: DataFrame) -> DataFrame:
     return features.select("node", "dim", F.lit(0.0).alias("pi"), F.col("x").cast("double").alias("r"))
 
 
-def push_all(state: DataFrame, w: DataFrame, alpha: float, rounds: int) -> DataFrame:
+def push_all(state: DataFrame, w: DataFrame | Adjacency, alpha: float, rounds: int) -> DataFrame:
     """``rounds`` rounds that push every row: the series cut after that many terms, and its residual."""
+    if isinstance(w, Adjacency):
+        return _push_wide(state, w, alpha, rounds)
     for _ in range(rounds):
         moved = step(state.select("node", "dim", F.col("r").alias("m")), w, "m")
         state = state.join(moved, ["node", "dim"], "full").select(
@@ -57,15 +61,108 @@ def push_all(state: DataFrame, w: DataFrame, alpha: float, rounds: int) -> DataF
     return state
 
 
+#: Neighbours in one row of an adjacency, nodes of adjacent ids that are dealt together, and dimensions in one row of a wide state.
+ROW, REGION, WIDTH = 1024, 4096, 16
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """A graph's neighbours in chunks (src, chunk, deg, dsts), written once: the weights follow from the degrees.
+
+    Forward weights are 1/sqrt(deg_src deg_dst), ``reverse`` ones 1/deg_dst.
+    """
+
+    near: DataFrame
+    reverse: bool = False
+
+    def gives(self, r: Column) -> Column:
+        return r if self.reverse else r / F.sqrt(F.col("deg").cast("double"))
+
+    def gets(self, m: Column) -> Column:
+        deg = F.col("deg").cast("double")
+        return F.when(F.col("deg").isNotNull(), m / (deg if self.reverse else F.sqrt(deg)))
+
+
+def adjacency(edges: DataFrame, reverse: bool = False) -> Adjacency:
+    near = chunked(edges, ROW).select("src", "chunk", "deg", "dsts")
+    return Adjacency(Scratch(edges.sparkSession).keep(near, "near"), reverse)
+
+
+class _Wide:
+    """Rows (node, dim, values...) as one row for a node and up to ``WIDTH`` dimensions, each value a column for each dimension.
+
+    A null stands for a row that is not there. Every node of the graph has its
+    row, with its degree. A multiplication moves one row for each edge at most,
+    whatever the number of dimensions, and nodes of adjacent ids give together,
+    so that what they give to one node is summed before it is moved.
+    """
+
+    def __init__(self, rows: DataFrame, values: list[str], adj: Adjacency):
+        spark = rows.sparkSession
+        self.adj, self.scratch = adj, Scratch(spark)
+        rows = self.scratch.keep(rows.select("node", "dim", *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values]), "rows")
+        dims = sorted((r.dim for r in rows.select("dim").distinct().collect()), key=lambda d: (d is None, d))
+        self.width = max(1, min(WIDTH, len(dims)))
+        self.places = spark.createDataFrame([(d, k) for k, d in enumerate(dims)], StructType([StructField("dim", rows.schema["dim"].dataType), StructField("_k", IntegerType())]))
+        placed = rows.withColumnRenamed("dim", "_d").join(F.broadcast(self.places), F.col("_d").eqNullSafe(F.col("dim")))
+        block, at = F.expr(f"cast(_k div {self.width} as int)"), F.col("_k") % self.width
+        packed = placed.groupBy("node", block.alias("block")).agg(*[F.sum(F.when(at == k, F.col(v))).alias(f"{v}{k}") for v in values for k in range(self.width)])
+        blocks = spark.range(-(-len(dims) // self.width)).select(F.col("id").cast("int").alias("block"))
+        grid = adj.near.where("chunk = 0").select(F.col("src").alias("node"), "deg").crossJoin(F.broadcast(blocks))
+        self.rows = self.scratch.keep(packed.join(grid.hint("merge"), ["node", "block"], "full"), "wide")
+
+    def columns(self, name: str) -> list[str]:
+        return [f"{name}{k}" for k in range(self.width)]
+
+    def moved(self, name: str) -> DataFrame:
+        """The state with ``_m0``, ...: ``name`` multiplied by the weights, null where nothing came."""
+        own = [self.adj.gives(F.col(c)).alias(f"_m{k}") for k, c in enumerate(self.columns(name))]
+        together = F.when(F.col("chunk") == 0, F.expr(f"node div {REGION}")).otherwise(F.xxhash64("node", "chunk")).alias("_region")
+        gives = self.rows.where("deg is not null").select("node", F.struct("block", *own).alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(deg - 1) div {ROW}"))).alias("chunk"))
+        near = self.adj.near.select(F.col("src").alias("node"), "chunk", "dsts")
+        both = gives.select(together, "node", "chunk", "_own", F.lit(None).cast("array<bigint>").alias("dsts")).unionAll(
+            near.select(together, "node", "chunk", F.lit(None).cast(gives.schema["_own"].dataType).alias("_own"), "dsts")
+        )
+        met = both.repartition("_region").groupBy("_region", "node", "chunk").agg(F.collect_list("_own").alias("_own"), F.first("dsts", True).alias("dsts"))
+        each = met.where("dsts is not null").select(F.explode("_own").alias("_own"), "dsts").select("_own.*", F.explode("dsts").alias("node"))
+        sums = each.groupBy("node", "block").agg(*[F.sum(f"_m{k}").alias(f"_m{k}") for k in range(self.width)])
+        got = self.rows.join(sums.hint("merge"), ["node", "block"], "left")
+        return got.select(*self.rows.columns, *[self.adj.gets(F.col(f"_m{k}")).alias(f"_m{k}") for k in range(self.width)])
+
+    def put(self, rows: DataFrame) -> None:
+        self.rows = self.scratch.replace(rows, "wide")
+
+    def long(self, names: list[str]) -> DataFrame:
+        """The rows that are there, (node, dim, names...)."""
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("_at"), *[F.col(f"{v}{k}").alias(v) for v in names]) for k in range(self.width)]))
+        rows = self.rows.select("node", "block", each.alias("_e")).select("node", (F.col("block") * self.width + F.col("_e._at")).alias("_k"), *[F.col(f"_e.{v}").alias(v) for v in names])
+        return rows.where(F.col(names[0]).isNotNull()).join(F.broadcast(self.places), "_k").select("node", "dim", *names)
+
+
+def _there(value: Column, *of: str) -> Column:
+    """``value`` where any of the columns is there."""
+    return F.when(F.coalesce(*of).isNotNull(), value)
+
+
+def _push_wide(state: DataFrame, adj: Adjacency, alpha: float, rounds: int) -> DataFrame:
+    wide, zero = _Wide(state, ["pi", "r"], adj), F.lit(0.0)
+    for _ in range(rounds):
+        k = range(wide.width)
+        pi = [_there(F.coalesce(f"pi{i}", zero) + alpha * F.coalesce(f"r{i}", zero), f"pi{i}", f"_m{i}").alias(f"pi{i}") for i in k]
+        r = [_there((1 - alpha) * F.coalesce(f"_m{i}", zero), f"pi{i}", f"_m{i}").alias(f"r{i}") for i in k]
+        wide.put(wide.moved("r").select("node", "block", "deg", *pi, *r))
+    return wide.long(["pi", "r"])
+
+
 def propagate(features: DataFrame, edges: DataFrame, depth: int, alpha: float) -> DataFrame:
     """(node, dim, x): the fixed-depth recurrence h = alpha x + (1-alpha) P h, started from alpha x."""
-    w = kept_weights(edges)
-    h = features.withColumn("x", alpha * F.col("x"))
-    base = h
+    first = features.select("node", "dim", (alpha * F.col("x")).alias("b"), (alpha * F.col("x")).alias("x"))
+    wide, zero = _Wide(first, ["b", "x"], adjacency(edges)), F.lit(0.0)
     for _ in range(depth):
-        moved = step(h, w)
-        h = base.withColumnRenamed("x", "_b").join(moved, ["node", "dim"], "full").select("node", "dim", (F.coalesce("_b", F.lit(0.0)) + (1 - alpha) * F.coalesce("x", F.lit(0.0))).alias("x"))
-    return h
+        k = range(wide.width)
+        x = [_there(F.coalesce(f"b{i}", zero) + (1 - alpha) * F.coalesce(f"_m{i}", zero), f"b{i}", f"_m{i}").alias(f"x{i}") for i in k]
+        wide.put(wide.moved("x").select("node", "block", "deg", *wide.columns("b"), *x))
+    return wide.long(["x"])
 
 
 def convolve(features: DataFrame, edges: DataFrame, matrix: list[list[float]]) -> DataFrame:
@@ -296,13 +393,13 @@ def size_estimate(edges: DataFrame, nodes: DataFrame, dims: int) -> DataFrame:
 def reverse_push(edges: DataFrame, seeds: DataFrame, rho: float | DataFrame, alpha: float, rounds: int | None = None, max_rounds: int = 500) -> DataFrame:
     """(node, pi_b, r_b) from residual 1 at every seed, with weights 1/deg_dst, until no residual is over ``rho``.
 
-    With ``rounds`` it is that many rounds that push everything, as one plan.
+    With ``rounds`` it is that many rounds that push everything.
     """
-    w = Scratch(edges.sparkSession).keep(reverse_weights(edges), "weights")
     state = seeds.select("node").distinct().select("node", F.lit(0).alias("dim"), F.lit(0.0).alias("pi"), F.lit(1.0).alias("r"))
     if rounds is not None:
-        state = push_all(state, w, alpha, rounds)
+        state = push_all(state, adjacency(edges, reverse=True), alpha, rounds)
     else:
+        w = Scratch(edges.sparkSession).keep(reverse_weights(edges), "weights")
         limit = state.sparkSession.createDataFrame([(0, float(rho), -float("inf"))], "dim int, hi double, lo double")
         state = push(state, edges, limit, Params(alpha=alpha, max_rounds=max_rounds), w)
     return state.select("node", F.col("pi").alias("pi_b"), F.col("r").alias("r_b"))

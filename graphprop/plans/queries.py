@@ -279,12 +279,12 @@ _WALK = f""", fe AS (SELECT src, dst FROM pair UNION ALL SELECT node, -1 FROM no
 
 @query(_WALK + "SELECT fe.src, CAST(row_number() OVER (PARTITION BY fe.src ORDER BY dst) - 1 AS BIGINT) AS pos, dst, deg FROM fe JOIN fd ON fd.src = fe.src")
 def walk_graph(f: Fixture) -> DataFrame:
-    return etl.walk_graph(f.pairs().select("src", "dst"), f.nodes(), -1)
+    return etl.walk_graph(f.kept_pairs().select("src", "dst"), f.nodes(), -1)
 
 
 @query(_WALK + "SELECT dst, src, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS BIGINT) AS pos FROM fe")
 def reverse_index(f: Fixture) -> DataFrame:
-    return etl.reverse_index(etl.walk_graph(f.pairs().select("src", "dst"), f.nodes(), -1))
+    return etl.reverse_index(etl.walk_graph(f.kept_pairs().select("src", "dst"), f.nodes(), -1))
 
 
 @query(
@@ -389,13 +389,13 @@ def top_propagated(f: Fixture) -> DataFrame:
 @query(_steps(3, f" SELECT node, dim, {fx('pi')} AS pi, {fx('r')} AS r FROM s3"))
 def push_fixed_k(f: Fixture) -> DataFrame:
     p = f.kept_pairs()
-    return propagate.push_all(propagate.initial_state(f.features()), propagate.kept_weights(f.initial(p)), ALPHA, 3).select("node", "dim", fixed(F.col("pi")).alias("pi"), fixed(F.col("r")).alias("r"))
+    return propagate.push_all(propagate.initial_state(f.features()), propagate.adjacency(f.initial(p)), ALPHA, 3).select("node", "dim", fixed(F.col("pi")).alias("pi"), fixed(F.col("r")).alias("r"))
 
 
 @query(_steps(3, f" SELECT dim, {fx('sum(abs(r))', 3)} AS l1, {fx('max(abs(r))')} AS linf FROM s3 GROUP BY dim"))
 def residual_norms(f: Fixture) -> DataFrame:
     p = f.kept_pairs()
-    s = propagate.push_all(propagate.initial_state(f.features()), propagate.kept_weights(f.initial(p)), ALPHA, 3)
+    s = propagate.push_all(propagate.initial_state(f.features()), propagate.adjacency(f.initial(p)), ALPHA, 3)
     return s.groupBy("dim").agg(fixed(F.sum(F.abs("r")), 3).alias("l1"), fixed(F.max(F.abs("r"))).alias("linf"))
 
 
@@ -513,7 +513,7 @@ def _fixture_update(f: Fixture):
     x = scratch.keep(f.features(), "features")
     toggle, hit = scratch.keep(dynamic.toggles(e, u), "toggles"), dynamic.affected(u)
     deg = dynamic.degrees(e, toggle, hit)
-    s = scratch.keep(propagate.push_all(propagate.initial_state(x), propagate.kept_weights(e), ALPHA, 3), "state")
+    s = scratch.keep(propagate.push_all(propagate.initial_state(x), propagate.adjacency(e), ALPHA, 3), "state")
     return x, e, toggle, hit, deg, s, dynamic.rescale(s, deg, ALPHA)
 
 
@@ -554,7 +554,7 @@ SELECT t, {fx('x / nullif(y, 0)')} AS drift FROM d""",
 )
 def drift_rate(f: Fixture) -> DataFrame:
     p = f.kept_pairs()
-    w, s = propagate.kept_weights(f.initial(p)), propagate.initial_state(f.features())
+    w, s = propagate.adjacency(f.initial(p)), propagate.initial_state(f.features())
     versions = None
     for t in (1, 2, 3):
         s = Scratch(f.spark).keep(propagate.push_all(s, w, ALPHA, 1), "state")
@@ -721,7 +721,7 @@ dr AS MATERIALIZED (SELECT node AS start, dim, sg, CAST(total AS DOUBLE) AS tota
 @query(_TAIL + f" SELECT s2.node, s2.dim, {fx('pi + coalesce(s * (ld.total / (1e9 * 20000)) / sqrt(CAST(deg AS DOUBLE)), 0)')} AS pi FROM s2 LEFT JOIN ld ON ld.node = s2.node AND ld.dim = s2.dim LEFT JOIN ideg ON ideg.node = s2.node")
 def push_and_walk(f: Fixture) -> DataFrame:
     p, x = f.kept_pairs(), f.features()
-    s = propagate.push_all(propagate.initial_state(x), propagate.kept_weights(f.initial(p)), WALK_ALPHA, 2)
+    s = propagate.push_all(propagate.initial_state(x), propagate.adjacency(f.initial(p)), WALK_ALPHA, 2)
     return walks.walk_tail(Scratch(f.spark).keep(s, "state"), f.initial(p), WALK_ALPHA, 20_000).select("node", "dim", fixed(F.col("pi")).alias("pi"))
 
 
@@ -761,7 +761,7 @@ SELECT s2.node, s2.dim, {fx(f'pi + {WALK_ALPHA} * r + coalesce(m / sqrt(CAST(deg
 def push_and_cached_walks(f: Fixture) -> DataFrame:
     p, x = f.kept_pairs(), f.features()
     e = f.initial(p)
-    s = Scratch(f.spark).keep(propagate.push_all(propagate.initial_state(x), propagate.kept_weights(e), WALK_ALPHA, 2), "state")
+    s = Scratch(f.spark).keep(propagate.push_all(propagate.initial_state(x), propagate.adjacency(e), WALK_ALPHA, 2), "state")
     return walks.cached_tail(s, e, walks.walk_cache(f.nodes(), e, WALK_ALPHA), WALK_ALPHA).select("node", "dim", fixed(F.col("pi")).alias("pi"))
 
 
