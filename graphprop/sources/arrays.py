@@ -96,8 +96,22 @@ def ranges(n: int, step: int) -> list[Range]:
 # ---- compressed adjacency ----------------------------------------------------
 
 
+@dataclass
+class CsrRange(Range):
+    """A range of the indices with the parts that hold it and its pointers, and the positions where those parts begin."""
+
+    index: list[tuple[str, int, int]]
+    index_at: int
+    pointer: list[tuple[str, int, int]]
+    pointer_at: int
+
+
 class CsrReader(DataSourceReader):
-    """A task takes a range of the indices and finds its sources by searching the pointers."""
+    """A task takes a range of the indices and finds its sources by searching the pointers.
+
+    The driver lists the parts once and reads each pointer part's first number;
+    a task opens the parts of its range only.
+    """
 
     def __init__(self, options):
         self.indices, self.indptr = options["indices"], options["indptr"]
@@ -111,10 +125,20 @@ class CsrReader(DataSourceReader):
         said = int(pointer.read(len(pointer) - 1, len(pointer))[0])
         if said != len(index):
             raise ValueError(f"the pointers say {said} indices, there are {len(index)}")
-        return ranges(len(index), self.step)
+        starts = [k for k, part in enumerate(pointer.parts) if part[2]]
+        firsts = [int(pointer.read(pointer.before[k], pointer.before[k] + 1)[0]) for k in starts]
+        if any(a > b for a, b in zip(firsts, firsts[1:], strict=False)):
+            raise ValueError("the pointers fall")
+        out = []
+        for r in ranges(len(index), self.step):
+            a, b = bisect.bisect_right(index.before, r.first) - 1, bisect.bisect_left(index.before, r.last)
+            lo, hi = bisect.bisect_right(firsts, r.first) - 1, bisect.bisect_left(firsts, r.last)
+            first, end = starts[lo], starts[hi] + 1 if hi < len(starts) else len(pointer.parts)
+            out.append(CsrRange(r.first, r.last, index.parts[a:b], index.before[a], pointer.parts[first:end], pointer.before[first]))
+        return out
 
     def read(self, partition):
-        index, pointer = raw_array(self.indices, self.kind), raw_array(self.indptr, self.pointers)
+        index, pointer = Flat(self.indices, self.kind, partition.index), Flat(self.indptr, self.pointers, partition.pointer)
         lo, hi = 0, len(pointer) - 1  # the last pointer at or before the range, past nodes without edges
         while hi - lo > 1:
             mid = (lo + hi) // 2
@@ -127,8 +151,8 @@ class CsrReader(DataSourceReader):
             upto = int(min(ends[-1], partition.last))
             for a in range(at, upto, 1 << 18):
                 b = min(a + (1 << 18), upto)
-                src = node + np.searchsorted(ends, np.arange(a, b), "right")
-                yield pa.RecordBatch.from_arrays([pa.array(src.astype(np.int64)), pa.array(index.read(a, b).astype(np.int64))], ["src", "dst"])
+                src = partition.pointer_at + node + np.searchsorted(ends, np.arange(a, b), "right")
+                yield pa.RecordBatch.from_arrays([pa.array(src.astype(np.int64)), pa.array(index.read(a - partition.index_at, b - partition.index_at).astype(np.int64))], ["src", "dst"])
             at, node = max(at, upto), node + len(ends)
 
 

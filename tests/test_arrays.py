@@ -60,3 +60,18 @@ def test_parts_are_written_once_and_stacked(spark, tmp_path):
     (tmp_path / "out" / names[0]).write_bytes((tmp_path / "out" / names[0]).read_bytes()[:-3])
     with pytest.raises(Exception, match="cut short"):
         arrays.npy_rows(spark, at).collect()
+
+
+def test_a_csr_task_knows_the_parts_of_its_range_only(tmp_path):
+    rng = np.random.default_rng(2)
+    deg = rng.integers(0, 9, 400) * (rng.random(400) < 0.4)
+    ptr, idx = np.concatenate([[0], np.cumsum(deg)]).astype("<u4"), rng.integers(0, 400, deg.sum()).astype("<u4")
+    for name, x, size in (("indices", idx, 50), ("indptr", ptr, 7)):
+        (tmp_path / name).mkdir()
+        for a in range(0, len(x), size):
+            (tmp_path / name / f"part-{a:06d}.bin").write_bytes(x[a : a + size].tobytes())
+    reader = arrays.CsrReader({"indices": str(tmp_path / "indices"), "indptr": str(tmp_path / "indptr"), "step": "64"})
+    parts = reader.partitions()
+    assert max(len(p.index) for p in parts) <= 3 and max(len(p.pointer) for p in parts) < 20
+    got = [(s, d) for p in parts for b in reader.read(p) for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert got == list(zip(np.repeat(np.arange(400), deg).tolist(), idx.tolist(), strict=True))
