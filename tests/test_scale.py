@@ -100,3 +100,29 @@ def test_long_lists_of_toggles_are_sorted(spark, monkeypatch):
     toggle = Scratch(spark).keep(dynamic.toggles(e, u), "toggles")
     assert row(toggle) == want and {op for _, _, op in want} == {1, -1}
     assert "Broadcast" not in plan(dynamic.apply(e, toggle))
+
+
+def test_a_state_within_its_thresholds_needs_no_links(spark):
+    x = spark.range(60).select(F.col("id").alias("node"), F.lit(0).alias("dim"), F.lit(1.0).alias("x"))
+    near, limit = propagate.adjacency(graph(spark)), spark.createDataFrame([(0, 2.0, -2.0)], "dim int, hi double, lo double")
+    loop = propagate._Loop(propagate.initial_state(x), near, limit, "dim", 0.2, 5)
+    loop.run(propagate._outside())
+    assert loop.done().count() == 60 and loop.near is None and "blocks" not in vars(near)
+    loop.close()
+
+
+def test_pushes_along_blocks_equal_those_along_links(spark, monkeypatch):
+    monkeypatch.setattr(propagate, "ROW", 8)  # node 0 is in many blocks
+    e = graph(spark).unionAll(spark.createDataFrame([(5, 900)], "src long, dst long"))  # 900 has no edges of its own
+    rows = [(n, d, 0.0, float(n % 5 - 2)) for n in range(60) for d in (0, 3) if n % 4]
+    state = Scratch(spark).keep(spark.createDataFrame(rows, "node long, dim int, pi double, r double"), "state")
+    limit = spark.createDataFrame([(d, 0.05, -0.05) for d in (0, 3)], "dim int, hi double, lo double")
+    got = []
+    for w in (propagate.weights(e), propagate.adjacency(e)):
+        loop = propagate._Loop(state, w, limit, "dim", 0.4, 50)
+        loop.run(propagate._outside())
+        got.append((by_key(loop.done(), "node", "dim"), [(kind, left) for kind, left, _ in loop.log]))
+        loop.close()
+    (want, log), (have, same) = got
+    assert log == same and {k for k, _ in log} == {"base", "delta"} and set(want) == set(have)
+    assert all(have[k].pi == pytest.approx(want[k].pi, abs=1e-12) and have[k].r == pytest.approx(want[k].r, abs=1e-12) for k in want)
