@@ -244,9 +244,9 @@ def graph_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 HUB = 100_000
 
 
-def _hubs(edges: DataFrame, scratch: Scratch, hub: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Edges written once, their degrees, and the hubs (src); None where there are none."""
-    e = scratch.keep(edges.select("src", "dst"), "edges")
+def _hubs(edges: DataFrame, scratch: Scratch, hub: int, written: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Edges written once, as they may be already, their degrees, and the hubs (src); None where there are none."""
+    e = edges.select("src", "dst") if written else scratch.keep(edges.select("src", "dst"), "edges")
     deg = scratch.keep(degree(e), "degrees")
     found = scratch.keep(deg.where(F.col("deg") > hub).select(F.col("node").alias("src")), "hubs")
     return e, deg, found if found.limit(1).count() else None
@@ -264,12 +264,13 @@ def _apart(rows: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(F.broadcast(hubs), "src", "left_anti"), rows.join(F.broadcast(hubs), "src", "left_semi")
 
 
-def positions(edges: DataFrame, by_degree: bool = False, hub: int = HUB) -> DataFrame:
+def positions(edges: DataFrame, by_degree: bool = False, hub: int = HUB, written: bool = False) -> DataFrame:
     """(src, pos, dst): each node's neighbours numbered from 0 by id, or by degree and id.
 
-    A node's neighbours are sorted in one task, hubs' in ranges.
+    A node's neighbours are sorted in one task, hubs' in ranges. ``written``
+    edges are a table, which need not be written again.
     """
-    rows, deg, hubs = _hubs(edges, Scratch(edges.sparkSession), hub)
+    rows, deg, hubs = _hubs(edges, Scratch(edges.sparkSession), hub, written)
     order = ["dst"]
     if by_degree:
         rows, order = rows.join(deg.select(F.col("node").alias("dst"), "deg").hint("merge"), "dst"), ["deg", "dst"]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphprop.operators.etl import add_self_loops, csr, numbered, positions
+from graphprop.tables import Scratch
 
 
 def edge_lines(lines: DataFrame) -> DataFrame:
@@ -170,11 +171,11 @@ def npy_features(spark: SparkSession, path: str, nodes: DataFrame | None = None,
 
 def write_csr(edges: DataFrame, nodes: DataFrame, path: str, self_loops: bool = False) -> None:
     """The compressed adjacency as Parquet: ``indptr`` (node, start, deg) and ``indices`` (src, pos, dst), neighbours by rising degree."""
-    edges = edges.select("src", "dst").distinct()
-    if self_loops:
-        edges = add_self_loops(edges, nodes)
-    csr(edges, nodes).write.mode("overwrite").parquet(f"{path}/indptr")
-    positions(edges, by_degree=True).write.mode("overwrite").parquet(f"{path}/indices")
+    own = add_self_loops(edges, nodes) if self_loops else edges.select("src", "dst").distinct()
+    # written once: the pointers and the neighbours are both made of them
+    own = Scratch(edges.sparkSession).keep(own, "edges")
+    csr(own, nodes).write.mode("overwrite").parquet(f"{path}/indptr")
+    positions(own, by_degree=True, written=True).write.mode("overwrite").parquet(f"{path}/indices")
 
 
 def write_text_edges(edges: DataFrame, path: str, both: bool = True) -> None:

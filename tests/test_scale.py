@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphprop.operators import dynamic, etl, propagate, walkindex, walks
 from graphprop.plans import fixtures
 from graphprop import tables
+from graphprop.sources import files
 from graphprop.tables import Scratch
 
 
@@ -126,3 +127,14 @@ def test_pushes_along_blocks_equal_those_along_links(spark, monkeypatch):
     (want, log), (have, same) = got
     assert log == same and {k for k, _ in log} == {"base", "delta"} and set(want) == set(have)
     assert all(have[k].pi == pytest.approx(want[k].pi, abs=1e-12) and have[k].r == pytest.approx(want[k].r, abs=1e-12) for k in want)
+
+
+def test_the_written_adjacency_makes_its_edges_once(spark, monkeypatch):
+    e, nodes, made = graph(spark), spark.range(61).select(F.col("id").alias("node")), []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: made.append(name) or keep(self, df, name))
+    at = Scratch(spark).path("csr")
+    files.write_csr(e.unionAll(e), nodes, at, self_loops=True)
+    assert made.count("edges") == 1
+    want = sorted(map(tuple, etl.positions(etl.add_self_loops(e, nodes), by_degree=True).collect()))
+    assert sorted(map(tuple, spark.read.parquet(f"{at}/indices").select("src", "pos", "dst").collect())) == want
