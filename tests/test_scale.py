@@ -114,6 +114,7 @@ def test_a_state_within_its_thresholds_needs_no_links(spark):
 
 def test_pushes_along_blocks_equal_those_along_links(spark, monkeypatch):
     monkeypatch.setattr(propagate, "ROW", 8)  # node 0 is in many blocks
+    monkeypatch.setattr(propagate, "FEW", 0)
     e = graph(spark).unionAll(spark.createDataFrame([(5, 900)], "src long, dst long"))  # 900 has no edges of its own
     rows = [(n, d, 0.0, float(n % 5 - 2)) for n in range(60) for d in (0, 3) if n % 4]
     state = Scratch(spark).keep(spark.createDataFrame(rows, "node long, dim int, pi double, r double"), "state")
