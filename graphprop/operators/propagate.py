@@ -71,6 +71,12 @@ TASK_EDGES, PIECES = 4_000_000, 512
 #: Up to this many edges a loop goes along links: a round along blocks costs more to start.
 FEW = 1_000_000
 
+#: States of more rows than this are packed for rounds along blocks, and nodes that a part of a packed state is meant for.
+PACKS, PART_NODES = 100_000, 50_000
+
+#: Packed rounds after which the shuffle files of earlier ones are let go.
+RELEASE = 8
+
 
 def _block():
     """A function of the edges (_region, src, dst) of one region, which makes one row of them: the sources and their numbers of edges, the distinct targets, and each edge's place among them."""
@@ -330,6 +336,250 @@ def flow(front: DataFrame, near: DataFrame, hubs: DataFrame | None, alpha: float
     return met.select(F.col("t.dst").alias("node"), "dim", (F.col("m") * F.col("t.w")).alias("m"))
 
 
+def _tools():
+    """What the tasks of packed rounds share, as functions that travel with them: executors need not have this module."""
+
+    def region_of(nodes, size):
+        """``node div size``, which cuts towards zero."""
+        return np.where(nodes < 0, -(-nodes // size), nodes // size)
+
+    def above(a, b):
+        """a > b as Spark has it: NaN is above all numbers."""
+        return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
+    def read(row, width):
+        """Nodes, degrees (0: no edges), and for each dimension which rows are there, pi and r."""
+        nodes, deg = np.frombuffer(row["nodes"], "<i8"), np.frombuffer(row["deg"], "<i8")
+        return nodes, deg, *[np.frombuffer(row[k], t).reshape(width, -1) for k, t in (("there", "?"), ("pi", "<f8"), ("r", "<f8"))]
+
+    def cuts(groups):
+        """The runs of equal values, from and to."""
+        at = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+        return list(zip(at[:-1], at[1:], strict=True)) if len(groups) else []
+
+    return region_of, above, read, cuts
+
+
+def _pack(width: int):
+    """One row of the wide rows (node, deg, pi0, ..., r0, ...) of a part and block of dimensions, by ascending node."""
+
+    def run(rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = rows.take(pc.sort_indices(rows.column("node")))
+        dense = lambda name: [pc.fill_null(rows.column(f"{name}{k}"), 0.0).to_numpy() for k in range(width)]
+        there = np.array([rows.column(f"pi{k}").is_valid().to_numpy() for k in range(width)])
+        whole = [pc.fill_null(rows.column(c), 0).to_numpy().astype("<i8") for c in ("node", "deg")]
+        parts = [*whole, there, np.array(dense("pi")), np.array(dense("r"))]
+        return pa.table([*[rows.column(c).slice(0, 1) for c in ("_part", "block")], *[pa.array([x.tobytes()], pa.binary()) for x in parts]], ["_part", "block", "nodes", "deg", "there", "pi", "r"])
+
+    return run
+
+
+def _unpacked(width: int, dims: list, schema):
+    """The rows (node, dim, pi, r) of packed ones; those of the null part have no node."""
+    _, _, read, _ = _tools()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                nodes, _, there, pi, r = read(row, width)
+                for k in range(min(width, len(dims) - row["block"] * width)):
+                    at = there[k]
+                    if at.any():
+                        n, dim = int(at.sum()), dims[row["block"] * width + k]
+                        own = pa.nulls(n, pa.int64()) if row["_part"] is None else pa.array(nodes[at])
+                        yield pa.RecordBatch.from_arrays([own, pa.array([dim] * n, schema.field("dim").type), pa.array(pi[k][at]), pa.array(r[k][at])], schema=schema)
+
+    return run
+
+
+def _given(width: int, rule, alpha: np.ndarray, reverse: bool):
+    """What the rows of a packed state that go give: a row for each region of their nodes, one without region for each hub."""
+    region_of, _, read, cuts = _tools()
+
+    def run(batches):
+        import pyarrow as pa
+
+        names, kinds = ["_region", "node", "hub", "block", "nodes", "m", "held"], [pa.int64()] * 3 + [pa.int32()] + [pa.binary()] * 3
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                nodes, deg, there, _, r = read(row, width)
+                go = there & rule(r, deg, row["block"])
+                at = np.flatnonzero(go.any(0) & (deg > 0))
+                own, held, ids = alpha[row["block"]][:, None], go[:, at], nodes[at]
+                m = np.where(held, (1 - own) * r[:, at], 0.0)
+                if not reverse:
+                    m = m / np.sqrt(deg[at].astype(float))
+                put = lambda region, node, hub, of: out.append((region, node, hub, row["block"], ids[of].tobytes(), m[:, of].tobytes(), held[:, of].tobytes()))  # noqa: B023, E731
+                few = np.flatnonzero(deg[at] <= ROW)
+                region = region_of(ids[few], REGION)
+                for a, b in cuts(region):
+                    put(int(region[a]), None, None, few[a:b])
+                for k in np.flatnonzero(deg[at] > ROW).tolist():
+                    put(None, int(ids[k]), int(deg[at[k]]), [k])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def _passed(width: int, parts: int):
+    """What the rows of one region give along its block, summed for each target: a row for each part of the targets."""
+    region_of, _, _, cuts = _tools()
+
+    def run(gives, blocks):
+        import pyarrow as pa
+
+        out, given = [], {}
+        for row in gives.to_pylist():
+            given.setdefault(row["block"], []).append(row)
+        for row in blocks.to_pylist() if given else ():
+            sources, counts, targets, at = (np.frombuffer(row[k], t) for k, t in (("sources", "<i8"), ("counts", "<i4"), ("targets", "<i8"), ("at", "<i4")))
+            for block, rows in sorted(given.items()):
+                ids = np.concatenate([np.frombuffer(g["nodes"], "<i8") for g in rows])
+                m = np.concatenate([np.frombuffer(g["m"], "<f8").reshape(width, -1) for g in rows], 1)
+                held = np.concatenate([np.frombuffer(g["held"], "?").reshape(width, -1) for g in rows], 1)
+                place = np.minimum(np.searchsorted(sources, ids), len(sources) - 1)
+                here = sources[place] == ids
+                own, ours = np.zeros((width, len(sources))), np.zeros((width, len(sources)), bool)
+                own[:, place[here]], ours[:, place[here]] = m[:, here], held[:, here]
+                some = np.flatnonzero(ours.any(0))
+                if not len(some):
+                    continue
+                if len(some) == len(sources):
+                    to = at
+                else:  # only the edges of the sources that give
+                    n = counts[some].astype("i8")
+                    to = at[np.repeat(np.cumsum(counts, dtype="i8")[some] - np.cumsum(n), n) + np.arange(n.sum())]
+                own, ours, n = own[:, some], ours[:, some], counts[some]
+                sums = np.array([np.bincount(to, np.repeat(x, n), len(targets)) for x in own])
+                met = np.bincount(to, minlength=len(targets)) > 0
+                came = np.array([met if x.all() else np.bincount(to[np.repeat(x, n)], minlength=len(targets)) > 0 for x in ours])
+                hit = np.flatnonzero(met)
+                part = region_of(targets[hit], REGION) % parts
+                order = np.argsort(part, kind="stable")
+                hit, part = hit[order], part[order]
+                for a, b in cuts(part):
+                    of = hit[a:b]
+                    out.append((int(part[a]), block, row["_region"], targets[of].tobytes(), sums[:, of].tobytes(), came[:, of].tobytes()))
+        cols = zip(*out, strict=True) if out else [[]] * 6
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["_part", "block", "_region", "nodes", "m", "came"])
+
+    return run
+
+
+def _next(width: int, rule, alpha: np.ndarray, reverse: bool):
+    """The next packed row of a part and block of dimensions from what came, in the order of regions, with how many rows are to go and are there."""
+    _, _, read, _ = _tools()
+
+    def run(state, messages):
+        import pyarrow as pa
+
+        out, came_rows = [], sorted(messages.to_pylist(), key=lambda g: g["_region"])
+        for row in state.to_pylist():
+            nodes, deg, there, pi, r = read(row, width)
+            go, own = there & rule(r, deg, row["block"]), alpha[row["block"]][:, None]
+            pi, left = np.where(go, pi + own * r, pi), np.where(go, 0.0, r)
+            m, came = np.zeros(r.shape), np.zeros(r.shape, bool)
+            for g in came_rows:
+                ids = np.frombuffer(g["nodes"], "<i8")
+                place = np.minimum(np.searchsorted(nodes, ids), len(nodes) - 1)
+                here = nodes[place] == ids
+                m[:, place[here]] += np.frombuffer(g["m"], "<f8").reshape(width, -1)[:, here]
+                came[:, place[here]] |= np.frombuffer(g["came"], "?").reshape(width, -1)[:, here]
+            by = np.maximum(deg, 1).astype(float)
+            r = left + np.where(came & (deg > 0), m / (by if reverse else np.sqrt(by)), 0.0)
+            there = there | (came & (deg > 0))
+            counts = [int((there & rule(r, deg, row["block"])).sum()), int(there.sum())]
+            out.append((row["_part"], row["block"], row["nodes"], row["deg"], there.tobytes(), pi.tobytes(), r.tobytes(), *counts))
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+        cols = zip(*out, strict=True) if out else [[]] * 9
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["_part", "block", "nodes", "deg", "there", "pi", "r", "left", "rows"])
+
+    return run
+
+
+class _Packed:
+    """A state of a loop along blocks, a row for the nodes of one part and up to ``WIDTH`` dimensions: pi, r and degrees as arrays.
+
+    A round moves the residuals that go to their blocks, what each block gives
+    to the targets of one part, summed, and the state to its parts: all in a
+    few rows of arrays. Parts hold whole regions. A row is there once
+    something came to it, as in the long form.
+    """
+
+    STATE = "_part long, block int, nodes binary, deg binary, there binary, pi binary, r binary"
+
+    def __init__(self, state: DataFrame, adj: Adjacency, near: DataFrame, alpha: float | Column):
+        self.spark, self.scratch, self.adj, self.near = state.sparkSession, Scratch(state.sparkSession), adj, near
+        wide = _Wide(state, ["pi", "r"], adj)
+        self.width, self.kind = wide.width, state.schema["dim"].dataType
+        rate = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
+        places = sorted(wide.places.select("_k", "dim", rate.cast("double").alias("a")).collect(), key=lambda p: p["_k"])
+        self.dims = [p["dim"] for p in places]
+        self.alpha = self._by_block([p["a"] for p in places], 0.0)
+        self.parts = max(adj.tasks, -(-wide.rows.count() // PART_NODES))
+        own = F.pmod(F.expr(f"node div {REGION}"), F.lit(self.parts)).cast("long").alias("_part")
+        rows = wide.rows.select(own, "block", "node", "deg", *wide.columns("pi"), *wide.columns("r")).repartition(self.parts, "_part", "block")
+        self.state = self.scratch.keep(rows.groupBy("_part", "block").applyInArrow(_pack(self.width), self.STATE), "packed")
+        wide.scratch.drop("wide")
+        wide.scratch.drop("rows")
+
+    def _by_block(self, values: list[float], rest: float) -> np.ndarray:
+        """One value a dimension as rows of ``width``."""
+        blocks = max(1, -(-len(values) // self.width))
+        return np.array([*values, *[rest] * (blocks * self.width - len(values))]).reshape(blocks, self.width)
+
+    def by_limits(self, limit: DataFrame):
+        """Which rows go, above or below the thresholds of their dimension; none where it has no threshold."""
+        of = {t["dim"]: t for t in limit.collect() if t["dim"] is not None}  # one row for each dimension
+        side = lambda name, none: self._by_block([none if d not in of or of[d][name] is None else of[d][name] for d in self.dims], none)
+        hi, lo, above = side("hi", math.nan), side("lo", -math.inf), _tools()[1]
+        return lambda r, deg, block: above(r, hi[block][:, None]) | above(lo[block][:, None], r)
+
+    def by_degree(self, scale: float):
+        """Which rows go, |(1-alpha) r| >= deg * scale."""
+        alpha, above = self.alpha, _tools()[1]
+        return lambda r, deg, block: (deg > 0) & ~above(deg * scale, np.abs((1 - alpha[block])[:, None] * r))
+
+    def left(self, rule) -> int:
+        width, read = self.width, _tools()[2]
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for row in batch.to_pylist():
+                    _, deg, there, _, r = read(row, width)
+                    yield pa.RecordBatch.from_arrays([pa.array([int((there & rule(r, deg, row["block"])).sum())])], ["left"])
+
+        return self.state.mapInArrow(run, "left long").agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0]
+
+    def push(self, rule) -> tuple[int, int]:
+        """One round; how many rows are to go after it, and how many there are."""
+        own = self.state.mapInArrow(_given(self.width, rule, self.alpha, self.adj.reverse), "_region long, node long, hub long, block int, nodes binary, m binary, held binary")
+        region = F.when(F.col("_region").isNotNull(), F.array("_region")).otherwise(self.adj.regions("node", "hub"))
+        dealt = own.select(F.explode(region).alias("_region"), "block", "nodes", "m", "held").repartition(self.adj.tasks, "_region")
+        passed = dealt.groupBy("_region").cogroup(self.near.groupBy("_region")).applyInArrow(_passed(self.width, self.parts), "_part long, block int, _region long, nodes binary, m binary, came binary")
+        by = ["_part", "block"]
+        both = self.state.repartition(self.parts, *by).groupBy(*by).cogroup(passed.repartition(self.parts, *by).groupBy(*by))
+        after, seen = both.applyInArrow(_next(self.width, rule, self.alpha, self.adj.reverse), f"{self.STATE}, left long, rows long"), Observation()
+        self.state = self.scratch.replace(after.observe(seen, F.sum("left").alias("left"), F.sum("rows").alias("rows")), "packed").drop("left", "rows")
+        return seen.get["left"] or 0, seen.get["rows"] or 0
+
+    def long(self) -> DataFrame:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = StructType([StructField("node", LongType()), StructField("dim", self.kind), StructField("pi", DoubleType()), StructField("r", DoubleType())])
+        return self.state.mapInArrow(_unpacked(self.width, self.dims, to_arrow_schema(schema)), schema)
+
+
 class _Loop:
     """A state pushed round by round, each one job: the rows that are still to go are counted while they are written.
 
@@ -340,7 +590,8 @@ class _Loop:
     what they hold now. The next frontier is among them. Deltas are folded into
     the base when together they have half as many rows. The base's residuals
     and the links stay partitioned in memory; lost blocks are read again from
-    their tables. The driver holds counters.
+    their tables. The driver holds counters. Along blocks a state of over
+    ``PACKS`` rows is packed at the first round, and each round writes a base.
     """
 
     #: Frontiers of up to this share of the state's rows are written as deltas, and deltas are folded above this one.
@@ -354,6 +605,7 @@ class _Loop:
         self.state, self.rounds = self.scratch.keep(state, "state"), 0
         self.deltas: list[str] = []
         self.delta_rows, self.held = 0, None
+        self.packed: _Packed | None = None
         #: What each round wrote: ("base" or "delta", rows to go before it, rows written).
         self.log: list[tuple[str, int, int]] = []
 
@@ -365,6 +617,9 @@ class _Loop:
             self.w = (reverse_weights if self.w.reverse else weights)(self.w.edges)
         if isinstance(self.w, Adjacency):
             self.near = self.w.blocks.repartition(self.w.tasks, "_region").persist()
+            if self.state.count() > PACKS:
+                self.packed = _Packed(self.state, self.w, self.near, self.alpha)
+                return
             self.deg = self.w.degrees.repartition(self.n, "node").persist()
         else:
             near, hubs = links(self.w, self.scratch)
@@ -424,8 +679,23 @@ class _Loop:
         met = self._got(summed).join(self.held, ["node", "dim"], "left")
         return met.select("node", "dim", "dpi", (F.col("dr") + F.col("_m")).alias("dr"), (F.coalesce("_r", F.lit(0.0)) + F.col("_all") + F.col("_m")).alias("r"))
 
-    def run(self, go: Column) -> None:
-        """Push until no row of the state, joined to its thresholds, is one to ``go``."""
+    def _run_packed(self, left: int | None, scale: float | None) -> None:
+        """``run``, packed; ``left`` rows are to go, None if it is not known."""
+        rule = self.packed.by_limits(self.side) if scale is None else self.packed.by_degree(scale)
+        left = self.packed.left(rule) if left is None else left
+        while left:
+            if self.rounds == self.most:
+                raise RuntimeError(f"{left} residuals are still outside the thresholds after {self.most} rounds")
+            before, (left, rows) = left, self.packed.push(rule)
+            self.log.append(("base", before, rows))
+            self.rounds += 1
+            if self.rounds % RELEASE == 0:
+                self.scratch.release()
+
+    def run(self, go: Column, scale: float | None = None) -> None:
+        """Push until no row of the state, joined to its thresholds, is one to ``go``: outside (hi, lo) of its dimension, or, with ``scale``, at ``scale`` times its degree."""
+        if self.packed is not None:
+            return self._run_packed(None, scale)
         self.fold()
         front, total = self._front(go), self.state.count()
         left = front.count()
@@ -433,6 +703,8 @@ class _Loop:
             if self.rounds == self.most:
                 raise RuntimeError(f"{left} residuals are still outside the thresholds after {self.most} rounds")
             self._meet()
+            if self.packed is not None:
+                return self._run_packed(left, scale)
             seen, small = Observation(), left <= self.SPARSE * total
             if not small and self.deltas:
                 self.fold()
@@ -468,6 +740,8 @@ class _Loop:
                 held.unpersist()
 
     def done(self) -> DataFrame:
+        if self.packed is not None:
+            self.state, self.packed = self.scratch.replace(self.packed.long(), "state"), None
         self.fold()
         return self.state
 
@@ -561,7 +835,7 @@ def push_by_degree(state: DataFrame, edges: DataFrame, walks: int, scales: list[
     loop = _Loop(scaled, near, deg, "node", params.alpha, params.max_rounds)
     try:
         for scale in scales:
-            loop.run(F.abs((1 - params.alpha) * F.col("r")) >= F.col("deg") * scale)
+            loop.run(F.abs((1 - params.alpha) * F.col("r")) >= F.col("deg") * scale, scale)
         last = loop.done()
     finally:
         loop.close()

@@ -139,3 +139,28 @@ def test_the_written_adjacency_makes_its_edges_once(spark, monkeypatch):
     assert made.count("edges") == 1
     want = sorted(map(tuple, etl.positions(etl.add_self_loops(e, nodes), by_degree=True).collect()))
     assert sorted(map(tuple, spark.read.parquet(f"{at}/indices").select("src", "pos", "dst").collect())) == want
+
+
+@pytest.mark.parametrize("by_degree, width", [(False, 2), (True, 16)])
+def test_packed_rounds_equal_those_of_long_rows(spark, monkeypatch, by_degree, width):
+    monkeypatch.setattr(propagate, "ROW", 8)  # node 0 is in many blocks
+    monkeypatch.setattr(propagate, "REGION", 7)
+    monkeypatch.setattr(propagate, "WIDTH", width)
+    monkeypatch.setattr(propagate, "FEW", 0)
+    e = graph(spark).unionAll(spark.createDataFrame([(5, 900), (-9, 3), (3, -9)], "src long, dst long"))  # 900 has no edges of its own
+    rows = [(n, d, 0.0, float(n % 5 - 2)) for n in [*range(60), 700] for d in (0, 1, 3) if n % 4] + [(None, 0, 0.0, 2.0)]
+    state = Scratch(spark).keep(spark.createDataFrame(rows, "node long, dim int, pi double, r double"), "state")
+    side = etl.degree(e) if by_degree else spark.createDataFrame([(0, 0.05, -0.05), (3, 0.04, -0.3)], "dim int, hi double, lo double")
+    alpha = 0.4 if by_degree else F.when(F.col("dim") == 0, 0.4).otherwise(0.3)
+    got = []
+    for packs in (propagate.PACKS, 0):
+        monkeypatch.setattr(propagate, "PACKS", packs)
+        loop = propagate._Loop(state, propagate.adjacency(e), side, "node" if by_degree else "dim", alpha, 50)
+        for scale in (0.02, 0.003) if by_degree else (None,):
+            loop.run(F.abs(0.6 * F.col("r")) >= F.col("deg") * scale if by_degree else propagate._outside(), scale)
+        assert (loop.packed is not None) == (packs == 0)
+        got.append((by_key(loop.done(), "node", "dim"), [left for _, left, _ in loop.log]))
+        loop.close()
+    (want, log), (have, same) = got
+    assert log == same and len(log) > 3 and set(want) == set(have)
+    assert all(have[k].pi == pytest.approx(want[k].pi, abs=1e-12) and have[k].r == pytest.approx(want[k].r, abs=1e-12) for k in want)
