@@ -224,7 +224,7 @@ def neighbour_positions(f: Fixture) -> DataFrame:
 
 @query("SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY deg, dst) - 1 AS BIGINT) AS pos, dst FROM e JOIN deg ON deg.node = e.dst")
 def degree_sorted_adj(f: Fixture) -> DataFrame:
-    return etl.positions(f.graph(), by_degree=True)
+    return etl.positions(f.graph(f.kept_pairs()), by_degree=True, symmetric=True)
 
 
 @query(_DIRECTED + ", b AS (SELECT node.node, coalesce(o.n, 0) AS deg FROM node LEFT JOIN o ON o.node = node.node) SELECT node, CAST(sum(deg) OVER (ORDER BY node) - deg AS BIGINT) AS start, CAST(deg AS BIGINT) AS deg FROM b")

@@ -164,3 +164,16 @@ def test_packed_rounds_equal_those_of_long_rows(spark, monkeypatch, by_degree, w
     (want, log), (have, same) = got
     assert log == same and len(log) > 3 and set(want) == set(have)
     assert all(have[k].pi == pytest.approx(want[k].pi, abs=1e-12) and have[k].r == pytest.approx(want[k].r, abs=1e-12) for k in want)
+
+
+@pytest.mark.parametrize("hub", [10, etl.HUB])
+def test_degrees_of_a_symmetric_graph_are_counted_where_edges_meet(spark, monkeypatch, hub):
+    e = Scratch(spark).keep(graph(spark), "edges")
+    row = lambda df: sorted(map(tuple, df.collect()))
+    want = row(etl.positions(e, by_degree=True))
+    monkeypatch.setattr(etl, "SORT_ROWS", 100)
+    got = etl.positions(e, by_degree=True, hub=hub, symmetric=True)
+    assert row(got) == want and "Join" not in plan(etl._with_degrees(e, Scratch(spark), hub)[0])
+    assert row(etl.positions(e, by_degree=True, hub=hub)) == want
+    if hub == etl.HUB:
+        assert got.rdd.getNumPartitions() >= e.count() // 100
