@@ -177,3 +177,16 @@ def test_degrees_of_a_symmetric_graph_are_counted_where_edges_meet(spark, monkey
     assert row(etl.positions(e, by_degree=True, hub=hub)) == want
     if hub == etl.HUB:
         assert got.rdd.getNumPartitions() >= e.count() // 100
+
+
+def test_few_walks_meet_neighbours_in_memory(spark, monkeypatch):
+    e, nodes = Scratch(spark).keep(graph(spark), "edges"), spark.range(60).select(F.col("id").alias("node"))
+    deg = Scratch(spark).keep(etl.degree(e), "degrees")
+    ends = lambda **kw: {tuple(r) for r in walks.stopping_walks(walks.starts(nodes, 3), e, 0.7, **kw).collect()}
+    held, step = [], walks.step
+    monkeypatch.setattr(walks, "step", lambda w, near, *a: held.append(near.storageLevel.useMemory) or step(w, near, *a))
+    few = ends(deg=deg)
+    assert held and all(held)
+    held.clear()
+    monkeypatch.setattr(walks, "MANY", 0)
+    assert ends() == few and not any(held)
