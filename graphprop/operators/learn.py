@@ -39,7 +39,9 @@ def vectors(rows: DataFrame, vec: str = "vec") -> DataFrame:
 def discriminator(contrastive: DataFrame, ridge: float = 1e-4, rounds: int = 100) -> LogisticRegressionModel:
     """Tell label 1 from label 0 in rows (node, dim, x, label, part); stops early at a small change of the loss."""
     keyed = contrastive.groupBy("node", "label", "part").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).withColumn("vec", F.transform("v", lambda s: s["x"]))
-    return bare(LogisticRegression(labelCol="label", regParam=ridge, maxIter=rounds, tol=1e-7).fit(vectors(keyed)), Scratch(contrastive.sparkSession))
+    scratch = Scratch(contrastive.sparkSession)
+    rows = scratch.keep(keyed.select("label", "vec"), "rows")  # the fit reads them twice before it holds them
+    return bare(LogisticRegression(labelCol="label", regParam=ridge, maxIter=rounds, tol=1e-7).fit(vectors(rows)), scratch)
 
 
 def permuted_discriminator(features: DataFrame, propagated: DataFrame, seed: int = 7, **kw) -> LogisticRegressionModel:

@@ -190,3 +190,13 @@ def test_few_walks_meet_neighbours_in_memory(spark, monkeypatch):
     held.clear()
     monkeypatch.setattr(walks, "MANY", 0)
     assert ends() == few and not any(held)
+
+
+def test_a_discriminator_reads_its_rows_once(spark, monkeypatch):
+    from graphprop.operators import learn
+
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    rows = spark.createDataFrame([(k, d, float(k % 2 + d), k % 2, "p") for k in range(20) for d in range(2)], "node long, dim int, x double, label int, part string")
+    learn.discriminator(rows, rounds=3)
+    assert "rows" in kept
