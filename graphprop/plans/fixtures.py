@@ -138,6 +138,16 @@ def threshold_steps(k: int, name: str, start: str, w: str = "iw", limit: str = "
     return ", ".join(out)
 
 
+def threshold_rounds(name: str, start: str, w: str = "iw", limit: str = "lim", alpha: float = ALPHA) -> str:
+    """CTEs ending in ``name``: the push to ``limit`` (dim, hi, lo), in as many rounds as it takes."""
+    marked = lambda t: f"(SELECT s.k, s.node, s.dim, pi, r, r > hi OR r < lo AS go FROM {t} s JOIN {limit} ON {limit}.dim = s.dim)"
+    return f"""{name}_rounds AS (SELECT CAST(0 AS BIGINT) AS k, node, dim, pi, r FROM ({start})
+  UNION ALL SELECT k + 1, node, dim, sum(pi), sum(r) FROM (
+    SELECT k, node, dim, CASE WHEN go THEN pi + {alpha} * r ELSE pi END AS pi, CASE WHEN go THEN 0 ELSE r END AS r FROM (SELECT *, bool_or(go) OVER () AS more FROM {marked(f"{name}_rounds")}) WHERE more
+    UNION ALL SELECT k, {w}.dst, dim, 0, {1 - alpha} * r * {w}.w FROM {marked(f"{name}_rounds")} g JOIN {w} ON {w}.src = g.node WHERE go) GROUP BY k, node, dim),
+{name} AS MATERIALIZED (SELECT node, dim, pi, r FROM {name}_rounds WHERE k = (SELECT max(k) FROM {name}_rounds))"""
+
+
 def drawn(walk: str, step: str, seed: int, purpose: int = 1) -> str:
     """A walk's draw below 2^60 at a step: 15 hexadecimal digits of an MD5 digest."""
     return f"CAST('0x' || substr(md5('{seed}:' || start || ':' || {walk} || ':' || {step}), {1 + 15 * purpose}, 15) AS BIGINT)"
