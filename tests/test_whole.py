@@ -15,7 +15,7 @@ class Begun(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["batch_update"])
+@pytest.mark.parametrize("name", ["batch_update", "lazy_update"])
 def test_updates_leave_rows_to_push_on_a_large_graph(spark, monkeypatch, name):
     seen = []
 
