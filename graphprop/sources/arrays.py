@@ -326,11 +326,21 @@ def npy_rows(spark: SparkSession, path: str, nodes: DataFrame | None = None, ste
     return reader.load().join(nodes.select("node").distinct(), "node", "left_semi")
 
 
+#: Parts of an array beyond which they grow instead, so that neither files nor tasks grow with the rows.
+MOST_PARTS = 512
+
+
+def part_rows(n: int, least: int) -> int:
+    """Rows of a part where ``n`` rows are written or read: ``least``, or more if that would take over ``MOST_PARTS`` parts."""
+    return max(least, -(-n // MOST_PARTS))
+
+
 def write_rows(rows: DataFrame, path: str, kind: str = "<f8", head: bool = True, rows_per_part: int = 1 << 20) -> None:
     """Write rows (node from 0 without gaps, vec of one width) in parts of at most ``rows_per_part``: npy, or bare numbers.
 
     A folder that holds parts already raises. Without ``head`` the parts one after
-    the other are the array's bytes.
+    the other are the array's bytes. ``rows`` are read twice, so they are best a
+    written table. A part is one task's, by its number.
     """
     spark = rows.sparkSession
     spark.dataSource.register(ArraySource)
@@ -338,7 +348,7 @@ def write_rows(rows: DataFrame, path: str, kind: str = "<f8", head: bool = True,
     if any(x.base_name.startswith("part-") for x in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))):
         raise FileExistsError(path)
     n = rows.agg(F.max("node")).first()[0]
-    part = F.floor(F.col("node") / rows_per_part).cast("long")
+    part = F.floor(F.col("node") / rows_per_part).cast("int")
     count = 1 if n is None else n // rows_per_part + 1
-    placed = rows.select("node", F.col("vec").cast("array<double>").alias("vec")).repartitionByRange(count, part).sortWithinPartitions("node")
+    placed = rows.select("node", F.col("vec").cast("array<double>").alias("vec")).repartitionById(count, part).sortWithinPartitions("node")
     placed.write.format("npy_arrays").option("path", path).option("kind", kind).option("head", str(head).lower()).mode("append").save()

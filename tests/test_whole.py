@@ -29,3 +29,18 @@ def test_updates_leave_rows_to_push_on_a_large_graph(spark, monkeypatch, name):
     x = Fixture(spark, LARGE).features()
     limit = propagate.thresholds(x, seen[0].rmax)
     assert propagate.over(propagate.initial_state(x), limit).count() > 0.9 * x.count()
+
+
+def test_parts_of_arrays_grow_where_they_are_many(spark, monkeypatch):
+    from graphprop.sources import arrays
+    from graphprop.tables import Scratch
+
+    kept, parts, keep, write = [], [], Scratch.keep, arrays.write_rows
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    monkeypatch.setattr(arrays, "write_rows", lambda rows, path, *a: write(rows, path, *a) or parts.append(len(arrays.parts_of(path))))
+    monkeypatch.setattr(arrays, "part_rows", lambda n, least: -(-n // 7), raising=False)
+    edges = QUERIES["csr_array_files"](spark, SMALL)
+    assert "order" in kept and parts[0] == 7 and parts[1] in (7, 8)
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, Fixture(spark, SMALL).graph().collect()))
+    monkeypatch.undo()
+    assert arrays.part_rows(20_000, 300) == 300 and arrays.part_rows(7_200_000, 300) == -(-7_200_000 // arrays.MOST_PARTS)
