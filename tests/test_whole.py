@@ -44,3 +44,21 @@ def test_parts_of_arrays_grow_where_they_are_many(spark, monkeypatch):
     assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, Fixture(spark, SMALL).graph().collect()))
     monkeypatch.undo()
     assert arrays.part_rows(20_000, 300) == 300 and arrays.part_rows(7_200_000, 300) == -(-7_200_000 // arrays.MOST_PARTS)
+
+
+def test_both_ways_share_blocks_and_degrees(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from graphprop.operators import monitor
+    from graphprop.operators.dynamic import Graph
+    from graphprop.session import Params
+    from graphprop.tables import Scratch
+
+    monkeypatch.setattr(propagate, "FEW", 0)
+    e = Scratch(spark).keep(spark.createDataFrame([(a, b) for a in range(8) for b in range(8) if (a + b) % 3 or a == b], "src long, dst long"), "edges")
+    x = Scratch(spark).keep(spark.range(8).select(F.col("id").alias("node"), F.lit(0).alias("dim"), (F.col("id") - 3.0).alias("x")), "features")
+    made, block = [], propagate._block
+    monkeypatch.setattr(propagate, "_block", lambda: made.append(1) or block())
+    u = spark.createDataFrame([(0, 3), (3, 0), (1, 1)], "src long, dst long")
+    after, chosen = monitor.lazy_update(Graph(e, x, propagate.initial_state(x)), u, spark.range(8).select(F.col("id").alias("node")), Params(rmax=0.2))
+    assert len(made) == 1 and after.state.count() == 8 and chosen.count() > 0
